@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rankloom.llm import langid, mixing, packing, pii, warc
 from rankloom.llm.ngram_join import ngram_jaccard_join
 from rankloom.session import table
 
@@ -19,23 +21,86 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\v\f\r]+') AS ws
   FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i+3], ' '))
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))
                                       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT a AS doc_id, a AS r FROM both UNION SELECT reach.doc_id, both.b FROM reach JOIN both ON reach.r = both.a),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS r FROM sym UNION SELECT reach.doc_id, sym.b FROM reach JOIN sym ON reach.r = sym.a),
 comp AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.doc_id = d.doc_id
 """
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(mixing.sized(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+')) AS size, coalesce(length(text), 0) AS chars FROM documents),
+q AS (SELECT doc_id, source, size, CASE WHEN size > 0 THEN 1 / (1 + abs(chars::DOUBLE / size - 6)) ELSE 1.0::DOUBLE END AS quality FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, avg(quality) AS mean_quality FROM q GROUP BY source),
+r AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
+p AS (SELECT *, 3 * source_size / weight AS stop FROM r),
+l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+      FROM p WINDOW before AS (ORDER BY stop, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, mean_quality, least(weight * (SELECT level FROM l WHERE level <= stop ORDER BY stop, source IS NULL, source LIMIT 1), (3 * source_size)::DOUBLE) AS target FROM l),
+k AS (SELECT q.*, t.source_size, t.target, -ln((('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / quality AS key
+      FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+             CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM k)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       ((epochs + CASE WHEN target - epochs * source_size > 0 AND before + size / 2.0::DOUBLE <= target - epochs * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM c
+"""
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark, sf_dir)
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS h FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY n, h) AS last FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM m
+"""
+
+
+def _remainder(by: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_remainder(4) != 2).select("doc_id", "text", "lang"))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
+    "op5_language_id": op5_language_id,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_pii": op9_pii,
 }
 
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
+    "op3_mixing": OP3_SQL,
+    "op4_warc": OP4_SQL,
 }
