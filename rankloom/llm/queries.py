@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import langid, mixing, packing, pii, warc
+from rankloom.llm import langid, lm_score, mixing, near_dedup, packing, pii, quality, warc, webp
 from rankloom.llm.ngram_join import ngram_jaccard_join
-from rankloom.session import table
+from rankloom.session import shared_dir, table
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the assistant turns of the conversations."""
+    target = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,21 +92,52 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    documents = quality.features(table(spark, sf_dir, "documents")).checkpoint()
+    model = quality.train(documents.where(_remainder(5) != 0), table(spark, sf_dir, "labels"))
+    return quality.score(documents, model).select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.examine_media(webp.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+reach AS (SELECT a AS vec_id, a AS r FROM links UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a),
+comp AS (SELECT vec_id, min(r) AS c FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS k FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.k, 0)::BIGINT AS n_links, coalesce(comp.c, v.vec_id) AS component_id, coalesce(comp.c, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN n ON n.vec_id = v.vec_id LEFT JOIN comp ON comp.vec_id = v.vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_quality": op7_quality,
+    "op8_media_columns": op8_media_columns,
     "op9_pii": op9_pii,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op4_warc": OP4_SQL,
+    "op10_embedding_near_dedup": OP10_SQL,
 }
