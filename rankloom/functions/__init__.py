@@ -1 +1 @@
-
+"""Column functions: text and paths, and statistics."""
