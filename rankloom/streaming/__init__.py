@@ -1 +1 @@
-
+"""Structured Streaming over the run registry."""
