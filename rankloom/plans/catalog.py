@@ -1,10 +1,8 @@
-"""Registered queries and their SQL twins."""
+"""All registered queries and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from rankloom.plans import comparison, curation, retrieval
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = {**retrieval.QUERIES, **comparison.QUERIES, **curation.QUERIES}
+SQL = {**retrieval.SQL, **comparison.SQL, **curation.SQL}
