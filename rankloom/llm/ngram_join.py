@@ -3,16 +3,21 @@
 Tokens (here word shingles) are hashed into groups; a document is the point of its group counts.  Two sets overlap by
 at most the sum of the smaller coordinates, so a pair can be dropped without its sets where that sum is too small.
 
-The tree is laid out over a cluster in three levels:
+The tree is laid out over a cluster in levels:
 
 1. Size bands.  A band of set sizes has its own number of blocks of groups, one more than the largest number of tokens
-   in which two linked sets can differ, so at least one block of a linked pair has equal coordinates throughout
-   (spare blocks let those with under two tokens be left out).  A node of the tree is one such block with one value.
+   in which two linked sets can differ, so at least one block of a linked pair has equal coordinates throughout.  A node
+   of the tree is one such block with one value.  Spare blocks let a set leave out those without a rare token, where
+   texts meet that have no more in common than a passage that many share; a set with more such blocks leaves out none.
+   Which tokens are common is a fixed bitmap; it decides how fast the join is, never what it finds.
 2. Leaders.  Within a node the smallest id leads; (leader, member) pairs replace the pairs of a node.
-3. Under a leader, packed leaves of 32 points with their largest coordinates: sum of minima against the leaf, then
-   against the point, then the sets themselves.  Pairs already joined through others are not verified again.
+3. Points.  Under a leader, the points of its members lie in packed leaves of LEAF with their largest coordinates: sum of
+   minima against a leaf, then against its points.  What passes keeps a forest of edges, whose components are groups.
+4. Sets.  Within a group the sets themselves decide, first against one of the group, then, for those apart from it,
+   through the leaves again.  Pairs already joined through others are not verified.
 
-Every linked pair meets in some node, so no link between different texts is lost.  Equal sets are joined by value.
+Every linked pair meets in some node and passes every bound, so no link between different texts is lost.  Equal sets are
+joined by value.  Groups of any size are divided into blocks that meet two at a time.
 """
 
 from __future__ import annotations
@@ -28,15 +33,29 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import kernel
 from rankloom.llm.graph import components
-from rankloom.session import shared_dir
+from rankloom.session import saved, shared_dir
 
-GROUPS = 64
 LEAF = 32
+#: Fewest groups of a point, and tokens of the smallest set of a band for each group.
+GROUPS = 64
+TOKENS_PER_GROUP = 6
+#: Spare blocks of a band, as a share of the differences.
+SPARE = Fraction(1, 5)
+#: A token is common from so many different sets on, counting batches in which it has COMMON_IN_BATCH; at most
+#: COMMON_TOKENS, the most common, are marked among COMMON_BITS bits.
+COMMON, COMMON_IN_BATCH, COMMON_TOKENS, COMMON_BITS = 6, 3, 1 << 20, 1 << 24
+#: Points under a leader that one task takes at once.
+BLOCK_POINTS = 8192
 #: Distinct shingles under a leader that one task takes at once.
 BLOCK_SHINGLES = 2_000_000
 _U = np.uint64
 
 
+def group_count(tokens: int) -> int:
+    """Groups of a point for sets of at least so many tokens: a power of 2."""
+    return 1 << max(GROUPS - 1, tokens // TOKENS_PER_GROUP).bit_length()
+
+
 class Bands:
     """Size bands and their numbers of blocks for a threshold num/den."""
 
@@ -51,27 +70,37 @@ class Bands:
         for a, b in zip(self.low, self.low[1:]):
             both = (b - 1) + (b - 1) * den // num
             differ = both * (den - num) // (den + num)
-            self.spare.append(0 if differ == 0 else -(-differ * 12 // 100))
+            self.spare.append(-int(-differ * SPARE // 1))
             self.blocks.append(0 if differ == 0 else differ + 1 + self.spare[-1])
 
     def of(self, n: int) -> list[int]:
         """Bands in which a set of n tokens has blocks: its own, and the one below if a partner may lie there."""
+        if n < 1:
+            return []
         own = int(np.searchsorted(self.low_array, n, "right")) - 1
         below = own - 1
         return [k for k in ([own, below] if below >= 0 and -(-n * self.num // self.den) < self.low[own] else [own]) if self.blocks[k]]
 
-    def nodes(self, tokens: np.ndarray) -> np.ndarray:
-        """The keys of the tree's nodes that hold this set."""
+    def nodes(self, tokens: np.ndarray, common: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
+        """(band, keys) of the tree's nodes that hold this set; `common` is a bitmap of tokens."""
         out = []
+        rare = np.ones(len(tokens), bool) if common is None else ~marked(common, tokens)
         for band in self.of(len(tokens)):
             m = self.blocks[band]
             block = ((tokens >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-            value, count = np.zeros(m, _U), np.bincount(block, minlength=m)
+            value = np.zeros(m, _U)
             np.add.at(value, block, kernel.mix64(tokens))
             key = kernel.mix64(value ^ kernel.mix64(np.arange(m, dtype=_U) + _U((band + 1) << 40)))
-            poor = count < 2
-            out.append(key if poor.sum() > self.spare[band] else key[~poor])
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
+            rich = np.zeros(m, bool)
+            rich[block[rare]] = True
+            out.append((band, key[rich] if m - rich.sum() <= self.spare[band] else key))
+        return out
+
+    def point(self, tokens: np.ndarray, band: int) -> np.ndarray:
+        """Counts of the set's tokens in the band's groups."""
+        groups = group_count(self.low[band])
+        count = np.bincount((tokens & _U(groups - 1)).astype(np.int64), minlength=groups)
+        return count.astype(np.uint8 if count.max() < 256 else np.uint32)
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
@@ -82,77 +111,125 @@ class Bands:
         return -(-(a + b) * self.num // (self.num + self.den))
 
 
+def marked(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    at = (tokens >> _U(20)).astype(np.int64) & (COMMON_BITS - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
-_PACKED = "part int, keys binary, at binary, ids binary, digests binary, sizes binary"
+_PACKED = "part int, band int, keys binary, at binary, ids binary, digests binary"
 
 
-def _pack(k: int, bands: Bands, parts: int):
+def _repeated(k: int):
+    """Tokens of at least COMMON_IN_BATCH different sets of a batch, and how many have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            different = {_digest(s): s for s in kernel.distinct_shingles(batch.column(0), k)}
+            if different:
+                tokens, n = np.unique(np.concatenate(list(different.values())), return_counts=True)
+                kept = n >= COMMON_IN_BATCH
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[kept].view(np.int64)), pa.array(n[kept].astype(np.int64))], ["token", "n"])
+
+    return run
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = np.asarray(batch.column(0)).view(_U)
+        yield pa.RecordBatch.from_arrays([pa.array([((tokens >> _U(20)).astype(np.int64) & (COMMON_BITS - 1)).astype(np.uint32).tobytes()], pa.binary())], ["places"])
+
+
+def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
+    """The bitmap of common tokens: of a fixed size, whatever the corpus."""
+    counts = docs.select("text").mapInArrow(_repeated(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counts = saved(counts)
+    least, left = COMMON, COMMON_TOKENS
+    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.min("n").alias("least"), F.count("*").alias("tokens")).orderBy(F.desc("step")).collect()  # a few rows for each doubling
+    for step in steps:
+        left -= step["tokens"]
+        if left < 0:
+            break
+        least = step["least"]
+    else:
+        least = COMMON
+    bitmap = np.zeros(COMMON_BITS // 8, np.uint8)
+    if steps and (left >= 0 or least > COMMON):
+        for row in counts.where(F.col("n") >= least).select("token").mapInArrow(_places, "places binary").collect():  # four bytes for each of at most COMMON_TOKENS
+            places = np.frombuffer(row["places"], np.uint32)
+            np.bitwise_or.at(bitmap, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    return bitmap
+
+
+def _pack(k: int, bands: Bands, parts: int, common):
+    """The nodes of every set, by the partition that a key's hash names; 32 bits of a key are kept, so that a few nodes merge."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            keys, at, digests, sizes = [], [], np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            digests, found = np.zeros(len(ids), np.int64), {}
             for row, tokens in enumerate(kernel.distinct_shingles(batch.column(1), k)):
                 digests[row], _ = _digest(tokens)
-                sizes[row] = len(tokens)
-                own = bands.nodes(tokens)
-                keys.append(own)
-                at.append(np.full(len(own), row, np.int32))
-            if not keys:
-                continue
-            keys, at = np.concatenate(keys), np.concatenate(at)
-            part = (keys % _U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
+                for band, keys in bands.nodes(tokens, common.value):
+                    found.setdefault(band, []).append((keys, np.full(len(keys), row, np.int32)))
             rows = []
-            for p in range(parts):
-                chosen = order[ends[p] : ends[p + 1]]
-                if len(chosen):
-                    rows_of, own = np.unique(at[chosen], return_inverse=True)
-                    rows.append((p, keys[chosen].tobytes(), own.astype(np.uint16 if len(rows_of) <= 65536 else np.uint32).tobytes(), ids[rows_of].tobytes(), digests[rows_of].tobytes(), sizes[rows_of].tobytes()))
+            for band, pairs in found.items():
+                keys, at = map(np.concatenate, zip(*pairs))
+                part = (keys % _U(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                for p in range(parts):
+                    chosen = order[ends[p] : ends[p + 1]]
+                    if len(chosen):
+                        rows_of, own = np.unique(at[chosen], return_inverse=True)
+                        rows.append((p, band, (keys[chosen] >> _U(32)).astype(np.uint32).tobytes(), own.astype(_width(len(rows_of))).tobytes(), ids[rows_of].tobytes(), digests[rows_of].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))], ["part", "keys", "at", "ids", "digests", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], ["part", "band", "keys", "at", "ids", "digests"])
 
     return run
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leader, member, member's size) of the nodes with at least two different sets."""
-    keys, ids, digests, sizes = [], [], [], []
-    for batch in batches:
-        for _, key, at, own, digest, size in zip(*(c.to_pylist() for c in batch.columns)):
-            key, own = np.frombuffer(key, _U), np.frombuffer(own, np.int64)
-            at = np.frombuffer(at, np.uint16 if len(own) <= 65536 else np.uint32)
-            keys.append(key)
-            ids.append(own[at])
-            digests.append(np.frombuffer(digest, np.int64)[at])
-            sizes.append(np.frombuffer(size, np.int64)[at])
-    if not keys:
-        return
-    keys, ids, digests, sizes = map(np.concatenate, (keys, ids, digests, sizes))
+def _width(n: int):
+    return np.uint16 if n <= 65536 else np.uint32
+
+
+def _led(keys: np.ndarray, ids: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (leader, member) of the nodes with at least two different sets."""
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
     order = order[np.append(same, False) | np.append(False, same)]
-    keys, ids, digests, sizes = keys[order], ids[order], digests[order], sizes[order]
+    keys, ids, digests = keys[order], ids[order], digests[order]
     order = np.lexsort((ids, digests, keys))
-    keys, ids, digests, sizes = keys[order], ids[order], digests[order], sizes[order]
+    keys, ids, digests = keys[order], ids[order], digests[order]
     if not len(keys):
-        return
-    new_key = np.append(True, keys[1:] != keys[:-1])
-    first = new_key | np.append(True, digests[1:] != digests[:-1])
-    keys, ids, sizes = keys[first], ids[first], sizes[first]
+        return ids, ids
+    first = np.append(True, (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1]))
+    keys, ids = keys[first], ids[first]
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     count = np.diff(np.append(begin, len(keys)))
-    lead = np.repeat(np.minimum.reduceat(ids, begin), count)
-    several = np.repeat(count, count) > 1
-    lead, ids, sizes = lead[several], ids[several], sizes[several]
+    lead, several = np.repeat(np.minimum.reduceat(ids, begin), count), np.repeat(count, count) > 1
+    lead, ids = lead[several], ids[several]
     order = np.lexsort((ids, lead))
-    lead, ids, sizes = lead[order], ids[order], sizes[order]
+    lead, ids = lead[order], ids[order]
     fresh = np.append(True, (lead[1:] != lead[:-1]) | (ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, bool)
-    for a in range(0, int(fresh.sum()), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(x[fresh][a : a + (1 << 16)]) for x in (lead, ids, sizes)], ["leader", "member", "n"])
+    return lead[fresh], ids[fresh]
+
+
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, list] = {}
+    for batch in batches:
+        for _, band, key, at, own, digest in zip(*(c.to_pylist() for c in batch.columns)):
+            own = np.frombuffer(own, np.int64)
+            at = np.frombuffer(at, _width(len(own)))
+            found.setdefault(band, []).append((np.frombuffer(key, np.uint32), own[at], np.frombuffer(digest, np.int64)[at]))
+    for band in sorted(found):
+        lead, ids = _led(*map(np.concatenate, zip(*found.pop(band))))
+        for a in range(0, len(ids), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(lead[part]), pa.array(np.full(len(lead[part]), band, np.int32)), pa.array(ids[part])], ["leader", "band", "member"])
 
 
 class Joined:
@@ -168,11 +245,54 @@ class Joined:
         return x
 
 
+class Leaves:
+    """Points in packed leaves, by size and their first coordinates."""
+
+    def __init__(self, size: np.ndarray, point: np.ndarray, bands: Bands):
+        self.size, self.point, self.bands = size, point, bands
+        self.order = np.lexsort((*(point[:, g] for g in range(3)), size))
+        self.begin = np.arange(0, len(size), LEAF)
+        self.top = np.maximum.reduceat(point[self.order], self.begin)
+        self.smallest, self.largest = np.minimum.reduceat(size[self.order], self.begin), np.maximum.reduceat(size[self.order], self.begin)
+
+    def near(self, x: int) -> Iterator[int]:
+        """The rows whose sets may link with that of x, x included."""
+        b, size, own = self.bands, self.size[x], self.point[x]
+        least = b.needed(size, np.maximum(self.smallest, -(-size * b.num // b.den)))
+        good = (self.largest * b.den >= size * b.num) & (self.smallest * b.num <= size * b.den)
+        good[good] = np.minimum(own, self.top[good]).sum(1) >= least[good]
+        for leaf in np.flatnonzero(good):
+            rows = self.order[self.begin[leaf] : self.begin[leaf] + LEAF]
+            yield from rows[np.minimum(own, self.point[rows]).sum(1) >= b.needed(size, self.size[rows])].tolist()
+
+
+def bound_forest(size: np.ndarray, point: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
+    """A forest whose components are those of the pairs that the points don't rule out.
+
+    What passes with row 0 joins it at once; a pair that matters besides has a row that doesn't, and only those search.
+    """
+    small, large = np.minimum(size, size[0]), np.maximum(size, size[0])
+    passes = (np.minimum(point, point[0]).sum(1) >= bands.needed(size, size[0])) & (small * bands.den >= large * bands.num)
+    passes[0] = True
+    apart = np.flatnonzero(~passes)
+    joined, edges = Joined(len(size)), []
+    for x in np.flatnonzero(passes)[1:].tolist():
+        joined.up[x] = 0
+        edges.append((0, x))
+    leaves = Leaves(size, point, bands) if len(apart) else None
+    for x in apart.tolist():
+        for y in leaves.near(x):
+            if joined.top(x) != joined.top(y):
+                joined.up[joined.top(x)] = joined.top(y)
+                edges.append((x, y))
+    return edges
+
+
 def tree_join(sets: list[np.ndarray], bands: Bands, hub: int, asking: list[int] | None = None) -> tuple[list[tuple[int, int]], list[int]]:
     """Links that span the components among `sets`, and the rows not linked with the row `hub`.
 
     First every row is compared with the hub, then the rows in `asking` (default: those not linked with it) with all
-    others, through the packed leaves.
+    others, through the leaves.
     """
     n, joined, links, apart = len(sets), Joined(len(sets)), [], []
     for x in range(n):
@@ -186,24 +306,46 @@ def tree_join(sets: list[np.ndarray], bands: Bands, hub: int, asking: list[int]
     if not asking or n < 3 and asking is apart:
         return links, apart
     size = np.array([len(s) for s in sets])
-    point = np.stack([np.bincount((s >> _U(58)).astype(np.int64), minlength=GROUPS) for s in sets])
-    order = np.lexsort((*(point[:, g] for g in range(3)), size))
-    begin = np.arange(0, n, LEAF)
-    top = np.maximum.reduceat(point[order], begin)
-    smallest, largest = np.minimum.reduceat(size[order], begin), np.maximum.reduceat(size[order], begin)
+    groups = group_count(int(size.min()))
+    leaves = Leaves(size, np.stack([np.bincount((s & _U(groups - 1)).astype(np.int64), minlength=groups) for s in sets]), bands)
     for x in asking:
-        least = bands.needed(size[x], np.maximum(smallest, -(-size[x] * bands.num // bands.den)))
-        good = (np.minimum(point[x], top).sum(1) >= least) & (largest * bands.den >= size[x] * bands.num) & (smallest * bands.num <= size[x] * bands.den)
-        for leaf in np.flatnonzero(good):
-            rows = order[begin[leaf] : begin[leaf] + LEAF]
-            rows = rows[np.minimum(point[x], point[rows]).sum(1) >= bands.needed(size[x], size[rows])]
-            for y in rows.tolist():
-                if y != x and joined.top(x) != joined.top(y) and bands.linked(sets[x], sets[y]):
-                    joined.up[joined.top(x)] = joined.top(y)
-                    links.append((x, y))
+        for y in leaves.near(x):
+            if joined.top(x) != joined.top(y) and bands.linked(sets[x], sets[y]):
+                joined.up[joined.top(x)] = joined.top(y)
+                links.append((x, y))
     return links, apart
 
 
+def _bounded(bands: Bands):
+    """Partitions sorted by (leader, band, low, high) of points to the edges of their forests."""
+
+    def close(band, rows):
+        ids, size, points = zip(*rows)
+        size, groups = np.array(size), group_count(bands.low[band])
+        point = np.stack([np.frombuffer(p, np.uint8 if len(p) == groups else np.uint32) for p in points])
+        point = point.astype(np.int16 if point.dtype == np.uint8 else np.int64)
+        return [(ids[x], ids[y]) for x, y in bound_forest(size, point, bands)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+        for batch in batches:
+            for *own, x, n, point in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != key:
+                    if len(rows) > 1:
+                        out += close(key[1], rows)
+                    key, rows = own, []
+                rows.append((x, n, point))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+                out = []
+        if len(rows) > 1:
+            out += close(key[1], rows)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    return run
+
+
 def _verify(k: int, bands: Bands, within: bool):
     """Partitions sorted by (leader, block, second block) to rows (leader, a, b): links, and (leader, x, null) for x apart from it."""
 
@@ -244,27 +386,43 @@ def _verify(k: int, bands: Bands, within: bool):
     return run
 
 
-def _sets(k: int):
+_OWN = "doc_id long, n_shingles long, h1 long, h2 long, points array<struct<band:int,point:binary>>"
+
+
+def _sets(k: int, bands: Bands):
+    kind = pa.list_(pa.struct([("band", pa.int32()), ("point", pa.binary())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), *(_digest(s))) for s in kernel.distinct_shingles(batch.column(1), k)]
-            columns = zip(*found) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_shingles", "h1", "h2"])
+            found = [(len(s), *_digest(s), [{"band": b, "point": bands.point(s, b).tobytes()} for b in bands.of(len(s))] if len(s) else []) for s in kernel.distinct_shingles(batch.column(1), k)]
+            columns = zip(*found) if found else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, kind)))], ["doc_id", "n_shingles", "h1", "h2", "points"])
 
     return run
 
 
-def jaccard_links(docs: DataFrame, k: int, num: int, den: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Verified links (a, b) that span the components of `docs` (doc_id long, text string) under den * |A & B| >= num * |A | B|.
+def candidate_groups(docs: DataFrame, own: DataFrame, k: int, bands: Bands, block_points: int) -> DataFrame:
+    """(leader, member, n): groups such that different sets that link are in one group; `own` is what _sets() gives for `docs`."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, k))
+    packed = docs.mapInArrow(_pack(k, bands, parts, common), _PACKED)
+    led = packed.repartitionById(parts, F.col("part")).mapInArrow(_leaders, "leader long, band int, member long").distinct().checkpoint()
+    blocks = led.groupBy("leader", "band").agg(F.ceil(F.count("*") / block_points).cast("int").alias("blocks"))
+    points = own.where("doc_id is not null").select(F.col("doc_id").alias("member"), F.col("n_shingles").alias("n"), F.inline("points"))
+    rows = led.join(blocks, ["leader", "band"]).join(points, ["member", "band"]).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ("leader", "band", "low", "high")
+    rows = rows.select("leader", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "member", "n", "point")
+    edges = rows.repartition(parts, *key).sortWithinPartitions(*key, "member").mapInArrow(_bounded(bands), "a long, b long")
+    sizes = own.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    return components(edges).select(F.col("component").alias("leader"), F.col("node").alias("doc_id")).join(sizes, "doc_id").select("leader", F.col("doc_id").alias("member"), "n").checkpoint()
+
+
+def jaccard_links(docs: DataFrame, led: DataFrame, k: int, bands: Bands, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Verified links (a, b) that span the components of `docs` (doc_id long, text string), from candidate groups (leader, member, n).
 
     Links between equal sets are left to the caller.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bands = Bands(num, den)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    packed = docs.mapInArrow(_pack(k, bands, parts), _PACKED)
-    led = packed.repartitionById(parts, F.col("part")).mapInArrow(_leaders, "leader long, member long, n long").groupBy("leader", "member").agg(F.max("n").alias("n")).checkpoint()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weight = led.groupBy("leader").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     member = led.join(weight, "leader").withColumn(
         "block", F.when(F.col("leader") == F.col("member"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")))
@@ -287,7 +445,7 @@ def jaccard_links(docs: DataFrame, k: int, num: int, den: int, block_shingles: i
     return links
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_shingles: int = BLOCK_SHINGLES, block_points: int = BLOCK_POINTS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Sets are the distinct k-word shingles of the lower-cased (A-Z) text, or the whole sequence if it has fewer words.
@@ -295,11 +453,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     component_id; rows with the same doc_id are one node.  Other columns of `docs` are ignored.  An empty table gives no rows.
     """
     shared_dir(docs.sparkSession)
+    bands = Bands(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = docs.mapInArrow(_sets(k), "doc_id long, n_shingles long, h1 long, h2 long").checkpoint()
+    own = docs.mapInArrow(_sets(k, bands), _OWN).checkpoint()
     linking = own.where("n_shingles > 0 and doc_id is not null")
     same = linking.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"))
-    # rows of one doc_id with different texts are one node, too
-    equal = linking.join(same, ["h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")).where("a != b")
-    label = components(jaccard_links(docs, k, num, den, block_shingles).unionAll(equal))
-    return own.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    equal = linking.select("doc_id", "h1", "h2", "n_shingles").join(same, ["h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")).where("a != b")
+    named = docs.where("doc_id is not null")
+    groups = candidate_groups(named, own, k, bands, block_points)
+    label = components(jaccard_links(named, groups, k, bands, block_shingles).unionAll(equal))
+    return own.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
