@@ -113,7 +113,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
     value = total[ends - 1]
     value[1:] -= total[starts[1:] - 1]
     if starts[0]:
-        value[0] -= total[starts[0] - 1]
+        value[:1] -= total[starts[0] - 1 : starts[0]]
     value *= inverse[starts]
     return mix64(value + (ends - starts).astype(_U) * _ODD), first
 
