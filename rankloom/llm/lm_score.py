@@ -28,6 +28,7 @@ from rankloom.session import shared_dir
 MASS = 100.0
 #: Stands for a null doc_id while sums travel.
 NO_ID = -(1 << 63)
+SENT_BYTES = 6 << 20
 _U = np.uint64
 _START = kernel.mix64(np.array([0xB05], _U))[0]
 
@@ -70,34 +71,35 @@ _SENT = "part int, kind int, target boolean, keys binary, at binary, times binar
 
 
 def _send(target: bool, parts: int):
-    """Occurrences by partition: keys by document for the background, keys alone for the target."""
+    """Occurrences by partition: keys by document for the background, keys alone for the target; SENT_BYTES of text at a time."""
+
+    def sent(ids: np.ndarray, column) -> Iterator[tuple]:
+        rows, *columns = map(np.concatenate, zip(*_terms(column)))
+        for kind, key in enumerate(columns):
+            part, sub = (key % _U(parts)).astype(np.uint16 if parts <= 65536 else np.uint32), (key >> _U(32)).astype(np.uint32)
+            at = np.zeros(len(sub), np.uint32) if target else rows.astype(np.uint32)
+            order = np.lexsort((at, sub, part))
+            part, sub, at = part[order], sub[order], at[order]
+            fresh = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (sub[1:] != sub[:-1]) | (at[1:] != at[:-1])))
+            times = np.diff(np.append(fresh, len(sub)))
+            part, sub, at = part[fresh], sub[fresh], at[fresh]
+            ends = np.searchsorted(part, np.arange(parts + 1))
+            for p in range(parts):
+                a, b = ends[p], ends[p + 1]
+                if b == a:
+                    continue
+                own, where = np.unique(at[a:b], return_inverse=True)
+                many = times[a:b]
+                yield p, kind, target, sub[a:b].tobytes(), b"" if target else where.astype(_width(len(own))).tobytes(), b"" if many.max() == 1 else many.astype(np.uint8 if many.max() < 256 else np.uint32).tobytes(), b"" if target else ids[own].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 4)
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            columns = [np.concatenate(c) for c in zip(*_terms(batch.column(1)))]
-            if not columns:
-                continue
-            rows = []
-            for kind, key in enumerate(columns[1:]):
-                part, sub = (key % _U(parts)).astype(np.uint32), (key >> _U(32)).astype(np.uint32)
-                at = columns[0].astype(np.uint32) if not target else np.zeros(len(sub), np.uint32)
-                order = np.lexsort((at, sub, part))
-                part, sub, at = part[order], sub[order], at[order]
-                fresh = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (sub[1:] != sub[:-1]) | (at[1:] != at[:-1]))) if len(sub) else np.zeros(0, np.int64)
-                times = np.diff(np.append(fresh, len(sub)))
-                part, sub, at = part[fresh], sub[fresh], at[fresh]
-                ends = np.searchsorted(part, np.arange(parts + 1))
-                for p in range(parts):
-                    a, b = ends[p], ends[p + 1]
-                    if b == a:
-                        continue
-                    own, where = np.unique(at[a:b], return_inverse=True)
-                    many = times[a:b]
-                    rows.append((p, kind, target, sub[a:b].tobytes(), b"" if target else where.astype(_width(len(own))).tobytes(), b"" if many.max() == 1 else many.astype(np.uint8 if many.max() < 256 else np.uint32).tobytes(), b"" if target else ids[own].tobytes()))
-            if rows:
-                types = (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "kind", "target", "keys", "at", "times", "ids"])
+            data, offsets = kernel.utf8(batch.column(1))
+            for a, b, own, _ in kernel.slices(data, offsets, SENT_BYTES):
+                if len(own) and (rows := list(sent(ids[a:b], batch.column(1).slice(a, b - a)))):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "kind", "target", "keys", "at", "times", "ids"])
 
     return run
 
@@ -106,52 +108,74 @@ def _width(n: int):
     return np.uint16 if n <= 65536 else np.uint32
 
 
-def _sum(vocabulary: int, mass: float):
+def _sum(vocabulary: int, mass: float, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, times, docs, ids, starts = ([], []), ([], []), ([], []), [], 0
-        aim = ([], [])
+        """Counts of every key of the partition, then the terms of its documents' losses."""
+        held, aims, ids, starts = ([], []), ([], []), [], 0  # by kind: (keys, times, documents) and (keys, times)
         for batch in batches:
             for _, kind, target, key, at, many, own in zip(*(c.to_pylist() for c in batch.columns)):
                 key = np.frombuffer(key, np.uint32)
-                many = np.frombuffer(many, np.uint8 if len(many) == len(key) else np.uint32) if many else np.ones(len(key), np.uint8)
-                keys[kind].append(key)
-                times[kind].append(many.astype(np.uint32))
-                aim[kind].append(np.full(len(key), target))
+                many = (np.frombuffer(many, np.uint8 if len(many) == len(key) else np.uint32) if many else np.ones(len(key), np.uint8)).astype(np.uint32)
                 if target:
-                    docs[kind].append(np.zeros(len(key), np.uint32))
+                    aims[kind].append((key, many))
                 else:
                     own = np.frombuffer(own, np.int64)
-                    docs[kind].append((np.frombuffer(at, _width(len(own))).astype(np.uint32) + np.uint32(starts)))
+                    held[kind].append((key, many, np.frombuffer(at, _width(len(own))).astype(np.uint32) + np.uint32(starts)))
                     ids.append(own)
                     starts += len(own)
         if not ids:
             return
         ids = np.concatenate(ids)
         _, first, row = np.unique(ids, return_index=True, return_inverse=True)
-        ids, tokens = ids[first], np.zeros(len(first), np.int64)
+        ids, row, tokens = ids[first], row.astype(np.uint32), np.zeros(len(first), np.int64)
         losses = [np.zeros(len(first)), np.zeros(len(first))]
         for kind in (0, 1):
-            if not keys[kind]:
+            if not held[kind]:
                 continue
-            key, many, target, doc = map(np.concatenate, (keys[kind], times[kind], aim[kind], docs[kind]))
-            keys[kind].clear(), times[kind].clear(), docs[kind].clear()
+            key, many, doc = map(np.concatenate, zip(*held[kind]))
+            held[kind].clear()
+            doc = row[doc]
             order = np.argsort(key, kind="stable")
-            number = np.empty(len(key), np.int64)
-            number[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1]))
-            held = ~target
-            doc, weight, number_of = row[doc[held]], many[held], number[held]
-            for k, which in enumerate((target, held)):
-                count = np.bincount(number[which], many[which], int(number.max()) + 1)
+            key, many, doc = key[order], many[order], doc[order]
+            del order
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            names, sizes = key[begin], np.diff(np.append(begin, len(key)))
+            own = np.add.reduceat(many, begin, dtype=np.int64)
+            aim = np.zeros(len(names), np.int64)
+            for other, times in aims[kind]:
+                place = np.minimum(np.searchsorted(names, other), len(names) - 1)
+                same = names[place] == other
+                np.add.at(aim, place[same], times[same])
+            for k, count in enumerate((aim, own)):
                 term = -np.log(count + mass / vocabulary) if kind == 0 else np.log(count + mass)
-                losses[k] += np.bincount(doc, term[number_of] * weight, len(ids))
+                losses[k] += np.bincount(doc, np.repeat(term, sizes) * many, len(ids))
             if kind == 0:
-                tokens += np.bincount(doc, weight, len(ids)).astype(np.int64)
-        for a in range(0, len(ids), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (ids, tokens, *losses)], ["doc_id", "n_tokens", "target", "background"])
+                tokens += np.bincount(doc, many, len(ids)).astype(np.int64)
+        to = (kernel.mix64(ids.view(_U)) % _U(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        ends = np.searchsorted(to[order], np.arange(parts + 1))
+        rows = [(p, *(x[order[ends[p] : ends[p + 1]]].tobytes() for x in (ids, tokens.astype(np.uint32), *losses))) for p in range(parts) if ends[p + 1] > ends[p]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["part", "ids", "tokens", "target", "background"])
 
     return run
 
 
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each document over the partitions that its tokens were sent to."""
+    found = []
+    for batch in batches:
+        for _, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+            found.append([np.frombuffer(x, t) for x, t in zip(packed, (np.int64, np.uint32, np.float64, np.float64))])
+    if not found:
+        return
+    ids, *values = map(np.concatenate, zip(*found))
+    ids, row = np.unique(ids, return_inverse=True)
+    tokens, target, background = (np.bincount(row, v, len(ids)) for v in values)
+    for a in range(0, len(ids), 1 << 16):
+        part = slice(a, a + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(tokens[part].astype(np.int64)), pa.array(target[part]), pa.array(background[part])], ["doc_id", "n_tokens", "target", "background"])
+
+
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, mass: float = MASS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of each doc_id of `docs` (doc_id, text).
 
@@ -167,8 +191,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, mass: float = M
     words = docs.select("text").unionAll(target.select("text")).mapInArrow(_vocabulary(parts), "part int, words binary")
     vocabulary = words.repartitionById(parts, F.col("part")).mapInArrow(_distinct, "n long").agg(F.sum("n")).first()[0] or 0
     sent = docs.mapInArrow(_send(False, parts), _SENT).unionAll(target.mapInArrow(_send(True, parts), _SENT))
-    partial = sent.repartitionById(parts, F.col("part")).mapInArrow(_sum(max(1, vocabulary), mass), "doc_id long, n_tokens long, target double, background double")
-    summed = partial.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+    partial = sent.repartitionById(parts, F.col("part")).mapInArrow(_sum(max(1, vocabulary), mass, parts), "part int, ids binary, tokens binary, target binary, background binary")
+    summed = partial.repartitionById(parts, F.col("part")).mapInArrow(_add, "doc_id long, n_tokens long, target double, background double")
     found = docs.select("doc_id").distinct().join(summed, "doc_id", "left")
     loss = lambda c: (F.col(c) / F.col("n_tokens"))
     return found.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), loss("target").alias("target_loss"), loss("background").alias("background_loss"), ((F.col("target") - F.col("background")) / F.col("n_tokens")).alias("score"))
