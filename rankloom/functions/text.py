@@ -179,3 +179,15 @@ def gold_target(explicit: Column, task: Column, cause: Column, tests: Column) ->
     """The first non-empty of explicit, task, cause and test files, or an empty array."""
     filled = lambda c: F.when(F.size(c) > 0, c)
     return F.coalesce(filled(explicit), filled(task), filled(cause), filled(tests), F.array().cast("array<string>"))
+
+
+def is_prose(query: Column, least_words: int = 6) -> Column:
+    """Whether a query reads like prose: enough plain words, and at most one mark of code for each eight characters."""
+    words = F.size(F.regexp_extract_all(query, F.lit(r"(\p{L}{2,})"), F.lit(1)))
+    marks = F.length(query) - F.length(F.translate(query, "{}[]()=<>;_", ""))
+    return (words >= least_words) & (marks * 8 <= F.length(query))
+
+
+def expanded(query: Column, expansion: Column) -> Column:
+    """The dense query: with its expansion if it is prose and there is one."""
+    return F.when(is_prose(query) & expansion.isNotNull(), F.concat_ws(" ", query, expansion)).otherwise(query)

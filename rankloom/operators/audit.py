@@ -144,3 +144,19 @@ def first_seen(rows: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     """Distinct keys with their place by first appearance."""
     first = rows.groupBy(*keys).agg(F.min(ordinal).alias("first"))
     return first.withColumn("place", F.row_number().over(Window.orderBy("first", *keys))).drop("first")  # a row a snapshot
+
+
+def seed_content(seeds: DataFrame, gold: DataFrame, homes: DataFrame) -> DataFrame:
+    """For each case: gold documents, how many of them are seeded, and the share of its seeds in the directory of a gold document.
+
+    `seeds` and `gold` are (case_id, doc_id), `homes` (doc_id, directory).
+    """
+    found = gold.join(seeds.select("case_id", "doc_id", F.lit(1).alias("seeded")), ["case_id", "doc_id"], "left").groupBy("case_id").agg(F.count("*").alias("n_gold"), F.count("seeded").alias("gold_seeded"))
+    places = gold.join(homes, "doc_id").select("case_id", "directory", F.lit(1).alias("near")).distinct()
+    near = seeds.join(homes, "doc_id").join(places, ["case_id", "directory"], "left").groupBy("case_id").agg(F.count("*").alias("n_seeds"), F.round(F.count("near") / F.count("*"), DIGITS).alias("same_directory"))
+    return found.join(near, "case_id", "left").select("case_id", "n_gold", "gold_seeded", F.coalesce("n_seeds", F.lit(0)).alias("n_seeds"), "same_directory")
+
+
+def accessible(rows: DataFrame, owners: DataFrame, key: str, public: Column, owned: Column) -> DataFrame:
+    """The rows that are public or whose owner (joined on the key) may see them."""
+    return rows.join(owners, key).where(public | owned)

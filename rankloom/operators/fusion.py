@@ -40,3 +40,23 @@ def ablations(weights: dict[str, float]) -> list[tuple[str, str, float]]:
     """(config, branch, weight) rows of all branches together and of all but one, for each branch."""
     rows = [("baseline", branch, w) for branch, w in weights.items()]
     return rows + [(f"without_{off}", branch, 0.0 if branch == off else w) for off in weights for branch, w in weights.items()]
+
+
+def multi_query(items: DataFrame, k: int = 60, limit: int = 20) -> DataFrame:
+    """One ranking of the items (case_id, query_no, item, rank) of several queries of a case; ties keep the order of first appearance."""
+    first = F.min(F.struct("query_no", "rank"))
+    fused = items.groupBy("case_id", "item").agg(F.round(F.sum(1 / (k + F.col("rank"))), DIGITS + 4).alias("score"), first.alias("first_seen"))
+    return top_k(fused, limit, order=(F.desc("score"), F.asc("first_seen"))).drop("first_seen")
+
+
+def check_limits(scored: int, fetched: int | None = None) -> tuple[int, int]:
+    """(scored, fetched) depths of a ranking: as many are fetched as scored unless more are asked for."""
+    fetched = scored if fetched is None else fetched
+    if scored < 1 or fetched < scored:
+        raise ValueError("the depth fetched must be at least the depth scored, and that at least 1")
+    return scored, fetched
+
+
+def traces(branches: DataFrame) -> DataFrame:
+    """case_id, doc_id, its best rank and the sorted names of the branches that found it."""
+    return branches.groupBy("case_id", "doc_id").agg(F.min("rank").alias("best_rank"), F.array_join(F.array_sort(F.collect_set("branch")), ",").alias("found_by"))

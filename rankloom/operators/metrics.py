@@ -118,3 +118,11 @@ def selective(positives: DataFrame, no_gold: DataFrame, prefix: str) -> DataFram
         "mixture", (F.col("positive_n") + F.col("no_gold_n")).alias("n"), "positive_n", "no_gold_n", rate((F.col("hits") + F.col("abstentions")) / (F.col("positive_n") + F.col("no_gold_n"))).alias("selective_success"),
         rate(F.col("hits") / F.col("positive_n")).alias("positive_success"), rate(F.col("abstentions") / F.col("no_gold_n")).alias("abstention_rate"), rate(F.col("natural_rate")).alias("natural_rate"), rate(F.col("counterfactual_rate")).alias("counterfactual_rate"),
     )
+
+
+def success(metrics: DataFrame, keys: Sequence[str] = ("arm",)) -> DataFrame:
+    """success@k: the share of cases with any recall at each cut; a case without the metric counts as none."""
+    wanted = metrics.where(F.col("metric").startswith("Recall@"))
+    cases = metrics.groupBy(*keys).agg(F.countDistinct("case_id").alias("cases"))
+    hits = wanted.groupBy(*keys, F.replace("metric", F.lit("Recall"), F.lit("success")).alias("metric")).agg(F.count_if(F.col("value") > 0).alias("hits"))
+    return hits.join(cases, list(keys)).select(*keys, "metric", F.round(F.col("hits") / F.col("cases"), DIGITS).alias("value"))

@@ -330,3 +330,10 @@ def ordered_subset(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), "lang")
     wanted = spark.range(0, 100, 5).select(F.col("id").alias("case_id"), (20 - F.floor(F.col("id") / 5)).cast("int").alias("ordinal"))
     return audit.ordered_subset(docs, wanted)
+
+
+@query("accessible", "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' OR c_mktsegment = 'BUILDING'")
+def accessible(spark, d):
+    """Orders that are urgent, or whose customer is in the caller's segment."""
+    owners = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return audit.accessible(table(spark, d, "orders"), owners, "o_custkey", F.col("o_orderpriority") == "1-URGENT", F.col("c_mktsegment") == "BUILDING").select("o_orderkey")

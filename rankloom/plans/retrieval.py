@@ -259,3 +259,54 @@ def selected_segments(spark, d):
     reply = F.concat_ws(" then ", F.concat(F.lit("E00"), F.col("doc_id") % 7), F.lit("E002"), F.concat(F.lit("E00"), F.col("doc_id") % 5))
     valid = F.array(*map(F.lit, ("E001", "E002", "E003", "E004")))
     return frames.documents(spark, d).select("doc_id", F.array_join(text.selected_ids(reply, valid, 2), ",").alias("ids"))
+
+
+@query("multi_query_rrf", sql("SELECT case_id, item, score, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, first_seen) AS rank FROM (SELECT case_id, doc_id AS item, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score, min(CASE branch WHEN 'bm25' THEN 0 ELSE 100 END + rank) AS first_seen FROM branches GROUP BY case_id, doc_id) QUALIFY rank <= 20", "branches"))
+def multi_query_rrf(spark, d):
+    """The two base rankings as the answers to two queries."""
+    found = frames.base_branches(spark, d).select("case_id", F.when(F.col("branch") == "bm25", 0).otherwise(1).alias("query_no"), F.col("doc_id").alias("item"), "rank")
+    return fusion.multi_query(found).select("case_id", "item", "score", "rank")
+
+
+@query("trace_capture", sql("SELECT case_id, doc_id, min(rank) AS best_rank, string_agg(DISTINCT branch, ',' ORDER BY branch) AS found_by FROM branches GROUP BY case_id, doc_id", "branches"))
+def trace_capture(spark, d):
+    return fusion.traces(frames.base_branches(spark, d))
+
+
+@query("expansion_gate", r"SELECT item_id AS case_id, CASE WHEN len(regexp_extract_all(q, '\p{L}{2,}')) >= 6 AND (length(q) - length(translate(q, '{}[]()=<>;_', ''))) * 8 <= length(q) THEN q || ' expansion' ELSE q END AS dense_query FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text ELSE replace(text, ' ', '()') END AS q FROM benchmark)")
+def expansion_gate(spark, d):
+    """Expansions go to prose only; every other query is made to look like code."""
+    asked = frames.queries(spark, d)
+    q = F.when(F.col("case_id") % 2 == 0, F.col("query")).otherwise(F.replace("query", F.lit(" "), F.lit("()")))
+    return asked.select("case_id", text.expanded(q, F.lit("expansion")).alias("dense_query"))
+
+
+@query("success_at_k", sql("SELECT arm, replace(metric, 'Recall', 'success') AS metric, round(avg((value > 0)::INT::DOUBLE), 6) AS value FROM metrics WHERE metric LIKE 'Recall@%' GROUP BY ALL", "metrics"))
+def success_at_k(spark, d):
+    return metrics.success(frames.case_metrics(spark, d))
+
+
+SEEDS_SQL = sql("""SELECT g.case_id, n_gold, gold_seeded, coalesce(n_seeds, 0) AS n_seeds, same_directory FROM (SELECT g.case_id, count(*) AS n_gold, count(b.doc_id) AS gold_seeded FROM gold g LEFT JOIN bm25 b ON b.case_id = g.case_id AND b.doc_id = g.doc_id AND b.rank <= 5 GROUP BY g.case_id) g
+LEFT JOIN (SELECT b.case_id, count(*) AS n_seeds, round(count(p.source) / count(*)::DOUBLE, 6) AS same_directory FROM bm25 b JOIN documents d USING (doc_id) LEFT JOIN (SELECT DISTINCT case_id, source FROM gold JOIN documents USING (doc_id)) p ON p.case_id = b.case_id AND p.source = d.source WHERE b.rank <= 5 GROUP BY b.case_id) n USING (case_id)""", "bm25", "gold")
+
+
+@query("seed_audit", SEEDS_SQL)
+def seed_audit(spark, d):
+    """The first five BM25 documents as seeds, sources as directories."""
+    from rankloom.operators.audit import seed_content
+
+    seeds = ranking.bm25(*_base(spark, d), k=5).select("case_id", "doc_id")
+    gold = frames.gold(spark, d)
+    return seed_content(saved(seeds.join(gold.select("case_id").distinct(), "case_id", "left_semi")), gold, frames.documents(spark, d).select("doc_id", F.col("source").alias("directory")))
+
+
+@query("dense_agreement", sql("SELECT case_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS jaccard, a = b AS identical FROM (SELECT case_id, list(doc_id ORDER BY rank) FILTER (rank <= 10) AS a, list(doc_id ORDER BY rank) FILTER (rank BETWEEN 2 AND 11) AS b FROM dense GROUP BY case_id)", "dense"))
+def dense_agreement(spark, d):
+    """The first ten neighbours of each query against the ten from the second on, as two runs."""
+    from rankloom.functions import stats
+    from rankloom.operators.agreement import as_lists
+
+    own, asked = frames.vectors(spark, d)
+    found = as_lists(ranking.dense_scan(own, asked, 11), ["case_id"], 11)
+    a, b = F.slice("items", 1, 10), F.slice("items", 2, 10)
+    return found.select("case_id", F.round(stats.jaccard(a, b), 6).alias("jaccard"), (a == b).alias("identical"))
