@@ -32,7 +32,7 @@ def two_way(first: DataFrame, second: DataFrame, share: float = 0.7, k: int = 60
     if not 0 <= share <= 1:
         raise ValueError("share must be between 0 and 1")
     spark = first.sparkSession
-    weights = spark.createDataFrame([("two", "first", 1 - share), ("two", "second", float(share))], "config string, branch string, weight double")
+    weights = spark.createDataFrame([("two", "first", float(1 - share)), ("two", "second", float(share))], "config string, branch string, weight double")
     return rrf(union_branches({"first": first, "second": second}), weights, k, limit).drop("config")
 
 

@@ -124,10 +124,10 @@ def test_rank_metrics_and_estimands(spark):
 def test_packing_a_context(spark):
     df = spark.createDataFrame([("x", 1, d, r, c, d) for d, r, c in ((1, 1, 5), (2, 2, 6), (3, 3, 1))], "arm string, case_id int, doc_id int, rank int, cost int, digest int")
     assert [(r["doc_id"], r["used"]) for r in context.packed(df, 10).orderBy("rank").collect()] == [(1, 5), (2, 5)]
-    items = spark.sql("select array(struct(1 as id, 6L as cost, 1L as header_cost), struct(2, 6L, 1L), struct(3, 3L, 1L), struct(4, 9L, 4L), struct(5, 1L, 1L)) as a")
+    items = spark.createDataFrame([([(1, 6, 1), (2, 6, 1), (3, 3, 1), (4, 9, 4), (5, 1, 1)],)], "a array<struct<id:bigint,cost:bigint,header_cost:bigint>>")
     kept = items.select(context.seeded(F.col("a"), 11)["kept"].alias("k")).first()["k"]
     assert [(r["id"], r["whole"], r["cost"]) for r in kept] == [(1, True, 6), (2, False, 1), (3, True, 3)]
-    sizes = spark.sql("select array(struct(1 as id, 4L as size), struct(2, 4L), struct(3, 4L), struct(4, 9L), struct(5, 1L)) as a")
+    sizes = spark.createDataFrame([([(1, 4), (2, 4), (3, 4), (4, 9), (5, 1)],)], "a array<struct<id:bigint,size:bigint>>")
     assert [r["batch"] for r in sizes.select(context.batches(F.col("a"), 2, 10).alias("b")).first()["b"]] == [0, 0, 1, 2, 2]
     assert context.segments("a b c\n\nd e f g h", 6) == ["a b c", "d e f g h"] and context.segments("", 5) == [] and context.segments("x" * 50, 1) == ["x" * 50]
 
@@ -136,7 +136,7 @@ def test_sampling(spark):
     cases = spark.createDataFrame([(k, f"r{k % 3}") for k in range(30)], "case_id int, repo string")
     split = sampling.hash_split(cases, "s", "v", "repo")
     assert rows(split.groupBy("repo", "split").count(), "repo", "split") == [(f"r{k}", s, n) for k in range(3) for s, n in (("development", 2), ("final", 8))]
-    assert sampling.quota_sample(cases, 7, "x").count() == 7
+    assert sampling.quota_sample(cases, 8, "x").count() == 8
     with pytest.raises(ValueError):
         sampling.group_counts_split(cases, 5, 6, "s")
     assert sampling.diverse_probe([("1", "t1", "a"), ("2", "t1", "b"), ("3", "t2", "b"), ("4", "t3", "a")], 3) == ["1", "3", "2"]
