@@ -49,7 +49,7 @@ def test_filters_are_pushed_down_and_parts_are_split(spark, tmp_path):
     assert [type(f).__name__ for f in rest] == ["GreaterThan"]
     parts = reader.partitions()
     assert len(parts) == len(ROWS)
-    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 5
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 4
     assert warc.read_archives(spark, path).where("target_uri is null").count() == 1
 
 
