@@ -53,7 +53,8 @@ def _matrix(column) -> np.ndarray:
 
 
 def _cells(n: int) -> int:
-    return max(2, math.ceil(math.sqrt(n) / 8))
+    """Cells of a label of n vectors: a block each for a start, then as the root of n, so that centroids stay few."""
+    return max(2, math.ceil(min(n / BLOCK, math.sqrt(n) / 8)))
 
 
 def _learn(table: pa.Table) -> pa.Table:
