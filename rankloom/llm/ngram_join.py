@@ -165,14 +165,22 @@ def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _pack(k: int, bands: Bands, parts: int, common):
-    """The nodes of every set, by the partition that a key's hash names; 32 bits of a key are kept, so that a few nodes merge."""
+    """The nodes of every set, by the partition that a key's hash names; 32 bits of a key are kept, so that a few nodes merge.
+
+    Of equal sets of a batch one is enough, as equal sets are joined by value: a text with any number of copies sends as
+    many rows as there are batches with it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            digests, found = np.zeros(len(ids), np.int64), {}
+            digests, found, seen = np.zeros(len(ids), np.int64), {}, set()
             for row, tokens in enumerate(kernel.distinct_shingles(batch.column(1), k)):
-                digests[row], _ = _digest(tokens)
+                digest = _digest(tokens)
+                if digest in seen:
+                    continue
+                seen.add(digest)
+                digests[row] = digest[0]
                 for band, keys in bands.nodes(tokens, common.value):
                     found.setdefault(band, []).append((keys, np.full(len(keys), row, np.int32)))
             rows = []
