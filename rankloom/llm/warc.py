@@ -135,10 +135,12 @@ class _Bytes:
                 raise ValueError("a WARC record ends early")
 
 
-def _parsed(lines: Iterator[bytes]) -> dict[str, str]:
+def _parsed(lines: Iterator[bytes | None]) -> dict[str, str]:
     fields: dict[str, str] = {}
     last = None
     for line in lines:
+        if line is None:
+            raise ValueError("a WARC record ends early")
         text = line.decode("utf-8", "replace")
         if text[0] in " \t" and last:
             fields[last] += " " + text.strip()

@@ -77,5 +77,6 @@ def test_empty_table_and_folded_headers(spark, tmp_path):
     raw = b"WARC/1.0\r\nWARC-Type: response\r\nX-Long: a\r\n b\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     ((fields, block),) = warc.read_records(io.BytesIO(raw))
     assert fields["x-long"] == "a b" and block == b"hi"
-    with pytest.raises(ValueError):
-        list(warc.read_records(io.BytesIO(raw[:-6])))
+    for cut in (len(raw) - 6, 30):
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(raw[:cut])))
