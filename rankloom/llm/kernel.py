@@ -7,6 +7,7 @@ as empty.  Hashes are 64-bit and the same in every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,3 +154,50 @@ def distinct_shingles(column, k: int) -> Iterator[np.ndarray]:
         value, begin = shingles(*word_hashes(part, ends), k)
         for row in range(b - a):
             yield np.unique(value[begin[row] : begin[row + 1]])
+
+
+ID_BITS = 1 << 24
+
+
+def id_bits(ids: np.ndarray) -> np.ndarray:
+    """Places of ids in a bitmap of ID_BITS bits."""
+    return (mix64(ids.view(_U)) % _U(ID_BITS)).astype(np.int64)
+
+
+def _id_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bitmap = np.zeros(ID_BITS // 8, np.uint8)
+    for batch in batches:
+        at = id_bits(np.asarray(batch.column(0)))
+        np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    used = np.flatnonzero(bitmap)
+    yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.uint32).tobytes()], pa.binary()), pa.array([bitmap[used].tobytes()], pa.binary())], ["at", "bits"])
+
+
+def id_bitmap(ids, parts: int = 4) -> np.ndarray:
+    """A bitmap of a fixed size of the first column (longs, none null) of a DataFrame: it holds all ids, and some others by chance."""
+    bitmap = np.zeros(ID_BITS // 8, np.uint8)
+    for row in ids.coalesce(parts).mapInArrow(_id_places, "at binary, bits binary").collect():  # at most `parts` bitmaps
+        bitmap[np.frombuffer(row["at"], np.uint32)] |= np.frombuffer(row["bits"], np.uint8)
+    return bitmap
+
+
+def rows_with_id(docs, bitmap, inside: bool = True):
+    """The rows of a DataFrame with a doc_id that the (broadcast) bitmap holds, or does not; a null doc_id is not held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            at = id_bits(np.asarray(pc.fill_null(ids, 0)))
+            held = ((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) & np.asarray(pc.is_valid(ids))
+            yield batch.filter(pa.array(held if inside else ~held))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

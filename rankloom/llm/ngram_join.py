@@ -133,6 +133,8 @@ def _repeated(k: int):
                 tokens, n = np.unique(np.concatenate(list(different.values())), return_counts=True)
                 kept = n >= COMMON_IN_BATCH
                 yield pa.RecordBatch.from_arrays([pa.array(tokens[kept].view(np.int64)), pa.array(n[kept].astype(np.int64))], ["token", "n"])
+                del different, tokens, n
+        kernel.release()
 
     return run
 
@@ -196,6 +198,7 @@ def _pack(k: int, bands: Bands, parts: int, common):
                         rows.append((p, band, (keys[chosen] >> _U(32)).astype(np.uint32).tobytes(), own.astype(_width(len(rows_of))).tobytes(), ids[rows_of].tobytes(), digests[rows_of].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], ["part", "band", "keys", "at", "ids", "digests"])
+        kernel.release()
 
     return run
 
@@ -238,6 +241,7 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(ids), 1 << 16):
             part = slice(a, a + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(lead[part]), pa.array(np.full(len(lead[part]), band, np.int32)), pa.array(ids[part])], ["leader", "band", "member"])
+    kernel.release()
 
 
 class Joined:
@@ -430,7 +434,9 @@ def jaccard_links(docs: DataFrame, led: DataFrame, k: int, bands: Bands, block_s
 
     Links between equal sets are left to the caller.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = kernel.rows_with_id(docs, spark.sparkContext.broadcast(kernel.id_bitmap(led.select("member"))))  # other texts stay where they are
     weight = led.groupBy("leader").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     member = led.join(weight, "leader").withColumn(
         "block", F.when(F.col("leader") == F.col("member"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")))
