@@ -86,4 +86,4 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All vectors (doc_id, vector, label) and the queries among them (case_id, query_vector, query_label)."""
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
-    return own, own.where("doc_id % 25 = 0").select(F.col("doc_id").alias("case_id"), F.col("vector").alias("query_vector"), F.col("label").alias("query_label"))
+    return own, own.where("doc_id % 20 = 0").select(F.col("doc_id").alias("case_id"), F.col("vector").alias("query_vector"), F.col("label").alias("query_label"))
