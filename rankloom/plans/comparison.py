@@ -179,8 +179,9 @@ OBSERVATIONS = "SELECT doc_id % 50 AS case_id, (doc_id // 50 % 3)::INT AS repeat
 
 
 def _observations(spark, d):
-    own = table(spark, d, "documents").where("doc_id < 300 and doc_id % 50 != 7")
-    return own.select((F.col("doc_id") % 50).alias("case_id"), (F.floor(F.col("doc_id") / 50) % 3).cast("int").alias("repeat"), F.when(F.floor(F.col("doc_id") / 150) % 2 == 0, "full").otherwise("compact").alias("transform"), F.col("n_chars").cast("double").alias("value"))
+    """Six documents a case, over the whole table: three repeats of each transform."""
+    slot = F.pmod(F.col("doc_id"), F.lit(6))
+    return table(spark, d, "documents").select(F.floor(F.col("doc_id") / 6).alias("case_id"), (slot % 3).cast("int").alias("repeat"), F.when(slot < 3, "full").otherwise("compact").alias("transform"), F.col("n_chars").cast("double").alias("value"))
 
 
 @query("transform_deltas", f"SELECT case_id, repeat, x.value AS full, y.value AS compact, round(y.value - x.value, 6) AS delta FROM ({OBSERVATIONS}) x JOIN ({OBSERVATIONS}) y USING (case_id, repeat) WHERE x.transform = 'full' AND y.transform = 'compact'".replace("AS full", 'AS "full"'))
@@ -190,9 +191,11 @@ def transform_deltas(spark, d):
 
 @query("fail_closed", f"SELECT transform, count(*) AS scheduled, count(*) FILTER (value IS NULL) AS errors, false AS valid, NULL::DOUBLE AS mean FROM (SELECT c AS case_id, r::INT AS repeat, t AS transform FROM range(50) a(c), range(3) b(r), (VALUES ('full'), ('compact')) v(t)) LEFT JOIN ({OBSERVATIONS}) USING (case_id, repeat, transform) GROUP BY transform")
 def fail_closed(spark, d):
-    """A schedule of which one case is missing: every mean is null."""
-    schedule = spark.range(50).withColumnRenamed("id", "case_id").withColumn("repeat", F.explode(F.array(*map(F.lit, range(3))))).withColumn("transform", F.explode(F.array(F.lit("full"), F.lit("compact"))))
-    return pairing.fail_closed(schedule, _observations(spark, d).withColumn("status", F.lit("ok")))
+    """A schedule of every case of the table and of one more, which is missing: every mean is null."""
+    rows = _observations(spark, d)
+    cases = rows.select("case_id").distinct().unionByName(rows.agg((F.max("case_id") + 1).alias("case_id")))
+    schedule = cases.withColumn("repeat", F.explode(F.array(*map(F.lit, range(3))))).withColumn("transform", F.explode(F.array(F.lit("full"), F.lit("compact"))))
+    return pairing.fail_closed(schedule, rows.withColumn("status", F.lit("ok")))
 
 
 def _runs(spark, d) -> DataFrame:

@@ -327,8 +327,10 @@ def item_identity(spark, d):
 
 @query("ordered_subset", "SELECT doc_id AS case_id, (20 - doc_id // 5)::INT AS ordinal, lang FROM documents WHERE doc_id % 5 = 0 AND doc_id < 100")
 def ordered_subset(spark, d):
+    """All labelled documents, the last first."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), "lang")
-    wanted = spark.range(0, 100, 5).select(F.col("id").alias("case_id"), (20 - F.floor(F.col("id") / 5)).cast("int").alias("ordinal"))
+    ids = table(spark, d, "labels").select(F.col("doc_id").alias("case_id")).distinct()
+    wanted = ids.crossJoin(ids.agg(F.max("case_id").alias("last"))).select("case_id", (F.col("last") - F.col("case_id") + 1).alias("ordinal"))
     return audit.ordered_subset(docs, wanted)
 
 

@@ -32,3 +32,21 @@ def test_every_twentieth_vector_is_a_query(spark):
         assert all(abs(cosine[ids == doc][0] - score) < 2e-6 and doc != case for doc, score in ranks.values())
     for name in ("dense_maxpool", "dense_keep_first", "dense_agreement"):
         assert {r["case_id"] for r in catalog.QUERIES[name](spark, DATA).collect()} == wanted
+
+
+def test_observations_are_of_every_document(spark):
+    rows = {r["doc_id"]: float(r["n_chars"]) for r in table(spark, DATA, "documents").select("doc_id", "n_chars").collect()}
+    pairs = {(i // 6, i % 6): (v, rows[i + 3], round(rows[i + 3] - v, 6)) for i, v in rows.items() if i % 6 < 3 and i + 3 in rows}
+    found = catalog.QUERIES["transform_deltas"](spark, DATA).collect()
+    assert {(r["case_id"], r["repeat"]): (r["full"], r["compact"], r["delta"]) for r in found} == pairs and len(found) == len(pairs)
+    scheduled = 3 * (len({i // 6 for i in rows}) + 1)
+    for r in catalog.QUERIES["fail_closed"](spark, DATA).collect():
+        there = sum((i % 6 < 3) == (r["transform"] == "full") for i in rows)
+        assert (r["scheduled"], r["errors"], r["valid"], r["mean"]) == (scheduled, scheduled - there, False, None)
+
+
+def test_ordered_subset_is_of_every_labelled_document(spark):
+    wanted = sorted({r["doc_id"] for r in table(spark, DATA, "labels").collect()}, reverse=True)
+    langs = {r["doc_id"]: r["lang"] for r in table(spark, DATA, "documents").collect()}
+    found = catalog.QUERIES["ordered_subset"](spark, DATA).collect()
+    assert [(r["case_id"], r["ordinal"], r["lang"]) for r in found] == [(i, wanted[0] - i + 1, langs[i]) for i in wanted]
