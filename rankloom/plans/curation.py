@@ -64,9 +64,16 @@ def first_of_workflow(spark, d):
 
 @query("diverse_probe", None)
 def diverse_probe(spark, d):
-    """Of the first thirty documents by id, twelve of as many languages and sources as the order allows."""
-    rows = [(str(r["case_id"]), r["workflow"], r["repo"]) for r in _docs(spark, d).orderBy("case_id").limit(30).collect()]
-    return spark.createDataFrame(list(enumerate(sampling.diverse_probe(rows, 12), 1)), "place int, case_id string")
+    """Of all documents by id, twelve of as many languages and sources as the order allows.
+
+    Only the first document of a language and source can be of a new one, and only the first twelve ids can fill up, so the
+    greedy choice is made among those.
+    """
+    docs, most = _docs(spark, d), 12
+    firsts = docs.groupBy("workflow", "repo").agg(F.min("case_id").alias("case_id"))
+    kept = firsts.select("case_id", "workflow", "repo").unionByName(docs.orderBy("case_id").limit(most).select("case_id", "workflow", "repo")).distinct()
+    rows = [(str(r["case_id"]), r["workflow"], r["repo"]) for r in kept.orderBy("case_id").collect()]  # a row a language and source
+    return spark.createDataFrame(list(enumerate(sampling.diverse_probe(rows, most)[:most], 1)), "place int, case_id string")
 
 
 SCHEDULE = "SELECT ((r - 1) * n + p - 1) * 2 + x AS observation_index, (r - 1) * n + p AS pair_index, r AS repeat, p AS case_position, case_id, CASE WHEN (((r + p) % 2 = 0) = (x = 1)) THEN 'full' ELSE 'compact' END AS transform, CASE WHEN (r + p) % 2 = 0 THEN 'AB' ELSE 'BA' END AS \"order\", x AS position FROM (SELECT item_id AS case_id, row_number() OVER (ORDER BY item_id) AS p, count(*) OVER () AS n FROM benchmark), range(1, 6) a(r), range(1, 3) b(x)"

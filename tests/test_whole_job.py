@@ -50,3 +50,13 @@ def test_ordered_subset_is_of_every_labelled_document(spark):
     langs = {r["doc_id"]: r["lang"] for r in table(spark, DATA, "documents").collect()}
     found = catalog.QUERIES["ordered_subset"](spark, DATA).collect()
     assert [(r["case_id"], r["ordinal"], r["lang"]) for r in found] == [(i, wanted[0] - i + 1, langs[i]) for i in wanted]
+
+
+def test_diverse_probe_searches_all_documents(spark, tmp_path):
+    from rankloom.operators.sampling import diverse_probe
+
+    rows = [(i, "en" if i % 7 else "de", "hot") for i in range(60)] + [(60 + i, f"l{i % 3}", f"s{i % 9}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [r["case_id"] for r in catalog.QUERIES["diverse_probe"](spark, str(tmp_path)).orderBy("place").collect()]
+    assert found == diverse_probe([(str(i), lang, source) for i, lang, source in rows], 12)[:12]
+    assert {dict((str(i), source) for i, _, source in rows)[c] for c in found} == {"hot", *(f"s{k}" for k in range(9))}
