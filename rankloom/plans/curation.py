@@ -11,6 +11,8 @@ from rankloom.plans.fragments import sql
 from rankloom.session import table
 
 QUERIES, SQL = {}, {}
+#: More characters than a text can have.
+WHOLE = (1 << 31) - 1
 
 
 def query(name: str, twin: str | None):
@@ -47,8 +49,11 @@ def group_counts_split(spark, d):
 
 @query("distinct_keep_min", "SELECT row_number() OVER (ORDER BY sha256('m|' || k)) AS place, message, k AS doc_id FROM (SELECT substr(text, 1, 12) AS message, min(doc_id) AS k FROM documents GROUP BY 1) ORDER BY sha256('m|' || k) LIMIT 25")
 def distinct_keep_min(spark, d):
-    rows = table(spark, d, "documents").select(F.substring("text", 1, 12).alias("message"), "doc_id")
-    return sampling.distinct_keep_least(rows, "message", "doc_id", 25, "m")
+    """Messages are whole cleaned texts, whatever the case; they are told apart by a digest, and only those drawn are carried."""
+    docs = table(spark, d, "documents")
+    message = text.clean_message(F.col("text"), WHOLE)
+    drawn = sampling.distinct_keep_least(docs.select(F.sha2(F.lower(message), 256).alias("digest_of"), "doc_id"), "digest_of", "doc_id", 25, "m")
+    return docs.join(F.broadcast(drawn), "doc_id").select("place", message.alias("message"), "doc_id")  # 25 rows
 
 
 @query("control_sample", sql("SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY sha256('c|' || case_id || '|' || doc_id), doc_id) AS place FROM (SELECT DISTINCT case_id FROM gold) CROSS JOIN (SELECT doc_id FROM documents) ANTI JOIN gold USING (case_id, doc_id) QUALIFY place <= 10", "gold"))
@@ -315,13 +320,14 @@ def leakage_filter(spark, d):
 
 @query("commit_eligibility", "SELECT doc_id FROM documents WHERE length(substr(text, 1, 40)) >= 24 AND doc_id % 3 > 0 AND doc_id % 4 > 0")
 def commit_eligibility(spark, d):
-    """Subjects long enough whose one to five changes are modifications of source files that the subject doesn't name."""
+    """Messages with a long enough first line whose one to five changes are modifications of source files that the whole message doesn't name."""
     docs = table(spark, d, "documents")
     change = lambda status, path: F.struct(status.alias("status"), path.alias("path"))
     changes = F.array(change(F.when(F.col("doc_id") % 3 == 0, "A").otherwise("M"), F.concat(F.lit("lib/"), "source", F.lit("_x.py"))), change(F.lit("M"), F.concat(F.when(F.col("doc_id") % 4 == 0, "tests/").otherwise("pkg/"), "lang", F.lit("_y.go"))))
-    rows = docs.select("doc_id", F.substring("text", 1, 40).alias("subject"), changes.alias("changes"))
+    message = text.clean_message(F.col("text"), WHOLE)
+    rows = docs.select("doc_id", message.alias("message"), F.get(F.split(message, "\n"), F.lit(0)).alias("subject"), changes.alias("changes"))
     paths = F.transform("changes", lambda c: c["path"])
-    good = (F.length("subject") >= 24) & ~text.is_low_value(F.col("subject")) & F.size("changes").between(1, 5) & F.forall("changes", lambda c: c["status"] == "M") & (F.size(F.array_distinct(paths)) == F.size(paths)) & F.forall(paths, text.is_source_path) & ~text.leaks(F.col("subject"), paths)
+    good = (F.length("subject") >= 24) & ~text.is_low_value(F.col("subject")) & F.size("changes").between(1, 5) & F.forall("changes", lambda c: c["status"] == "M") & (F.size(F.array_distinct(paths)) == F.size(paths)) & F.forall(paths, text.is_source_path) & ~text.leaks(F.col("message"), paths)
     return rows.where(good).select("doc_id")
 
 

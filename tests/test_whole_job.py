@@ -60,3 +60,24 @@ def test_diverse_probe_searches_all_documents(spark, tmp_path):
     found = [r["case_id"] for r in catalog.QUERIES["diverse_probe"](spark, str(tmp_path)).orderBy("place").collect()]
     assert found == diverse_probe([(str(i), lang, source) for i, lang, source in rows], 12)[:12]
     assert {dict((str(i), source) for i, _, source in rows)[c] for c in found} == {"hot", *(f"s{k}" for k in range(9))}
+
+
+def documents(spark, path, texts):
+    """A documents table of these texts, with ids 1, 13, 25, ..: all are modifications of source files."""
+    rows = [(1 + 12 * k, t, "en", "src1", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_messages_are_whole_texts(spark, tmp_path):
+    head = "the same words " * 400
+    d = documents(spark, tmp_path, [head + "a", head + "b", head.upper() + "A", head + "b\nSigned-off-by: x"])
+    found = {r["doc_id"]: r["message"] for r in catalog.QUERIES["distinct_keep_min"](spark, d).collect()}
+    assert found == {1: head + "a", 13: head + "b"}
+
+
+def test_commits_are_judged_by_the_whole_message(spark, tmp_path):
+    good = "A subject that is certainly long enough"
+    texts = [good, good + "\n" + "words " * 900 + "see lib/src1_x.py", good + " and " * 9 + "en_y.go", "Short\n" + good, "Merge " + good, good + "\nMerge"]
+    found = {r["doc_id"] for r in catalog.QUERIES["commit_eligibility"](spark, documents(spark, tmp_path, texts)).collect()}
+    assert found == {1, 61}
