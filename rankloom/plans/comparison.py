@@ -111,7 +111,7 @@ SELECT arm, metric, estimand, round(max""", 1)
 @query("bootstrap_multi_arm", MULTI_SQL)
 def bootstrap_multi_arm(spark, d):
     found = frames.case_metrics(spark, d).where(F.col("metric").isin("MRR", "Recall@20"))
-    return resampling.multi_arm(found, "bm25", resamples=200)
+    return resampling.multi_arm(found, "bm25", resamples=100_000)
 
 
 @query("pooled_pairs", sql(f"""SELECT metric, {SUMMARY} FROM (SELECT b.metric, b.value AS baseline, c.value AS candidate, c.value - b.value AS delta FROM metrics b JOIN metrics c USING (case_id, metric) WHERE (b.arm, c.arm) IN (('bm25', 'rrf70'), ('rrf30', 'lexical')) AND metric IN ('MRR', 'Recall@5', 'Recall@20', 'any_gold@20')) GROUP BY metric""", "metrics"))
@@ -137,7 +137,7 @@ def sequential_looks(spark, d):
     rows = frames.pairs(spark, d).withColumn("look", F.explode(F.sequence(F.col("case_id") % looks + 1, F.lit(looks).cast("long"))))
     keys = ("look", "metric")
     rows = saved(rows)
-    reps = saved(resampling.replicates(rows, keys, resamples=500))
+    reps = saved(resampling.replicates(rows, keys, resamples=20_000))
     found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("delta"), 6).alias("mean_delta"), (F.avg("delta") > 0).alias("positive"))
     return found.join(resampling.interval(reps, keys), list(keys)).join(resampling.interval(reps, keys, 0.05 / looks, ("ci_low_adjusted", "ci_high_adjusted")), list(keys))
 

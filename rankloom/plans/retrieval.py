@@ -50,7 +50,7 @@ SELECT case_id, doc_id, score, matched_terms, array_to_string(terms, ' ') AS ter
 @query("idf_lexical_search", IDF_SQL)
 def idf_lexical_search(spark, d):
     docs, asked = _base(spark, d)
-    return ranking.idf_containment(docs, ranking.identifier_terms(asked, most=8)).withColumn("terms", F.array_join("terms", " "))
+    return ranking.idf_containment(docs, ranking.identifier_terms(asked)).withColumn("terms", F.array_join("terms", " "))
 
 
 @query("dense_topk", sql("SELECT case_id, doc_id, score, rank FROM dense", "dense"))
@@ -114,16 +114,16 @@ FROM (SELECT *, max(score) FILTER (rank = 1) OVER (PARTITION BY case_id) AS top
 @query("rerank_blend", RERANK_SQL)
 def rerank_blend(spark, d):
     """BM25 with a stand-in logit, a column like any scorer's."""
-    found = ranking.bm25(*_base(spark, d)).withColumn("logit", ((F.col("doc_id") % 7) - 3).cast("double"))
-    return ranking.rerank_blend(found, head=20, window=10)
+    found = ranking.bm25(*_base(spark, d), k=50).withColumn("logit", ((F.col("doc_id") % 7) - 3).cast("double"))
+    return ranking.rerank_blend(found)
 
 
 @query("listwise_permutation", sql("SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY rank > 5, CASE WHEN case_id % 2 = 0 AND rank <= 5 THEN 6 - rank ELSE rank END, rank) AS rank FROM bm25", "bm25"))
 def listwise_permutation(spark, d):
     """A complete order for even cases, an incomplete one for odd ones, which keep theirs."""
-    found = saved(ranking.bm25(*_base(spark, d)).select("case_id", "doc_id", "rank"))
-    order = found.where("rank <= 5 and (case_id % 2 = 0 or rank = 5)").select("case_id", "doc_id", (6 - F.col("rank")).alias("place"))
-    return ranking.permuted(found, order, head=5)
+    found = saved(ranking.bm25(*_base(spark, d), k=50).select("case_id", "doc_id", "rank"))
+    order = found.where("rank <= 20 and (case_id % 2 = 0 or rank = 20)").select("case_id", "doc_id", (21 - F.col("rank")).alias("place"))
+    return ranking.permuted(found, order)
 
 
 GOLD_RANKS_SQL = sql("SELECT c.case_id, a.arm, min(r.rank) AS first_gold_rank FROM (SELECT DISTINCT case_id FROM gold) c CROSS JOIN (SELECT DISTINCT arm FROM ranked) a LEFT JOIN hits r ON r.case_id = c.case_id AND r.arm = a.arm AND r.hit GROUP BY ALL", "hits")

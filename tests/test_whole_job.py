@@ -81,3 +81,32 @@ def test_commits_are_judged_by_the_whole_message(spark, tmp_path):
     texts = [good, good + "\n" + "words " * 900 + "see lib/src1_x.py", good + " and " * 9 + "en_y.go", "Short\n" + good, "Merge " + good, good + "\nMerge"]
     found = {r["doc_id"] for r in catalog.QUERIES["commit_eligibility"](spark, documents(spark, tmp_path, texts)).collect()}
     assert found == {1, 61}
+
+
+def test_rankers_run_with_their_whole_depth(spark):
+    from pyspark.sql import functions as F
+
+    from rankloom.operators import ranking
+
+    docs, asked = frames.documents(spark, DATA).select("doc_id", "text"), frames.queries(spark, DATA)
+    rows = lambda df: sorted(map(tuple, df.select("case_id", "doc_id", "rank").collect()))
+    deep = ranking.bm25(docs, asked, k=50).select("case_id", "doc_id", "score", "rank").cache()
+    assert max(r["rank"] for r in deep.collect()) == 50
+    blended = ranking.rerank_blend(deep.withColumn("logit", ((F.col("doc_id") % 7) - 3).cast("double")), head=50, window=30)
+    assert rows(catalog.QUERIES["rerank_blend"](spark, DATA)) == rows(blended)
+    want = sorted((r["case_id"], r["doc_id"], 21 - r["rank"] if r["case_id"] % 2 == 0 and r["rank"] <= 20 else r["rank"]) for r in deep.collect())
+    sizes = {c: sum(x[0] == c for x in want) for c, _, _ in want}
+    got = rows(catalog.QUERIES["listwise_permutation"](spark, DATA))
+    assert [x for x in got if sizes[x[0]] >= 20] == [x for x in want if sizes[x[0]] >= 20]
+    terms = ranking.identifier_terms(asked, most=24)
+    assert rows(catalog.QUERIES["idf_lexical_search"](spark, DATA)) == rows(ranking.idf_containment(docs, terms))
+
+
+@pytest.mark.parametrize("name, module, least", [("bootstrap_multi_arm", "multi_arm", 100_000), ("sequential_looks", "replicates", 20_000)])
+def test_bootstraps_have_all_replicates(spark, monkeypatch, name, module, least):
+    from rankloom.operators import resampling
+
+    asked, real = [], resampling.draws
+    monkeypatch.setattr(resampling, "draws", lambda groups, resamples=resampling.RESAMPLES, seed=resampling.SEED: asked.append(resamples) or real(groups, resamples, seed))
+    catalog.QUERIES[name](spark, DATA)
+    assert max(asked) == least
