@@ -42,6 +42,15 @@ def ablations(weights: dict[str, float]) -> list[tuple[str, str, float]]:
     return rows + [(f"without_{off}", branch, 0.0 if branch == off else w) for off in weights for branch, w in weights.items()]
 
 
+#: Weights of the two leading branches in configs that leave all others out.
+OVERRIDES = {"vector_bm25_equal": {"vector": 0.5, "bm25": 0.5}, "vector_bm25_tuned": {"vector": 0.5, "bm25": 0.25}, "vector_only": {"vector": 0.5}}
+
+
+def overrides(weights: dict[str, float]) -> list[tuple[str, str, float]]:
+    """(config, branch, weight) rows of the configs of OVERRIDES."""
+    return [(config, branch, own.get(branch, 0.0)) for config, own in OVERRIDES.items() for branch in weights]
+
+
 def multi_query(items: DataFrame, k: int = 60, limit: int = 20) -> DataFrame:
     """One ranking of the items (case_id, query_no, item, rank) of several queries of a case; ties keep the order of first appearance."""
     first = F.min(F.struct("query_no", "rank"))

@@ -97,13 +97,13 @@ SELECT config, case_id, doc_id, score, row_number() OVER (PARTITION BY config, c
 
 @query("rrf_ablation", ABLATION_SQL)
 def rrf_ablation(spark, d):
-    """Six-branch fusion of each label's vectors, and without each branch in turn."""
+    """Six-branch fusion of each label's vectors, without each branch in turn, and with the two leading branches only."""
     rows = table(spark, d, "embeddings")
     names = F.array(*map(F.lit, PROFILE))
     slot = (F.col("vec_id") % 6).cast("int")
     branches = rows.select(F.get(names, slot).alias("branch"), F.col("label").alias("case_id"), F.col("vec_id").alias("doc_id"), F.get("embedding", slot).alias("score"))
     branches = ranking.top_k(branches, 1 << 30, keys=("branch", "case_id"))
-    return fusion.rrf(branches, spark.createDataFrame(fusion.ablations(PROFILE), "config string, branch string, weight double")).select("config", "case_id", "doc_id", "score", "rank")
+    return fusion.rrf(branches, spark.createDataFrame(fusion.ablations(PROFILE) + fusion.overrides(PROFILE), "config string, branch string, weight double")).select("config", "case_id", "doc_id", "score", "rank")
 
 
 RERANK_SQL = sql("""SELECT case_id, doc_id, rank AS before, blend, row_number() OVER (PARTITION BY case_id ORDER BY rank <= 10 DESC, CASE WHEN rank <= 10 THEN -blend ELSE rank END, doc_id) AS rank FROM (

@@ -110,3 +110,12 @@ def test_bootstraps_have_all_replicates(spark, monkeypatch, name, module, least)
     monkeypatch.setattr(resampling, "draws", lambda groups, resamples=resampling.RESAMPLES, seed=resampling.SEED: asked.append(resamples) or real(groups, resamples, seed))
     catalog.QUERIES[name](spark, DATA)
     assert max(asked) == least
+
+
+def test_ablation_has_the_two_branch_configs(spark):
+    found = {}
+    for r in catalog.QUERIES["rrf_ablation"](spark, DATA).collect():
+        found.setdefault(r["config"], []).append((r["doc_id"], r["rank"], r["score"]))
+    assert len(found) == 10 and {"vector_bm25_equal", "vector_bm25_tuned", "vector_only"} <= set(found)
+    assert all(doc % 6 == 0 and score == round(0.5 / (60 + rank), 10) for doc, rank, score in found["vector_only"])
+    assert all(doc % 6 < 2 for name in ("vector_bm25_equal", "vector_bm25_tuned") for doc, _, _ in found[name])
