@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rankloom.session import shared_dir
 
@@ -67,7 +68,11 @@ def _pieces(capacity: int, end_id: int, ranks_file: str, pattern: str, with_ids:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, ranks_file: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of every document's tokens, closed by end_id; null text is empty."""
+    """doc_id, piece, start, length, ids_crc32 (and ids) of every document's tokens, closed by end_id.
+
+    A null or empty text has the end id alone; a text of any length is tokenised whole and only then cut; repeated rows give
+    repeated pieces; an empty table gives none; other columns are ignored.
+    """
     import public_tokenizers
 
     ranks_file = ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -110,20 +115,26 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     for length in range(small, 0, -1):
         gap = length
         while left[length]:
-            while gap <= capacity and not gaps[gap]:
+            while gap < capacity and not gaps[gap]:
                 gap += 1
-            if gap > capacity:
+            if not gaps[gap]:
                 n = -(-left[length] // (capacity // length))
                 gaps[capacity].append((bins, n))
                 bins += n
-                gap = capacity
             first, n = gaps[gap].pop()
-            taken = min(n, left[length])
-            if taken < n:
-                gaps[gap].append((first + taken, n - taken))
-            place(length, taken, first, capacity - gap)
-            gaps[gap - length].append((first, taken))
-            gap = length if gap - length >= length else gap
+            each = gap // length  # one after the other goes to the same sequence, whose gap is now the smallest
+            whole, rest = divmod(left[length], each)
+            whole = min(whole, n)
+            rest = rest if whole < n else 0
+            for k in range(each):
+                if whole + (k < rest):
+                    place(length, whole + (k < rest), first, capacity - gap + k * length)
+            if whole:
+                gaps[gap - each * length].append((first, whole))
+            if rest:
+                gaps[gap - rest * length].append((first + whole, 1))
+            if n > whole + (rest > 0):
+                gaps[gap].append((first + whole + (rest > 0), n - whole - (rest > 0)))
     return entries
 
 
@@ -140,8 +151,7 @@ def _placed(entries: list[tuple[int, int, int, int, int]], capacity: int):
                 here = own == x
                 a, b = start[x], start[x + 1]
                 entry[here] = a + np.searchsorted(rank[a:b], at[here], "right") - 1
-            columns = [batch.column(c) for c in batch.schema.names if c != "rank"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(first[entry] + at - rank[entry]), pa.array(offset[entry])], [*(c for c in batch.schema.names if c != "rank"), "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(first[entry] + at - rank[entry]), pa.array(offset[entry])], ["row", "sequence_id", "offset"])
 
     return run
 
@@ -149,22 +159,23 @@ def _placed(entries: list[tuple[int, int, int, int, int]], capacity: int):
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`cut_pieces` (doc_id, piece, length, ids_crc32 and more) with sequence_id and offset: gapless from 0, within the capacity.
 
-    Repeated rows are pieces of their own; null doc_ids are ordinary values; an empty table gives no rows.
+    Repeated rows are pieces of their own; null doc_ids are ordinary values; an empty table gives no rows.  Other columns
+    come through whatever their names, but for sequence_id and offset, which the placement replaces.
     """
     spark = cut_pieces.sparkSession
     shared_dir(spark)
-    own = cut_pieces.checkpoint()
+    cut_pieces = cut_pieces.drop("sequence_id", "offset")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")
+    own = cut_pieces.select(F.col("length").cast("long").alias("length"), bucket.alias("bucket"), F.struct(*(F.col(f"`{c}`") for c in cut_pieces.columns)).alias("row")).checkpoint()
     counts = own.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {int(a): int(b) for a, b in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = own.join(counts, ["length", "bucket"]).withColumn("rank", (F.col("earlier") + F.row_number().over(inside) - 1).cast("long"))
-    kept = cut_pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(*kept, "rank").mapInArrow(_placed(plan(histogram, capacity), capacity), schema)
+    inside = Window.partitionBy("length", "bucket").orderBy("row.doc_id", "row.piece", "row.ids_crc32")
+    ranked = own.join(counts, ["length", "bucket"]).select("length", (F.col("earlier") + F.row_number().over(inside) - 1).cast("long").alias("rank"), "row")
+    placed = ranked.mapInArrow(_placed(plan(histogram, capacity), capacity), StructType([ranked.schema["row"], StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    return placed.select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, ranks_file: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rankloom.llm import packing
@@ -43,9 +44,56 @@ def test_plans_place_everything_once(counts):
             at += length
         assert at <= 64
         assert sum(length > 64 // 3 for _, length in own) <= 2
-    total = sum(a * b for a, b in counts.items())
-    large = sum(n for a, n in counts.items() if a > 32)
-    assert len(bins) <= max(1.25 * max(-(-total // 64), large) + 2, 1)
+    # An item above a third shares a bin with at most one other such item, so a maximum matching of them gives the
+    # fewest bins that they need.  Small items open a bin only if no bin has a gap for them, so of the bins opened for
+    # them all but the last are more than two thirds full.
+    items = [a for a, n in counts.items() for _ in range(n)]
+    opened = [own for own in bins.values() if all(length <= 64 // 3 for _, length in own)]
+    assert len(bins) - len(opened) == fewest_bins_of_large([a for a in items if a > 64 // 3], 64)
+    assert sum(sum(length for _, length in own) <= 64 - 64 // 3 for own in opened) <= 1
+
+
+def fewest_bins_of_large(items: list[int], capacity: int) -> int:
+    """Bins for items above a third of the capacity, two at most a bin: two pointers, the smallest with the largest that fits."""
+    items = sorted(items)
+    low, high, n = 0, len(items) - 1, 0
+    while low <= high:
+        if low < high and items[low] + items[high] <= capacity:
+            low += 1
+        high -= 1
+        n += 1
+    return n
+
+
+def fewest_bins(items: list[int], capacity: int) -> int:
+    """The least number of bins, by exhaustive search; for a few items."""
+    best = len(items)
+
+    def place(rest: list[int], loads: list[int]) -> None:
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if not rest:
+            best = len(loads)
+            return
+        for load in sorted({x for x in loads if x + rest[0] <= capacity}):
+            k = loads.index(load)
+            place(rest[1:], [*loads[:k], load + rest[0], *loads[k + 1 :]])
+        place(rest[1:], [*loads, rest[0]])
+
+    place(sorted(items, reverse=True), [])
+    return best
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=8))
+def test_plans_of_a_few_items_are_near_the_least_number_of_bins(items):
+    counts = {a: items.count(a) for a in items}
+    used = max(first + n for _, _, n, first, _ in packing.plan(counts, 24))
+    least = fewest_bins(items, 24)
+    assert least <= used <= max(least, 4 * least // 3 + 1)
+    if all(a > 8 for a in items):
+        assert used == least
 
 
 def test_pack_documents(spark):
@@ -74,6 +122,8 @@ def test_pack_documents(spark):
             assert offset == at
             at += length
         assert at <= 1024
+    odd = packing.pack(whole.withColumn("bucket", F.lit("b")).withColumn("earlier", F.lit(1)).withColumn("rank", F.lit(2)).withColumn("n", F.lit(3)).withColumn("row", F.lit(4)).withColumn("a.b", F.lit(5)))
+    assert {"bucket", "earlier", "rank", "n", "row", "a.b", "sequence_id", "offset"} <= set(odd.columns) and odd.count() == len(rows)
     built = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed).collect()}
     assert built == {k: [x for _, _, ids in sorted(own) for x in ids] for k, own in by.items()}
     assert len(by) <= -(-sum(r["length"] for r in rows) // 1024) + 2
