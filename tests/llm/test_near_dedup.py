@@ -1,7 +1,10 @@
 import math
 import random
 
-from rankloom.llm.near_dedup import near_dedup
+import numpy as np
+
+from rankloom.llm import near_dedup as near_dedup_module
+from rankloom.llm.near_dedup import learn_cells, near_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, label int, kept string, cell int"
 
@@ -47,11 +50,58 @@ def run(spark, rows, **options):
     return sorted(map(tuple, near_dedup(spark.createDataFrame(rows, SCHEMA), **options).collect()), key=str)
 
 
-def test_links_and_components_are_those_of_all_pairs(spark):
+def test_links_and_components_are_those_of_all_pairs(spark, monkeypatch):
     rows = made(1)
     want = brute(rows)
     assert run(spark, rows) == want
-    assert run(spark, rows, one_cell=20, block=16, sample=100) == want  # many cells, many blocks
+    assert run(spark, rows, block_bytes=300) == want  # 12 members a block
+    monkeypatch.setattr(near_dedup_module, "centroid_count", lambda n: 9)
+    assert run(spark, rows, block_bytes=300, sample=100) == want
+    assert run(spark, rows) == want
+    double = near_dedup(spark.createDataFrame(rows, SCHEMA.replace("float", "double")), block_bytes=600)
+    assert sorted(map(tuple, double.collect()), key=str) == want
+
+
+def test_no_link_is_lost_and_every_pair_counted_once_for_other_thresholds(spark, monkeypatch):
+    rows = made(2, 300, 4)
+    monkeypatch.setattr(near_dedup_module, "centroid_count", lambda n: 6)
+    for threshold in (0.5, 0.999):
+        assert run(spark, rows, threshold=threshold, block_bytes=160) == brute(rows, threshold)
+
+
+def test_centroids_decide_at_every_size(spark):
+    rows = made(3, 200)
+    cells = learn_cells(spark.createDataFrame(rows, SCHEMA).select("embedding"))
+    assert {d: len(c) for d, c in cells.centroids.items()} == {6: 2, 2: 1}  # the two vectors of length 2 have one direction
+    assert all(abs(np.linalg.norm(c, axis=1) - 1).max() < 1e-9 for c in cells.centroids.values())
+
+
+def test_blocks_and_guests_in_tiles(monkeypatch):
+    monkeypatch.setattr(near_dedup_module, "TILE", 7)
+    r = np.random.default_rng(5)
+    x = near_dedup_module.unit_rows(r.normal(size=(40, 5))[r.integers(0, 40, 200)] + r.normal(size=(200, 5)) * 0.3)
+    cells = near_dedup_module.Cells({5: near_dedup_module.unit_rows(r.normal(size=(6, 5)))}, 0.93)
+    home = cells.place(x)[0]
+    ids, weight, part = np.arange(200) + 1000, r.integers(1, 4, 200), np.zeros(200, np.int64)
+    member = home >= 3  # lower cells are guests of the block
+    block = near_dedup_module.Block(cells, 5, 0.93, x[member], ids[member], weight[member], home[member], part[member])
+    found = [*block.receive(x[~member], ids[~member], weight[~member], home[~member]), *block.result()]
+    links = dict.fromkeys(ids.tolist(), 0)
+    for vec_id, n, _ in found:
+        for i, k in zip(vec_id.tolist(), n.tolist()):
+            links[i] += k
+    close = (x @ x.T >= 0.93) & ~np.eye(200, dtype=bool) & (member[:, None] | member[None, :])
+    assert list(links.values()) == (close * weight[None, :]).sum(1).tolist()
+    joined = {frozenset((i, k)) for vec_id, _, root in found for i, k in zip(vec_id.tolist(), root.tolist())}
+    up = list(range(200))
+    top = lambda i: i if up[i] == i else top(up[i])
+    for i, k in (tuple(j) for j in joined if len(j) == 2):
+        a, b = top(i - 1000), top(k - 1000)
+        up[max(a, b)] = min(a, b)
+    reach = np.eye(200, dtype=bool) | close
+    for _ in range(8):
+        reach = reach @ reach
+    assert [top(k) for k in range(200)] == [int(np.flatnonzero(row)[0]) for row in reach]
 
 
 def test_empty_table(spark):
