@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import stats, text
+from rankloom.session import saved
 
 DIGITS = 6
 
@@ -37,10 +38,13 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.join(terms.select("term").distinct(), "term", "left_semi").repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 of whole documents, with idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over the distinct terms of a query."""
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, found: DataFrame | None = None) -> DataFrame:
+    """Okapi BM25 of whole documents, with idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over the distinct terms of a query.
+
+    `found` are the postings of all terms, where they are there already.
+    """
     terms = query_terms(queries)
-    found = postings(docs, terms)
+    found = saved(postings(docs, terms)) if found is None else found
     corpus = docs.agg(F.count("*").alias("n"), F.avg(F.size(text.tokens(F.col("text")))).alias("mean_dl"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = df.crossJoin(corpus).select("term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean_dl")
@@ -49,14 +53,41 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: f
     return top_k(scored, k)
 
 
-def term_overlap(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """The share of a query's distinct terms that a document holds."""
+def term_overlap(docs: DataFrame, queries: DataFrame, k: int = 20, found: DataFrame | None = None) -> DataFrame:
+    """The share of a query's distinct terms that a document holds; `found` as in bm25()."""
     terms = query_terms(queries)
     sizes = terms.groupBy("case_id").agg(F.count("*").alias("n_terms"))
-    hits = postings(docs, terms).join(terms, "term").groupBy("case_id", "doc_id").agg(F.count("*").alias("shared"))
+    found = postings(docs, terms) if found is None else found
+    hits = found.join(terms, "term").groupBy("case_id", "doc_id").agg(F.count("*").alias("shared"))
     return top_k(hits.join(sizes, "case_id").select("case_id", "doc_id", F.round(F.col("shared") / F.col("n_terms"), DIGITS).alias("score")), k)
 
 
+#: Words of the phrase by which a passage and a text are joined.
+PHRASE = 4
+
+
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(case_id, doc_id) of the texts (doc_id, text) that contain an item's whole text (case_id, query).
+
+    Between single spaces an item's words are a text's words, but for the first and the last, which may be parts of longer
+    ones.  So an item is joined by a phrase of up to PHRASE inner words, of which a text has all that it has, and the texts
+    that are left decide.  Items of fewer than three words are joined by nothing but an empty phrase that every text has.
+    """
+    words = F.split("query", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    first = F.greatest(F.floor((F.size(inner) - PHRASE) / 2), F.lit(0)).cast("int") + 1  # from the middle: openings are shared more often
+    asked = items.select("case_id", "query", F.least(F.size(inner), F.lit(PHRASE)).alias("size"), F.when(F.size(inner) > 0, F.array_join(F.slice(inner, first, PHRASE), " ")).otherwise("").alias("phrase"))
+    asked = asked.select("case_id", "query", "size", F.xxhash64("size", "phrase").alias("key"))
+    sizes = [r[0] for r in asked.select("size").distinct().collect()]  # numbers up to PHRASE
+    own = docs.select("doc_id", "text", F.split("text", " ").alias("words"))
+    starts = lambda size: F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda k: F.xxhash64(F.lit(size), F.array_join(F.slice("words", k, size), " ")))
+    none = F.array().cast("array<bigint>")
+    keys = [F.when(F.size("words") >= size, starts(size)).otherwise(none) if size else F.array(F.xxhash64(F.lit(0), F.lit(""))) for size in sizes]
+    phrases = own.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*keys))) if keys else none).alias("key"))
+    pairs = phrases.join(asked.select("case_id", "key"), "key").select("case_id", "doc_id")
+    return pairs.join(items, "case_id").join(docs, "doc_id").where(F.contains("text", "query")).select("case_id", "doc_id")
+
+
 def identifier_terms(queries: DataFrame, most: int = 24, least_chars: int = 4) -> DataFrame:
     """case_id, term and weight of the longest distinct names of a query."""
     names = F.array_distinct(F.regexp_extract_all(F.col("query"), F.lit(r"([\p{L}_][\p{L}\p{N}_.]*[\p{L}\p{N}_])"), F.lit(1)))
@@ -65,21 +96,44 @@ def identifier_terms(queries: DataFrame, most: int = 24, least_chars: int = 4) -
     return found.withColumn("weight", text.identifier_weight(F.col("term")))
 
 
+#: Characters of lower-cased names, and what they may turn into when they are lower-cased.
+RUN = r"([\p{L}\p{N}\p{M}_.]+)"
+#: Characters of the piece that a term and a run of characters are joined by; shorter terms are joined by all they have.
+PIECE = 4
+
+
+def containing(docs: DataFrame, needles: DataFrame) -> DataFrame:
+    """Distinct (doc_id, term) of the names (term) that a text contains, whatever the case, also inside longer words.
+
+    A name has no character that ends a run of RUN, so a text contains it where one of its distinct runs does.  Runs are
+    joined with names by pieces of PIECE characters, of which a name has its first one and a run all that it has; what is
+    left of the pairs is decided by the names themselves.  The corpus's vocabulary meets the names, not each document.
+    """
+    low = needles.select("term", F.lower("term").alias("low")).withColumn("piece", F.substring("low", 1, PIECE))
+    runs = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(RUN), F.lit(1)))).alias("run"))
+    sizes = [r[0] for r in low.select(F.length("piece")).distinct().collect()]  # numbers up to PIECE
+    starts = lambda size: F.transform(F.sequence(F.lit(1), F.length("run") - size + 1), lambda k: F.substring(F.col("run"), k, F.lit(size)))
+    pieces = F.array_distinct(F.flatten(F.array(*(F.when(F.length("run") >= size, starts(size)).otherwise(F.array().cast("array<string>")) for size in sizes)))) if sizes else F.array().cast("array<string>")
+    vocabulary = runs.select("run").distinct().select("run", F.explode(pieces).alias("piece"))
+    found = saved(vocabulary.join(low, "piece").where(F.contains("run", "low")).select("run", "term"))
+    return runs.join(found, "run").select("doc_id", "term").distinct()
+
+
 def idf_containment(docs: DataFrame, terms: DataFrame, k: int = 20) -> DataFrame:
     """Documents by the weights of the terms (case_id, term, weight) they contain, whatever the case, each times 1 + ln((N + 1) / (df + 1)).
 
-    Order: score, number of terms, doc_id; `terms` lists a document's terms by score.  Containment has no key to join on,
-    so each distinct term is compared with each document, once however many queries ask for it.
+    Order: score, number of terms, doc_id; `terms` lists a document's terms by score, for the documents of the first k only.
     """
-    needles = terms.select("term").distinct()
-    holds = docs.join(F.broadcast(needles) if needles.limit(100_001).count() <= 100_000 else needles, F.contains(F.lower(docs["text"]), F.lower(needles["term"]))).select("doc_id", "term").distinct()
+    holds = saved(containing(docs, terms.select("term").distinct()))
     df = holds.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.countDistinct("doc_id").alias("n"))
     value = F.round(F.col("weight") * (1 + F.ln((F.col("n") + 1.0) / (F.col("df") + 1.0))), DIGITS)
-    scored = holds.join(df, "term").crossJoin(n).join(terms, "term").select("case_id", "doc_id", "term", value.alias("value"))
+    weighted = saved(terms.join(df, "term").crossJoin(n).select("case_id", "term", value.alias("value")))
+    scored = holds.join(weighted, "term").groupBy("case_id", "doc_id").agg(F.round(F.sum("value"), DIGITS).alias("score"), F.count("*").alias("matched_terms"))
+    first = saved(top_k(scored, k, order=(F.desc("score"), F.desc("matched_terms"), F.asc("doc_id"))))
     listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "term"))), lambda x: x["term"])
-    scored = scored.groupBy("case_id", "doc_id").agg(F.round(F.sum("value"), DIGITS).alias("score"), F.count("*").alias("matched_terms"), listed.alias("terms"))
-    return top_k(scored, k, order=(F.desc("score"), F.desc("matched_terms"), F.asc("doc_id")))
+    lists = holds.join(first.select("case_id", "doc_id"), "doc_id").join(weighted, ["case_id", "term"]).groupBy("case_id", "doc_id").agg(listed.alias("terms"))
+    return first.join(lists, ["case_id", "doc_id"]).select("case_id", "doc_id", "score", "matched_terms", "terms", "rank")
 
 
 def dense_scan(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -87,10 +141,11 @@ def dense_scan(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
 
     The query side is the small one: it is broadcast if a count shows that it is, else the join is left to Spark.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / stats.norm(c))
-    asked = queries.select("case_id", unit(F.col("query_vector")).alias("q"))
+    asked = queries.select("case_id", F.col("query_vector").alias("q"), stats.norm(F.col("query_vector")).alias("n"))
+    asked = asked.select("case_id", F.transform("q", lambda x: x.cast("double") / F.col("n")).alias("q"))
     small = asked.limit(20_001).count() <= 20_000
-    against = vectors.select("doc_id", unit(F.col("vector")).alias("v"))
+    against = vectors.select("doc_id", F.col("vector").alias("v"), stats.norm(F.col("vector")).alias("n"))
+    against = against.select("doc_id", F.transform("v", lambda x: x.cast("double") / F.col("n")).alias("v"))
     pairs = against.crossJoin(F.broadcast(asked) if small else asked).where("case_id != doc_id")
     return top_k(pairs.select("case_id", "doc_id", F.round(stats.dot(F.col("q"), F.col("v")), DIGITS).alias("score")), k)
 

@@ -10,19 +10,39 @@ from pyspark.sql import functions as F
 from rankloom.functions.stats import hash_key
 
 
+#: Hexadecimal digits of a hash that name a bucket: 4096 of them in each group.
+BUCKET_DIGITS = 3
+
+
+def hash_places(rows: DataFrame, group: str, key: Column) -> DataFrame:
+    """Adds key, place (from 1, in the key's order within the group) and group_size; the key is a hexadecimal hash.
+
+    Rows are numbered within buckets of the hash, and the buckets of a group by their counts, so that a group with a third of
+    all rows is not sorted by one task.  A null group is a group.
+    """
+    hashed = rows.withColumn("key", key)
+    own = hashed.select(F.struct(F.col(group).alias("g")).alias("_group"), F.substring("key", 1, BUCKET_DIGITS).alias("_bucket"), F.struct(*(F.col(f"`{c}`") for c in hashed.columns)).alias("_row"))
+    counts = own.groupBy("_group", "_bucket").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("_group")
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_group", "_bucket", before.alias("_before"), F.sum("_n").over(whole).alias("group_size"))  # at most 4096 rows a group
+    inside = Window.partitionBy("_group", "_bucket").orderBy("_row.key")
+    return own.join(counts, ["_group", "_bucket"]).select("_row.*", (F.col("_before") + F.row_number().over(inside)).alias("place"), "group_size")
+
+
 def hash_split(cases: DataFrame, seed: str, release: str, stratum: str = "stratum", share: float = 0.25) -> DataFrame:
     """Adds `split`: of each stratum, in hash order, the first max(1, floor(share * n)) are development, the rest final."""
-    own = Window.partitionBy(stratum)
-    place = F.row_number().over(own.orderBy(hash_key(seed, release, F.col(stratum), F.col("case_id"))))
-    return cases.withColumn("split", F.when(place <= F.greatest(F.lit(1), F.floor(share * F.count("*").over(own))), "development").otherwise("final"))
+    placed = hash_places(cases, stratum, hash_key(seed, release, F.col(stratum), F.col("case_id")))
+    development = F.col("place") <= F.greatest(F.lit(1), F.floor(share * F.col("group_size")))
+    return placed.withColumn("split", F.when(development, "development").otherwise("final")).drop("place", "group_size", "key")
 
 
 def quota_sample(cases: DataFrame, n: int, salt: str, group: str = "repo") -> DataFrame:
     """About n cases in proportion to the groups: max(1, round half even) of each, in hash order, then the first n by hash."""
-    size, total = F.count("*").over(Window.partitionBy(group)), F.count("*").over(Window.partitionBy())
-    hashed = cases.withColumn("key", hash_key(salt, F.col("case_id"))).withColumn("quota", F.greatest(F.lit(1), F.bround(n * size / total)).cast("int"))
-    kept = hashed.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("key"))).where("place <= quota")
-    return kept.orderBy("key").limit(n).drop("place", "key")
+    total = cases.agg(F.count("*").alias("total"))  # one row
+    placed = hash_places(cases, group, hash_key(salt, F.col("case_id"))).crossJoin(F.broadcast(total))
+    kept = placed.withColumn("quota", F.greatest(F.lit(1), F.bround(n * F.col("group_size") / F.col("total"))).cast("int")).where("place <= quota")
+    return kept.orderBy("key").limit(n).drop("place", "group_size", "key", "total")
 
 
 def group_counts_split(cases: DataFrame, development: int, final: int, seed: str, group: str = "repo") -> DataFrame:
@@ -43,8 +63,11 @@ def distinct_keep_least(rows: DataFrame, by: str, key: str, limit: int, seed: st
 
 
 def control_sample(cases: DataFrame, corpus: DataFrame, gold: DataFrame, k: int, seed: str) -> DataFrame:
-    """k documents for each case in hash order, none of them its gold."""
-    pairs = cases.select("case_id").crossJoin(corpus.select("doc_id"))
+    """k documents of each case's repository (case_id, repo; doc_id, repo) in hash order, none of them its gold.
+
+    Only a case's own repository holds candidates, and row_number cuts each partition's to k before they are dealt out.
+    """
+    pairs = cases.select("case_id", "repo").join(corpus.select("doc_id", "repo"), "repo").drop("repo")
     pairs = pairs.join(gold, ["case_id", "doc_id"], "left_anti")
     order = Window.partitionBy("case_id").orderBy(hash_key(seed, F.col("case_id"), F.col("doc_id")), "doc_id")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

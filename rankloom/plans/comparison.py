@@ -99,7 +99,7 @@ MULTI_SQL = sql("""SELECT arm, metric, estimand, round(max(level) FILTER (rep <
 FROM (SELECT l.*, l.level - b.level AS effect FROM levels l JOIN levels b ON b.arm = 'bm25' AND b.metric = l.metric AND b.rep = l.rep AND b.estimand = l.estimand) GROUP BY ALL""", "metrics").replace("\nSELECT arm, metric, estimand, round(max", """,
 cells AS MATERIALIZED (SELECT arm, metric, repo, workflow, sum(value) AS s, count(*) AS n FROM metrics WHERE metric IN ('MRR', 'Recall@20') GROUP BY ALL),
 repos AS MATERIALIZED (SELECT repo, row_number() OVER (ORDER BY repo) - 1 AS pick, count(*) OVER () AS g FROM (SELECT DISTINCT repo FROM cells)),
-times AS MATERIALIZED (SELECT rep, pick, count(*) AS times FROM (SELECT rep, ('0x' || substr(md5('1042|' || rep || '|' || slot), 1, 8))::BIGINT % g AS pick FROM (SELECT g, rep, unnest(range(g)) AS slot FROM (SELECT DISTINCT g FROM repos), range(200) r(rep))) GROUP BY ALL UNION ALL SELECT -1, pick, 1 FROM repos),
+times AS MATERIALIZED (SELECT rep, pick, count(*) AS times FROM (SELECT rep, ('0x' || substr(md5('1042|' || rep || '|' || slot), 1, 8))::BIGINT % g AS pick FROM (SELECT g, rep, unnest(range(g)) AS slot FROM (SELECT DISTINCT g FROM repos), range(100000) r(rep))) GROUP BY ALL UNION ALL SELECT -1, pick, 1 FROM repos),
 drawn AS MATERIALIZED (SELECT c.*, rep, times FROM cells c JOIN repos USING (repo) JOIN times USING (pick)),
 levels AS MATERIALIZED (
   SELECT arm, metric, rep, 'sample_weighted' AS estimand, sum(times * s) / sum(times * n) AS level FROM drawn GROUP BY ALL
@@ -129,7 +129,7 @@ LOOKS_SQL = sql("""SELECT look, metric, count(*) AS n, round(avg(delta), 6) AS m
 (SELECT look, metric, round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high, round(quantile_cont(value, 0.05 / 3 / 2), 6) AS ci_low_adjusted, round(quantile_cont(value, 1 - 0.05 / 3 / 2), 6) AS ci_high_adjusted FROM (
   SELECT look, metric, rep, sum(times * s) / sum(times * n) AS value FROM lk JOIN ld USING (g, pick) GROUP BY ALL) GROUP BY ALL) y USING (look, metric)""").replace("\nSELECT x.*", """,
 lk AS MATERIALIZED (SELECT look, metric, repo, sum(delta) AS s, count(*) AS n, row_number() OVER (PARTITION BY look, metric ORDER BY repo) - 1 AS pick, count(*) OVER (PARTITION BY look, metric) AS g FROM pairs, range(1, 4) l(look) WHERE case_id % 3 < look GROUP BY look, metric, repo),
-ld AS MATERIALIZED (SELECT g, rep, pick, count(*) AS times FROM (SELECT g, rep, ('0x' || substr(md5('1042|' || rep || '|' || slot), 1, 8))::BIGINT % g AS pick FROM (SELECT g, rep, unnest(range(g)) AS slot FROM (SELECT DISTINCT g FROM lk), range(500) r(rep))) GROUP BY ALL)
+ld AS MATERIALIZED (SELECT g, rep, pick, count(*) AS times FROM (SELECT g, rep, ('0x' || substr(md5('1042|' || rep || '|' || slot), 1, 8))::BIGINT % g AS pick FROM (SELECT g, rep, unnest(range(g)) AS slot FROM (SELECT DISTINCT g FROM lk), range(20000) r(rep))) GROUP BY ALL)
 SELECT x.*""", 1))
 def sequential_looks(spark, d):
     """Three draws of cases, pooled one after the other; intervals at 0.05 and at 0.05 over the number of looks."""
@@ -175,7 +175,7 @@ def repeat_deltas(spark, d):
     return base.join(other, ["case_id", "repeat"]).groupBy("case_id").agg(F.round(F.avg("c") - F.avg("b"), 6).alias("delta"), F.count_if(F.col("c") > F.col("b")).alias("wins"), F.count_if(F.col("c") < F.col("b")).alias("losses"))
 
 
-OBSERVATIONS = "SELECT doc_id % 50 AS case_id, (doc_id // 50 % 3)::INT AS repeat, CASE WHEN doc_id // 150 % 2 = 0 THEN 'full' ELSE 'compact' END AS transform, n_chars::DOUBLE AS value FROM documents WHERE doc_id < 300 AND doc_id % 50 <> 7"
+OBSERVATIONS = "SELECT doc_id // 6 AS case_id, (doc_id % 3)::INT AS repeat, CASE WHEN doc_id % 6 < 3 THEN 'full' ELSE 'compact' END AS transform, n_chars::DOUBLE AS value FROM documents"
 
 
 def _observations(spark, d):
@@ -189,7 +189,7 @@ def transform_deltas(spark, d):
     return pairing.transform_deltas(_observations(spark, d))
 
 
-@query("fail_closed", f"SELECT transform, count(*) AS scheduled, count(*) FILTER (value IS NULL) AS errors, false AS valid, NULL::DOUBLE AS mean FROM (SELECT c AS case_id, r::INT AS repeat, t AS transform FROM range(50) a(c), range(3) b(r), (VALUES ('full'), ('compact')) v(t)) LEFT JOIN ({OBSERVATIONS}) USING (case_id, repeat, transform) GROUP BY transform")
+@query("fail_closed", f"SELECT transform, count(*) AS scheduled, count(*) FILTER (value IS NULL) AS errors, false AS valid, NULL::DOUBLE AS mean FROM (SELECT c AS case_id, r::INT AS repeat, t AS transform FROM (SELECT DISTINCT doc_id // 6 AS c FROM documents UNION ALL SELECT max(doc_id) // 6 + 1 FROM documents), range(3) b(r), (VALUES ('full'), ('compact')) v(t)) LEFT JOIN ({OBSERVATIONS}) USING (case_id, repeat, transform) GROUP BY transform")
 def fail_closed(spark, d):
     """A schedule of every case of the table and of one more, which is missing: every mean is null."""
     rows = _observations(spark, d)
@@ -198,6 +198,13 @@ def fail_closed(spark, d):
     return pairing.fail_closed(schedule, rows.withColumn("status", F.lit("ok")))
 
 
+@query("fail_closed_whole", f"SELECT transform, count(*) AS scheduled, 0::BIGINT AS errors, true AS valid, round(avg(value), 6) AS mean FROM ({OBSERVATIONS}) GROUP BY transform")
+def fail_closed_whole(spark, d):
+    """A schedule of what was observed, so that nothing is missing: the means are there."""
+    rows = _observations(spark, d)
+    return pairing.fail_closed(rows.select("case_id", "repeat", "transform"), rows.withColumn("status", F.lit("ok")))
+
+
 def _runs(spark, d) -> DataFrame:
     """Arms as runs of the same cases: run and items."""
     return saved(agreement.as_lists(frames.ranked(spark, d), ["arm", "case_id"]).withColumnRenamed("arm", "run"))

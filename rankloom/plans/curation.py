@@ -47,7 +47,11 @@ def group_counts_split(spark, d):
     return sampling.group_counts_split(_docs(spark, d), 2, 3, "s").select("case_id", "repo", "split")
 
 
-@query("distinct_keep_min", "SELECT row_number() OVER (ORDER BY sha256('m|' || k)) AS place, message, k AS doc_id FROM (SELECT substr(text, 1, 12) AS message, min(doc_id) AS k FROM documents GROUP BY 1) ORDER BY sha256('m|' || k) LIMIT 25")
+#: A whole message without its trailer lines, as clean_message() has it.
+CLEAN_SQL = r"regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)^(signed-off-by|co-authored-by|reviewed-by|change-id|cc):')), chr(10)), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')"
+
+
+@query("distinct_keep_min", f"WITH m AS (SELECT doc_id, {CLEAN_SQL} AS message FROM documents), k AS (SELECT min(doc_id) AS doc_id FROM m GROUP BY lower(message)), p AS (SELECT row_number() OVER (ORDER BY sha256('m|' || doc_id)) AS place, doc_id FROM k QUALIFY place <= 25) SELECT place, message, doc_id FROM p JOIN m USING (doc_id)")
 def distinct_keep_min(spark, d):
     """Messages are whole cleaned texts, whatever the case; they are told apart by a digest, and only those drawn are carried."""
     docs = table(spark, d, "documents")
@@ -56,10 +60,12 @@ def distinct_keep_min(spark, d):
     return docs.join(F.broadcast(drawn), "doc_id").select("place", message.alias("message"), "doc_id")  # 25 rows
 
 
-@query("control_sample", sql("SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY sha256('c|' || case_id || '|' || doc_id), doc_id) AS place FROM (SELECT DISTINCT case_id FROM gold) CROSS JOIN (SELECT doc_id FROM documents) ANTI JOIN gold USING (case_id, doc_id) QUALIFY place <= 10", "gold"))
+@query("control_sample", sql("SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY sha256('c|' || case_id || '|' || doc_id), doc_id) AS place FROM cases JOIN (SELECT doc_id, source AS repo FROM documents) USING (repo) ANTI JOIN gold USING (case_id, doc_id) QUALIFY place <= 10", "cases", "gold"))
 def control_sample(spark, d):
+    """Ten documents of each case's own repository that are none of its gold."""
     gold = frames.gold(spark, d)
-    return sampling.control_sample(gold.select("case_id").distinct(), frames.documents(spark, d), gold, 10, "c")
+    corpus = frames.documents(spark, d).select("doc_id", F.col("source").alias("repo"))
+    return sampling.control_sample(frames.cases(spark, d, gold), corpus, gold, 10, "c")
 
 
 @query("first_of_workflow", f"SELECT case_id, workflow, row_number() OVER (PARTITION BY workflow ORDER BY case_id) AS place FROM ({DOCS}) QUALIFY place <= 5")
@@ -318,7 +324,7 @@ def leakage_filter(spark, d):
     return table(spark, d, "documents").select("doc_id", text.leaks(F.col("text"), paths).alias("leaks"))
 
 
-@query("commit_eligibility", "SELECT doc_id FROM documents WHERE length(substr(text, 1, 40)) >= 24 AND doc_id % 3 > 0 AND doc_id % 4 > 0")
+@query("commit_eligibility", rf"SELECT doc_id FROM (SELECT *, string_split(message, chr(10))[1] AS subject FROM (SELECT *, {CLEAN_SQL} AS message FROM documents)) WHERE length(subject) >= 24 AND NOT regexp_matches(subject, '(?i)^(merge|revert|bump|release|version|chore|wip|typo|update (readme|changelog))\b') AND doc_id % 3 > 0 AND doc_id % 4 > 0 AND NOT contains(lower(message), lower(source || '_x.py')) AND NOT contains(lower(message), lower(lang || '_y.go'))")
 def commit_eligibility(spark, d):
     """Messages with a long enough first line whose one to five changes are modifications of source files that the whole message doesn't name."""
     docs = table(spark, d, "documents")
@@ -338,7 +344,7 @@ def item_identity(spark, d):
     return rows.select("page_id", text.item_identity(F.col("path"), F.col("s"), F.col("e"), F.col("url")).alias("identity"))
 
 
-@query("ordered_subset", "SELECT doc_id AS case_id, (20 - doc_id // 5)::INT AS ordinal, lang FROM documents WHERE doc_id % 5 = 0 AND doc_id < 100")
+@query("ordered_subset", "SELECT case_id, max(case_id) OVER () - case_id + 1 AS ordinal, lang FROM (SELECT DISTINCT doc_id AS case_id FROM labels) JOIN (SELECT doc_id AS case_id, lang FROM documents) USING (case_id)")
 def ordered_subset(spark, d):
     """All labelled documents, the last first."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), "lang")

@@ -13,6 +13,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "weights": (("postings", "lengths"), "SELECT term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf, mean_dl FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), (SELECT count(*) AS n, avg(dl) AS mean_dl FROM lengths)"),
     "bm25_all": (("weights",), "SELECT case_id, doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / mean_dl))), 6) AS score FROM postings JOIN weights USING (term) JOIN terms USING (term) JOIN lengths USING (doc_id) GROUP BY case_id, doc_id"),
     "bm25": (("bm25_all",), "SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, doc_id) AS rank FROM bm25_all QUALIFY rank <= 20"),
+    "bm25_50": (("bm25_all",), "SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, doc_id) AS rank FROM bm25_all QUALIFY rank <= 50"),
     "lexical": (("postings",), "SELECT case_id, doc_id, score, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT case_id, doc_id, round(count(*) / any_value(n_terms)::DOUBLE, 6) AS score FROM postings JOIN terms USING (term) JOIN (SELECT case_id, count(*) AS n_terms FROM terms GROUP BY case_id) USING (case_id) GROUP BY case_id, doc_id) QUALIFY rank <= 20"),
     "branches": (("bm25", "lexical"), "SELECT 'bm25' AS branch, case_id, doc_id, rank FROM bm25 UNION ALL SELECT 'lexical', case_id, doc_id, rank FROM lexical"),
     "fusion_weights": ((), "SELECT * FROM (VALUES ('bm25', 'bm25', 1.0::DOUBLE), ('bm25', 'lexical', 0.0::DOUBLE), ('rrf30', 'bm25', 1 - 0.3::DOUBLE), ('rrf30', 'lexical', 0.3::DOUBLE), ('rrf70', 'bm25', 1 - 0.7::DOUBLE), ('rrf70', 'lexical', 0.7::DOUBLE), ('lexical', 'bm25', 0.0::DOUBLE), ('lexical', 'lexical', 1.0::DOUBLE)) t(arm, branch, weight)"),
@@ -33,7 +34,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "packs": (("ranked", "word_counts"), "SELECT *, least(cost, 8000 - before) AS used FROM (SELECT arm, case_id, doc_id, rank, cost, digest, coalesce(sum(cost) OVER (PARTITION BY arm, case_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked JOIN word_counts USING (doc_id)) WHERE before < 8000"),
     "lists": (("ranked",), "SELECT arm, case_id, list(doc_id ORDER BY rank) AS items FROM ranked GROUP BY arm, case_id"),
     "unit": ((), "SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings"),
-    "dense": (("unit",), "SELECT q.vec_id AS case_id, d.vec_id AS doc_id, round(list_inner_product(q.v, d.v), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.v, d.v), 6) DESC, d.vec_id) AS rank FROM unit q JOIN unit d ON q.vec_id % 25 = 0 AND q.vec_id <> d.vec_id QUALIFY rank <= 20"),
+    "dense": (("unit",), "SELECT q.vec_id AS case_id, d.vec_id AS doc_id, round(list_inner_product(q.v, d.v), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.v, d.v), 6) DESC, d.vec_id) AS rank FROM unit q JOIN unit d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id QUALIFY rank <= 20"),
     "registry": ((), "SELECT event_id, user_id AS run, event_id % 97 AS case_id, ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, value AS latency FROM events"),
 }
 

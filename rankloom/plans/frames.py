@@ -12,8 +12,6 @@ from rankloom.session import saved, table
 #: Fused arms: the share of the lexical ranking.
 ARMS = {"bm25": 0.0, "rrf30": 0.3, "rrf70": 0.7, "lexical": 1.0}
 PAIR_METRICS = ("MRR", "Recall@5", "Recall@20", "any_gold@20")
-#: Items of a benchmark that are held against every document by a broadcast.
-MOST_ITEMS = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +23,8 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """case_id and doc_id of the documents that hold an item's text, saved: a search without a key, made once.
-
-    The benchmark is the small side; it is broadcast only if it has at most MOST_ITEMS rows.
-    """
-    items = queries(spark, sf_dir)
-    small = items.limit(MOST_ITEMS + 1).count() <= MOST_ITEMS
-    held = documents(spark, sf_dir).select("doc_id", "text").join(F.broadcast(items) if small else items, F.contains("text", "query"))
-    return saved(held.select("case_id", "doc_id"))
+    """case_id and doc_id of the documents that hold an item's text, saved."""
+    return saved(ranking.holding(documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir)))
 
 
 def cases(spark: SparkSession, sf_dir: str, gold_rows: DataFrame) -> DataFrame:
@@ -45,7 +37,8 @@ def cases(spark: SparkSession, sf_dir: str, gold_rows: DataFrame) -> DataFrame:
 def base_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """branch, case_id, doc_id and rank of the two base rankers, saved: at most 20 rows a case."""
     docs, asked = documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir)
-    return saved(fusion.union_branches({"bm25": ranking.bm25(docs, asked), "lexical": ranking.term_overlap(docs, asked)}))
+    found = saved(ranking.postings(docs, ranking.query_terms(asked)))  # both rank from these
+    return saved(fusion.union_branches({"bm25": ranking.bm25(docs, asked, found=found), "lexical": ranking.term_overlap(docs, asked, found=found)}))
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def lexical_topk(spark, d):
 
 IDF_SQL = r"""WITH n AS (SELECT DISTINCT item_id AS case_id, unnest(regexp_extract_all(text, '[\p{L}_][\p{L}\p{N}_.]*[\p{L}\p{N}_]')) AS term FROM benchmark),
 t AS (SELECT case_id, term, CASE WHEN contains(term, '.') THEN 1.2::DOUBLE WHEN contains(term, '_') OR regexp_matches(term, '^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$') OR regexp_matches(term, '^.+\p{Lu}') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS weight,
-  row_number() OVER (PARTITION BY case_id ORDER BY length(term) DESC, term) AS r FROM n WHERE length(term) >= 4 QUALIFY r <= 8),
+  row_number() OVER (PARTITION BY case_id ORDER BY length(term) DESC, term) AS r FROM n WHERE length(term) >= 4 QUALIFY r <= 24),
 h AS (SELECT doc_id, term FROM (SELECT DISTINCT term FROM t) JOIN documents ON contains(lower(text), lower(term))),
 df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
 v AS (SELECT case_id, doc_id, term, round(weight * (1 + ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1.0::DOUBLE) / (df + 1.0::DOUBLE))), 6) AS value FROM h JOIN df USING (term) JOIN t USING (term)),
@@ -90,7 +90,7 @@ def rrf_weighted(spark, d):
 PROFILE = {"vector": 0.50, "bm25": 0.25, "symbol": 0.20, "path": 0.15, "path_affinity": 0.15, "trigram": 0.05}
 BRANCHES_SQL = "six AS (SELECT ['vector', 'bm25', 'symbol', 'path', 'path_affinity', 'trigram'][(vec_id % 6)::INT + 1] AS branch, label AS case_id, vec_id AS doc_id, row_number() OVER (PARTITION BY vec_id % 6, label ORDER BY embedding[(vec_id % 6)::INT + 1] DESC, vec_id) AS rank FROM embeddings)"
 ABLATION_SQL = f"""WITH w AS (SELECT * FROM (VALUES {", ".join(f"('{b}', {w}::DOUBLE)" for b, w in PROFILE.items())}) t(branch, weight)), {BRANCHES_SQL},
-c AS (SELECT 'baseline' AS config, branch, weight FROM w UNION ALL SELECT 'without_' || o.branch, w.branch, w.weight FROM w o, w WHERE w.branch <> o.branch),
+c AS (SELECT 'baseline' AS config, branch, weight FROM w UNION ALL SELECT 'without_' || o.branch, w.branch, w.weight FROM w o, w WHERE w.branch <> o.branch UNION ALL SELECT * FROM (VALUES {", ".join(f"('{c}', '{b}', {w}::DOUBLE)" for c, own in fusion.OVERRIDES.items() for b, w in own.items())}) v(config, branch, weight)),
 x AS (SELECT config, case_id, doc_id, round(sum(weight / (60 + rank)), 10) AS score FROM six JOIN c USING (branch) GROUP BY ALL)
 SELECT config, case_id, doc_id, score, row_number() OVER (PARTITION BY config, case_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 20"""
 
@@ -106,9 +106,9 @@ def rrf_ablation(spark, d):
     return fusion.rrf(branches, spark.createDataFrame(fusion.ablations(PROFILE) + fusion.overrides(PROFILE), "config string, branch string, weight double")).select("config", "case_id", "doc_id", "score", "rank")
 
 
-RERANK_SQL = sql("""SELECT case_id, doc_id, rank AS before, blend, row_number() OVER (PARTITION BY case_id ORDER BY rank <= 10 DESC, CASE WHEN rank <= 10 THEN -blend ELSE rank END, doc_id) AS rank FROM (
-SELECT *, round(CASE WHEN rank <= 10 THEN 0.4::DOUBLE / (1 + exp(-((doc_id % 7) - 3)::DOUBLE)) + 0.6::DOUBLE * (score / top) ELSE score / top END, 6) AS blend
-FROM (SELECT *, max(score) FILTER (rank = 1) OVER (PARTITION BY case_id) AS top FROM bm25))""", "bm25")
+RERANK_SQL = sql("""SELECT case_id, doc_id, rank AS before, blend, row_number() OVER (PARTITION BY case_id ORDER BY rank <= 30 DESC, CASE WHEN rank <= 30 THEN -blend ELSE rank END, doc_id) AS rank FROM (
+SELECT *, round(CASE WHEN rank <= 30 THEN 0.4::DOUBLE / (1 + exp(-((doc_id % 7) - 3)::DOUBLE)) + 0.6::DOUBLE * (score / top) ELSE score / top END, 6) AS blend
+FROM (SELECT *, max(score) FILTER (rank = 1) OVER (PARTITION BY case_id) AS top FROM bm25_50))""", "bm25_50")
 
 
 @query("rerank_blend", RERANK_SQL)
@@ -118,7 +118,7 @@ def rerank_blend(spark, d):
     return ranking.rerank_blend(found)
 
 
-@query("listwise_permutation", sql("SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY rank > 5, CASE WHEN case_id % 2 = 0 AND rank <= 5 THEN 6 - rank ELSE rank END, rank) AS rank FROM bm25", "bm25"))
+@query("listwise_permutation", sql("SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY rank > 20, CASE WHEN case_id % 2 = 0 AND rank <= 20 THEN 21 - rank ELSE rank END, rank) AS rank FROM bm25_50", "bm25_50"))
 def listwise_permutation(spark, d):
     """A complete order for even cases, an incomplete one for odd ones, which keep theirs."""
     found = saved(ranking.bm25(*_base(spark, d), k=50).select("case_id", "doc_id", "rank"))

@@ -165,3 +165,41 @@ def test_results_do_not_depend_on_row_order(spark):
     for ranker in (ranking.bm25, ranking.term_overlap):
         want = sorted(rows(ranker(docs, asked, 5)))
         assert want and want == sorted(rows(ranker(docs.orderBy(F.desc("doc_id")).repartition(5), asked, 5)))
+
+
+def test_containment_is_that_of_every_pair(spark):
+    from rankloom.operators import ranking
+
+    texts = {1: "See foo.bar_baz and FooBar", 2: "xfoobarx İstanbul_x", 3: "", 4: None, 5: "naïve.Name NAÏVE.NAME", 6: "a.b", 7: "Straße9 ﬀab 数字类_名"}
+    terms = ["foobar", "FOO", "bar_b", "naïve.name", "i̇stan", "b", "a.b", "数字", "STRASSE9", "straße9", "none"]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {tuple(r) for r in ranking.containing(docs, spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert found == {(i, t) for i, x in texts.items() for t in terms if x and t.lower() in x.lower()}
+    assert ranking.containing(docs, spark.createDataFrame([], "term string")).collect() == []
+
+
+def test_passages_are_found_wherever_they_are(spark):
+    from rankloom.operators import ranking
+
+    texts = {1: "one two three four five six seven", 2: "bone two three four five sixty", 3: "one  two three", 4: None, 5: "two", 6: "", 7: "one two\nthree four five six seven eight nine"}
+    items = {1: "one two three four five six", 2: "e two three f", 3: "two", 4: "one two", 5: "one two three", 6: "", 7: "two\nthree four five six seven eight", 8: "five six sev", 9: "absent words that are long enough", 10: "two  three"}
+    docs, asked = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "case_id long, query string")
+    found = sorted(map(tuple, ranking.holding(docs, asked).collect()))
+    assert found == sorted((c, i) for c, q in items.items() for i, x in texts.items() if x is not None and q in x)
+
+
+def test_hash_places_number_each_group(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from rankloom.functions.stats import hash_key
+    from rankloom.operators import sampling
+
+    rows = [(k, "hot" if k % 3 else None, "row") for k in range(300)] + [(1000, "one", "row")]
+    found = sampling.hash_places(spark.createDataFrame(rows, "case_id long, repo string, row string"), "repo", hash_key("s", F.col("case_id"))).collect()
+    for group in ("hot", None, "one"):
+        own = sorted((r for r in found if r["repo"] == group), key=lambda r: r["place"])
+        want = sorted((i for i, g, _ in rows if g == group), key=lambda i: hashlib.sha256(f"s|{i}".encode()).hexdigest())
+        assert [r["case_id"] for r in own] == want and [r["place"] for r in own] == list(range(1, len(want) + 1))
+        assert {r["group_size"] for r in own} == {len(want)}
