@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.stats import hash_int
+from rankloom.session import saved
 
 RESAMPLES = 1000
 SEED = 1042
@@ -22,7 +23,8 @@ DIGITS = 6
 
 def draws(groups: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """g, rep, pick and times for each distinct number of clusters `g`: how often a replicate drew which cluster."""
-    slots = groups.select("g").distinct().select("g", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep")).select("g", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("slot"))
+    reps = groups.select("g").distinct().select("g", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep")).repartition("rep")  # counted where they are drawn
+    slots = reps.select("g", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("slot"))
     return slots.withColumn("pick", F.pmod(hash_int(str(seed), F.col("rep"), F.col("slot")), "g")).groupBy("g", "rep", "pick").agg(F.count("*").alias("times"))
 
 
@@ -35,7 +37,7 @@ def _clusters(values: DataFrame, keys: Sequence[str], cluster: str, column: str)
 
 def replicates(values: DataFrame, keys: Sequence[str] = ("metric",), cluster: str = "repo", column: str = "delta", resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """keys, rep and value: the pooled mean of each replicate."""
-    groups = _clusters(values, keys, cluster, column)
+    groups = saved(_clusters(values, keys, cluster, column))  # its size known to the planner: draws need not move to meet it
     return groups.join(draws(groups, resamples, seed), ["g", "pick"]).groupBy(*keys, "rep").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("value"))
 
 
@@ -76,10 +78,11 @@ def multi_arm(metrics: DataFrame, reference: str, resamples: int = RESAMPLES, se
     repos = metrics.select("repo").distinct()
     repos = repos.withColumn("pick", (F.row_number().over(Window.orderBy("repo")) - 1).cast("long")).withColumn("g", F.count("*").over(Window.partitionBy()))  # a row a cluster
     point = draws(repos.limit(1).select("g"), 1, seed).select(F.lit(-1).alias("rep")).limit(1).crossJoin(repos.select("g", "pick")).select("g", "rep", "pick", F.lit(1).cast("long").alias("times"))
-    drawn = cells.join(repos, "repo").join(draws(repos, resamples, seed).unionByName(point), ["g", "pick"])
-    by_repo = drawn.groupBy(*keys, "rep", "repo").agg(F.sum("s").alias("rs"), F.sum("n").alias("rn"), F.first("times").alias("times"))
+    cells = saved(cells.join(repos, "repo"))  # a row an arm, metric, repository and workflow
+    times = draws(repos, resamples, seed).unionByName(point)
+    by_repo = saved(cells.groupBy(*keys, "g", "pick").agg(F.sum("s").alias("rs"), F.sum("n").alias("rn"))).join(times, ["g", "pick"])
     sample = by_repo.groupBy(*keys, "rep").agg((F.sum(F.col("times") * F.col("rs")) / F.sum(F.col("times") * F.col("rn"))).alias("sample_weighted"), F.avg(F.col("rs") / F.col("rn")).alias("repository_macro"))
-    flows = drawn.groupBy(*keys, "rep", "workflow").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("mean")).groupBy(*keys, "rep").agg(F.avg("mean").alias("workflow_macro"))
+    flows = cells.join(times, ["g", "pick"]).groupBy(*keys, "rep", "workflow").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("mean")).groupBy(*keys, "rep").agg(F.avg("mean").alias("workflow_macro"))
     names = ("sample_weighted", "repository_macro", "workflow_macro")
     levels = sample.join(flows, [*keys, "rep"]).select(*keys, "rep", F.explode(F.array(*(F.struct(F.lit(n).alias("estimand"), F.col(n).alias("level")) for n in names))).alias("e")).select(*keys, "rep", "e.*")
     base = levels.where(F.col("arm") == reference).select("metric", "rep", "estimand", F.col("level").alias("base"))
