@@ -7,10 +7,16 @@ Both models have the same order, smoothing and vocabulary (all words of either c
 A document's score is the mean, over its tokens, of the loss under the target model less that under the background
 model: low for documents like the target.
 
-Neither model is ever in one place.  The log of a probability is a term of the bigram less a term of its context, so
-documents send each bigram and each context to the partition its hash names, counts are made there from all the
-occurrences that arrive, and what goes back is a sum for each document.  Counts are exact but for hash collisions within
-a partition (32 bits beyond the partition's number, so their share stays the same as data and partitions grow).
+Neither model is ever in one place.  Keys (bigrams and contexts) are dealt out to cells by their hash, and cells, whose
+number grows with the texts, to partitions; a task holds one cell at a time.
+
+1. Counts.  A batch counts its own keys, a cell adds up the counts of all batches, for both models.  The words that can be
+   contexts are the vocabulary.
+2. Scores.  The log of a probability is a term of the bigram less a term of its context.  The MOST_HOT most frequent keys,
+   a table of a bounded size, are looked up where the texts are, so that no cell meets a word that is everywhere; other
+   occurrences go to their cell, meet the counts there, and what comes back is summed for each document.
+
+Counts are exact but for collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,83 +29,187 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import kernel
-from rankloom.session import shared_dir
+from rankloom.session import saved, shared_dir
 
 MASS = 100.0
 #: Stands for a null doc_id while sums travel.
 NO_ID = -(1 << 63)
-SENT_BYTES = 6 << 20
+#: Bytes of text that a batch counts or sends at a time, and of text to each cell.
+SENT_BYTES, CELL_BYTES = 6 << 20, 16 << 20
+#: Keys that are looked up where the texts are.
+MOST_HOT = 1 << 17
+BIGRAM, CONTEXT = 0, 1
 _U = np.uint64
 _START = kernel.mix64(np.array([0xB05], _U))[0]
+_START_KEY = kernel.mix64(np.array([_START], _U) + _U(1))[0]
 
 
-def _terms(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, hash of the bigram, hash of its context) of each token, by runs of rows."""
+def _terms(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, hash of the bigram, hash of its context) of each token, and the hash of each row's last word, by runs of rows."""
     data, offsets = kernel.utf8(column)
     for a, b, own, ends in kernel.slices(data, offsets):
         word, first = kernel.word_hashes(own, ends)
         before = np.empty_like(word)
         before[1:] = word[:-1]
-        before[first[:-1][np.diff(first) > 0]] = _START
-        yield np.repeat(np.arange(a, b), np.diff(first)), kernel.mix64(before * _U(0x9E3779B97F4A7C15) + word), kernel.mix64(before + _U(1))
+        full = np.diff(first) > 0
+        before[first[:-1][full]] = _START
+        yield np.repeat(np.arange(a, b), np.diff(first)), kernel.mix64(before * _U(0x9E3779B97F4A7C15) + word), kernel.mix64(before + _U(1)), kernel.mix64(word[first[1:][full] - 1] + _U(1))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tuple]]:
+    """Ids and joined terms of runs of rows of about SENT_BYTES of text."""
+    for batch in batches:
+        ids = np.asarray(batch.column(0))
+        data, offsets = kernel.utf8(batch.column(1))
+        for a, b, own, _ in kernel.slices(data, offsets, SENT_BYTES):
+            if len(own):
+                yield ids[a:b], tuple(map(np.concatenate, zip(*_terms(batch.column(1).slice(a, b - a)))))
+
+
+def _by_cell(key: np.ndarray, cells: int) -> Iterator[tuple[int, int, int]]:
+    """(cell, begin, end) of keys that are sorted by cell."""
+    cell = (key % _U(cells)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(cell)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(cell)]):
+        if b > a:
+            yield int(cell[a]), a, b
+
+
+_COUNTED = "part int, cell int, kind int, target boolean, keys binary, times binary"
 
 
-def _vocabulary(parts: int):
+def _count(target: bool, cells: int, parts: int):
+    """The keys of a run of texts, each with how often it occurs; a last word counts 0 times as a context."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = kernel.utf8(batch.column(0))
-            found = [np.unique(kernel.word_hashes(own, ends)[0]) for _, _, own, ends in kernel.slices(data, offsets)]
-            word = np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
-            part = (word % _U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, word[order[ends[p] : ends[p + 1]]].tobytes()) for p in range(parts) if ends[p + 1] > ends[p]]
+        for _, (_, bigram, context, last) in _runs(batches):
+            rows = []
+            for kind, own, more in ((BIGRAM, bigram, bigram[:0]), (CONTEXT, context, last)):
+                key, at = np.unique(np.concatenate([own, more]), return_inverse=True)
+                times = np.bincount(at[: len(own)], minlength=len(key)).astype(np.uint32)
+                order = np.argsort(key % _U(cells), kind="stable")
+                key, times = key[order], times[order]
+                rows += [(c % parts, c, kind, target, key[a:b].tobytes(), times[a:b].tobytes()) for c, a, b in _by_cell(key, cells)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], ["part", "words"])
+                types = (*[pa.int32()] * 3, pa.bool_(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "cell", "kind", "target", "keys", "times"])
 
     return run
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    word = np.zeros(0, _U)
+_MODEL = "part int, cell int, kind int, n long, keys binary, target binary, background binary"
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partitions sorted by cell and kind to the counts of each, in both corpora."""
+    own, held = None, ([], [])
+
+    def closed():
+        keys = [np.frombuffer(k, _U) for side in held for k, _ in side]
+        name, at = np.unique(np.concatenate(keys), return_inverse=True)
+        begin, counts = 0, []
+        for side in held:
+            times = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(t, np.uint32) for _, t in side)])
+            counts.append(np.bincount(at[begin : begin + len(times)], times, len(name)).astype(np.int64))
+            begin += len(times)
+        background, target = counts
+        values = (*own, len(name), name.tobytes(), target.tobytes(), background.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (*[pa.int32()] * 3, pa.int64(), *[pa.binary()] * 3))], ["part", "cell", "kind", "n", "keys", "target", "background"])
+
     for batch in batches:
-        word = np.unique(np.concatenate([word, *(np.frombuffer(x, _U) for x in batch.column(1).to_pylist())]))
-    yield pa.RecordBatch.from_arrays([pa.array([len(word)])], ["n"])
-
-
-_SENT = "part int, kind int, target boolean, keys binary, at binary, times binary, ids binary"
-
-
-def _send(target: bool, parts: int):
-    """Occurrences by partition: keys by document for the background, keys alone for the target; SENT_BYTES of text at a time."""
-
-    def sent(ids: np.ndarray, column) -> Iterator[tuple]:
-        rows, *columns = map(np.concatenate, zip(*_terms(column)))
-        for kind, key in enumerate(columns):
-            part, sub = (key % _U(parts)).astype(np.uint16 if parts <= 65536 else np.uint32), (key >> _U(32)).astype(np.uint32)
-            at = np.zeros(len(sub), np.uint32) if target else rows.astype(np.uint32)
-            order = np.lexsort((at, sub, part))
-            part, sub, at = part[order], sub[order], at[order]
-            fresh = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (sub[1:] != sub[:-1]) | (at[1:] != at[:-1])))
-            times = np.diff(np.append(fresh, len(sub)))
-            part, sub, at = part[fresh], sub[fresh], at[fresh]
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            for p in range(parts):
-                a, b = ends[p], ends[p + 1]
-                if b == a:
-                    continue
-                own, where = np.unique(at[a:b], return_inverse=True)
-                many = times[a:b]
-                yield p, kind, target, sub[a:b].tobytes(), b"" if target else where.astype(_width(len(own))).tobytes(), b"" if many.max() == 1 else many.astype(np.uint8 if many.max() < 256 else np.uint32).tobytes(), b"" if target else ids[own].tobytes()
+        for part, cell, kind, target, keys, times in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != (part, cell, kind):
+                if own:
+                    yield closed()
+                own, held = (part, cell, kind), ([], [])
+            held[target].append((keys, times))
+    if own:
+        yield closed()
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many keys have a count in each eighth of a doubling, and the least such count."""
+    for batch in batches:
+        for background in batch.column(0).to_pylist():
+            counts = np.frombuffer(background, np.int64)
+            counts = counts[counts > 1]
+            if len(counts):
+                step, at, n = np.unique(np.floor(np.log2(counts) * 8).astype(np.int64), return_inverse=True, return_counts=True)
+                least = np.full(len(step), np.iinfo(np.int64).max)
+                np.minimum.at(least, at, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n.astype(np.int64)), pa.array(least)], ["step", "n", "least"])
+
 
+def _chosen(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 4)
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            data, offsets = kernel.utf8(batch.column(1))
-            for a, b, own, _ in kernel.slices(data, offsets, SENT_BYTES):
-                if len(own) and (rows := list(sent(ids[a:b], batch.column(1).slice(a, b - a)))):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "kind", "target", "keys", "at", "times", "ids"])
+            for kind, keys, target, background in zip(*(c.to_pylist() for c in batch.columns)):
+                background = np.frombuffer(background, np.int64)
+                hot = background >= least
+                if hot.any():
+                    values = (kind, np.frombuffer(keys, _U)[hot].tobytes(), np.frombuffer(target, np.int64)[hot].tobytes(), background[hot].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), *[pa.binary()] * 3))], ["kind", "keys", "target", "background"])
+
+    return run
+
+
+def _losses(kind: int, counts: np.ndarray, vocabulary: int, mass: float) -> np.ndarray:
+    """The terms of the loss that keys of these counts stand for."""
+    return -np.log(counts + mass / vocabulary) if kind == BIGRAM else np.log(counts + mass)
+
+
+def hot_terms(model: DataFrame, vocabulary: int, mass: float, most: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By kind: sorted keys of the most frequent ones, at most about `most`, and their terms under both models."""
+    steps = model.select("background").mapInArrow(_steps, "step long, n long, least long").groupBy("step").agg(F.sum("n").alias("n"), F.min("least").alias("least")).orderBy(F.desc("step")).collect()  # a few rows for each doubling
+    least = None
+    for step in steps:
+        most -= step["n"]
+        if most < 0:
+            break
+        least = step["least"]
+    found: dict[int, list] = {BIGRAM: [], CONTEXT: []}
+    if least is not None:
+        for row in model.select("kind", "keys", "target", "background").mapInArrow(_chosen(least), "kind int, keys binary, target binary, background binary").collect():  # at most `most` keys
+            found[row["kind"]].append((np.frombuffer(row["keys"], _U), np.frombuffer(row["target"], np.int64), np.frombuffer(row["background"], np.int64)))
+    out = {}
+    for kind, rows in found.items():
+        keys, target, background = map(np.concatenate, zip(*rows)) if rows else (np.zeros(0, _U), *[np.zeros(0, np.int64)] * 2)
+        order = np.argsort(keys)
+        out[kind] = (keys[order], *(_losses(kind, c[order], vocabulary, mass) for c in (target, background)))
+    return out
+
+
+#: Rows to a cell: its model (order 0), then occurrences (order 1); and what is known without a cell (order 2).
+_SENT = "part int, cell int, kind int, order int, keys binary, at binary, times binary, ids binary"
+
+
+def _send(hot, cells: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (*[pa.int32()] * 4, *[pa.binary()] * 4)
+        for ids, (row, bigram, context, _) in _runs(batches):
+            known, rows = [np.zeros(len(ids)), np.zeros(len(ids))], []
+            for kind, key in ((BIGRAM, bigram), (CONTEXT, context)):
+                names, *terms = hot.value[kind]
+                place = np.minimum(np.searchsorted(names, key), max(0, len(names) - 1))
+                held = names[place] == key if len(names) else np.zeros(len(key), bool)
+                for k in (0, 1):
+                    known[k] += np.bincount(row[held], terms[k][place[held]], len(ids)) if held.any() else 0
+                key, at = key[~held], row[~held]
+                order = np.lexsort((at, key, key % _U(cells)))
+                key, at = key[order], at[order]
+                fresh = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]))) if len(key) else np.zeros(0, np.int64)
+                times = np.diff(np.append(fresh, len(key)))
+                key, at = key[fresh], at[fresh]
+                for cell, a, b in _by_cell(key, cells):
+                    own, where = np.unique(at[a:b], return_inverse=True)
+                    many = times[a:b]
+                    rows.append((cell % parts, cell, kind, 1, key[a:b].tobytes(), where.astype(_width(len(own))).tobytes(), b"" if many.max() == 1 else many.astype(np.uint8 if many.max() < 256 else np.uint32).tobytes(), ids[own].tobytes()))
+            tokens = np.bincount(row, minlength=len(ids)).astype(np.int64)
+            own = np.flatnonzero(tokens)
+            if len(own):
+                rows.append((int(kernel.mix64(ids[own[:1]].view(_U))[0] % _U(parts)), cells, 0, 2, tokens[own].tobytes(), known[0][own].tobytes(), known[1][own].tobytes(), ids[own].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in _SENT.split(", ")])
 
     return run
 
@@ -108,91 +218,67 @@ def _width(n: int):
     return np.uint16 if n <= 65536 else np.uint32
 
 
-def _sum(vocabulary: int, mass: float, parts: int):
+def _sum(vocabulary: int, mass: float):
+    """Partitions sorted by cell, kind and order to parts of the sums of each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of every key of the partition, then the terms of its documents' losses."""
-        held, aims, ids, starts = ([], []), ([], []), [], 0  # by kind: (keys, times, documents) and (keys, times)
+        model, out, held = None, [], 0
+
+        def flush():
+            ids, *values = map(np.concatenate, zip(*out))
+            ids, at = np.unique(ids, return_inverse=True)
+            sums = [np.bincount(at, v, len(ids)) for v in values]
+            for a in range(0, len(ids), 1 << 15):
+                part = slice(a, a + (1 << 15))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(sums[0][part].astype(np.int64)), pa.array(sums[1][part]), pa.array(sums[2][part])], ["doc_id", "n_tokens", "target", "background"])
+
         for batch in batches:
-            for _, kind, target, key, at, many, own in zip(*(c.to_pylist() for c in batch.columns)):
-                key = np.frombuffer(key, np.uint32)
-                many = (np.frombuffer(many, np.uint8 if len(many) == len(key) else np.uint32) if many else np.ones(len(key), np.uint8)).astype(np.uint32)
-                if target:
-                    aims[kind].append((key, many))
+            for _, _, kind, order, keys, at, times, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if order == 0:
+                    model = (np.frombuffer(keys, _U), _losses(kind, np.frombuffer(at, np.int64), vocabulary, mass), _losses(kind, np.frombuffer(times, np.int64), vocabulary, mass))
+                    continue
+                ids = np.frombuffer(ids, np.int64)
+                if order == 2:
+                    out.append((ids, np.frombuffer(keys, np.int64), np.frombuffer(at, np.float64), np.frombuffer(times, np.float64)))
                 else:
-                    own = np.frombuffer(own, np.int64)
-                    held[kind].append((key, many, np.frombuffer(at, _width(len(own))).astype(np.uint32) + np.uint32(starts)))
-                    ids.append(own)
-                    starts += len(own)
-        if not ids:
-            return
-        ids = np.concatenate(ids)
-        _, first, row = np.unique(ids, return_index=True, return_inverse=True)
-        ids, row, tokens = ids[first], row.astype(np.uint32), np.zeros(len(first), np.int64)
-        losses = [np.zeros(len(first)), np.zeros(len(first))]
-        for kind in (0, 1):
-            if not held[kind]:
-                continue
-            key, many, doc = map(np.concatenate, zip(*held[kind]))
-            held[kind].clear()
-            doc = row[doc]
-            order = np.argsort(key, kind="stable")
-            key, many, doc = key[order], many[order], doc[order]
-            del order
-            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            names, sizes = key[begin], np.diff(np.append(begin, len(key)))
-            own = np.add.reduceat(many, begin, dtype=np.int64)
-            aim = np.zeros(len(names), np.int64)
-            for other, times in aims[kind]:
-                place = np.minimum(np.searchsorted(names, other), len(names) - 1)
-                same = names[place] == other
-                np.add.at(aim, place[same], times[same])
-            for k, count in enumerate((aim, own)):
-                term = -np.log(count + mass / vocabulary) if kind == 0 else np.log(count + mass)
-                losses[k] += np.bincount(doc, np.repeat(term, sizes) * many, len(ids))
-            if kind == 0:
-                tokens += np.bincount(doc, many, len(ids)).astype(np.int64)
-        to = (kernel.mix64(ids.view(_U)) % _U(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        ends = np.searchsorted(to[order], np.arange(parts + 1))
-        rows = [(p, *(x[order[ends[p] : ends[p + 1]]].tobytes() for x in (ids, tokens.astype(np.uint32), *losses))) for p in range(parts) if ends[p + 1] > ends[p]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["part", "ids", "tokens", "target", "background"])
+                    keys, at = np.frombuffer(keys, _U), np.frombuffer(at, _width(len(ids)))
+                    times = np.frombuffer(times, np.uint8 if len(times) == len(keys) else np.uint32) if times else np.ones(len(keys), np.uint8)
+                    place = np.searchsorted(model[0], keys)
+                    out.append((ids, np.zeros(len(ids), np.int64), *(np.bincount(at, term[place] * times, len(ids)) for term in model[1:])))
+                held += len(ids)
+                if held > 1 << 19:
+                    yield from flush()
+                    out, held = [], 0
+        if out:
+            yield from flush()
 
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of each document over the partitions that its tokens were sent to."""
-    found = []
-    for batch in batches:
-        for _, *packed in zip(*(c.to_pylist() for c in batch.columns)):
-            found.append([np.frombuffer(x, t) for x, t in zip(packed, (np.int64, np.uint32, np.float64, np.float64))])
-    if not found:
-        return
-    ids, *values = map(np.concatenate, zip(*found))
-    ids, row = np.unique(ids, return_inverse=True)
-    tokens, target, background = (np.bincount(row, v, len(ids)) for v in values)
-    for a in range(0, len(ids), 1 << 16):
-        part = slice(a, a + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(tokens[part].astype(np.int64)), pa.array(target[part]), pa.array(background[part])], ["doc_id", "n_tokens", "target", "background"])
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, mass: float = MASS) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, mass: float = MASS, cell_bytes: int = CELL_BYTES, most_hot: int = MOST_HOT) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of each doc_id of `docs` (doc_id, text).
 
     The background model is that of `docs`, the target model that of `target` (text).  Words are runs of bytes other than
     white space, A-Z lower-cased.  Rows that share a doc_id (null ids too) are one document; without tokens (null or blank
-    text) its losses and score are null; an empty target leaves a uniform model; other columns are ignored.
+    text) its losses and score are null; an empty target leaves a uniform model; an empty `docs` gives no rows; texts of any
+    length are scored whole; other columns are ignored.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     target = target.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = docs.select("text").unionAll(target.select("text")).mapInArrow(_vocabulary(parts), "part int, words binary")
-    vocabulary = words.repartitionById(parts, F.col("part")).mapInArrow(_distinct, "n long").agg(F.sum("n")).first()[0] or 0
-    sent = docs.mapInArrow(_send(False, parts), _SENT).unionAll(target.mapInArrow(_send(True, parts), _SENT))
-    partial = sent.repartitionById(parts, F.col("part")).mapInArrow(_sum(max(1, vocabulary), mass, parts), "part int, ids binary, tokens binary, target binary, background binary")
-    summed = partial.repartitionById(parts, F.col("part")).mapInArrow(_add, "doc_id long, n_tokens long, target double, background double")
+    size = docs.select("text").unionAll(target.select("text")).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = parts * max(1, -(-size // (parts * cell_bytes)))
+    counted = docs.mapInArrow(_count(False, cells, parts), _COUNTED).unionAll(target.mapInArrow(_count(True, cells, parts), _COUNTED))
+    model = saved(counted.repartitionById(parts, F.col("part")).sortWithinPartitions("cell", "kind").mapInArrow(_add, _MODEL))
+    words = model.where(F.col("kind") == CONTEXT).agg(F.sum("n")).first()[0] or 0
+    vocabulary = max(1, words - 1)  # the start of a text is a context, and no word
+    hot = spark.sparkContext.broadcast(hot_terms(model, vocabulary, mass, most_hot))
+    sent = docs.mapInArrow(_send(hot, cells, parts), _SENT)
+    models = model.select("part", "cell", "kind", F.lit(0).alias("order"), "keys", F.col("target").alias("at"), F.col("background").alias("times"), F.lit(None).cast("binary").alias("ids"))
+    partial = sent.unionAll(models).repartitionById(parts, F.col("part")).sortWithinPartitions("cell", "kind", "order").mapInArrow(_sum(vocabulary, mass), "doc_id long, n_tokens long, target double, background double")
+    summed = partial.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "target", "background")))
     found = docs.select("doc_id").distinct().join(summed, "doc_id", "left")
     loss = lambda c: (F.col(c) / F.col("n_tokens"))
     return found.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), loss("target").alias("target_loss"), loss("background").alias("background_loss"), ((F.col("target") - F.col("background")) / F.col("n_tokens")).alias("score"))

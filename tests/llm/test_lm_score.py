@@ -37,7 +37,8 @@ def brute(docs, target):
     return {i: (n, *((losses[0] / n, losses[1] / n, (losses[0] - losses[1]) / n) if n else (None,) * 3)) for i, (n, losses) in out.items()}
 
 
-def test_scores_are_those_of_the_models(spark):
+@pytest.mark.parametrize("options", [{}, {"cell_bytes": 500, "most_hot": 0}, {"cell_bytes": 500, "most_hot": 40}])
+def test_scores_are_those_of_the_models(spark, options):
     r = random.Random(2)
     vocabulary = [f"w{k}" for k in range(50)] + ["The", "é", "x.", "the"]
     text = lambda most: " ".join(r.choice(vocabulary) for _ in range(r.randrange(most)))
@@ -45,7 +46,7 @@ def test_scores_are_those_of_the_models(spark):
     target = [text(40) for _ in range(30)] + [None, ""]
     df = spark.createDataFrame([(i, t, 0.0) for i, t in docs], "doc_id long, text string, score double")
     aim = spark.createDataFrame([(t, 1) for t in target], "text string, doc_id int")
-    found = {row["doc_id"]: tuple(row)[1:] for row in cross_entropy_difference(df, aim).collect()}
+    found = {row["doc_id"]: tuple(row)[1:] for row in cross_entropy_difference(df, aim, **options).collect()}
     want = brute(docs, target)
     assert found.keys() == want.keys()
     for i in want:
@@ -58,3 +59,19 @@ def test_empty_tables(spark):
     assert cross_entropy_difference(docs, docs.select("text")).collect() == []
     some = spark.createDataFrame([(1, "a b a")], "doc_id long, text string")
     assert cross_entropy_difference(some, docs.select("text")).first()["n_tokens"] == 3
+
+
+def test_no_cell_meets_a_word_that_is_everywhere(spark):
+    from rankloom.llm import lm_score
+
+    docs = [(k, f"start here then w{k} w{k + 1} end of it all") for k in range(4000)]
+    model = spark.createDataFrame(docs, "doc_id long, text string").mapInArrow(lm_score._count(False, 8, 4), lm_score._COUNTED).repartitionById(4, "part").sortWithinPartitions("cell", "kind").mapInArrow(lm_score._add, lm_score._MODEL).cache()
+    hot = lm_score.hot_terms(model, 4009, 100.0, 50)
+    assert [len(hot[kind][0]) for kind in (lm_score.BIGRAM, lm_score.CONTEXT)] == [6, 7]  # the pairs and contexts of every text
+    sent = list(lm_score._send(type("B", (), {"value": hot}), 8, 4)(iter(spark.createDataFrame(docs, "doc_id long, text string").toArrow().to_batches())))
+    sizes = {}
+    for batch in sent:
+        for r in batch.to_pylist():
+            if r["order"] == 1:
+                sizes[r["cell"]] = sizes.get(r["cell"], 0) + len(r["keys"]) // 8
+    assert len(sizes) == 8 and max(sizes.values()) < 1.2 * min(sizes.values())
