@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from rankloom.llm.lm_score import MASS, cross_entropy_difference
@@ -65,13 +66,16 @@ def test_no_cell_meets_a_word_that_is_everywhere(spark):
     from rankloom.llm import lm_score
 
     docs = [(k, f"start here then w{k} w{k + 1} end of it all") for k in range(4000)]
-    model = spark.createDataFrame(docs, "doc_id long, text string").mapInArrow(lm_score._count(False, 8, 4), lm_score._COUNTED).repartitionById(4, "part").sortWithinPartitions("cell", "kind").mapInArrow(lm_score._add, lm_score._MODEL).cache()
-    hot = lm_score.hot_terms(model, 4009, 100.0, 50)
-    assert [len(hot[kind][0]) for kind in (lm_score.BIGRAM, lm_score.CONTEXT)] == [6, 7]  # the pairs and contexts of every text
-    sent = list(lm_score._send(type("B", (), {"value": hot}), 8, 4)(iter(spark.createDataFrame(docs, "doc_id long, text string").toArrow().to_batches())))
+    own = spark.createDataFrame(docs, "doc_id long, text string")
+    none = own.limit(0)
+    vocabulary, keys, kinds = lm_score.hot_keys(own, none, 4, 13)
+    assert vocabulary == 4008 and sorted(kinds) == [0] * 6 + [1] * 7  # the pairs and contexts of every text
+    hot = lm_score.hot_terms(own, none, 4, vocabulary, 100.0, keys, kinds)
+    assert np.allclose(hot[2], np.where(kinds == 0, -np.log(4000 + 100 / vocabulary), np.log(4100)))
+    sent = list(lm_score._send(type("B", (), {"value": hot}), False, 8, 4)(iter(own.toArrow().to_batches())))
     sizes = {}
     for batch in sent:
         for r in batch.to_pylist():
-            if r["order"] == 1:
+            if r["kind"] != lm_score.KNOWN:
                 sizes[r["cell"]] = sizes.get(r["cell"], 0) + len(r["keys"]) // 8
     assert len(sizes) == 8 and max(sizes.values()) < 1.2 * min(sizes.values())
