@@ -13,7 +13,8 @@ comes back is summed for each document.  The number of cells grows with the text
 
 Keys that are everywhere don't travel: the MOST_HOT most frequent ones, as far as batches see them, are a table of a
 bounded size; their occurrences are counted, and then looked up, where the texts are.  Which keys are in it decides how
-evenly the cells are filled, never a count.  Counts are exact but for collisions of 64-bit hashes.
+evenly the cells are filled, never a count.  Counts are exact but for collisions of hashes: 64 bits in the
+table, and 48 bits within a cell, which holds about as many keys at every size.
 """
 
 from __future__ import annotations
@@ -132,6 +133,29 @@ def _count(keys, target: bool):
     return run
 
 
+def _packed_keys(key: np.ndarray, cells: int) -> bytes:
+    """What tells the keys of a cell apart: the first 48 bits behind those that name the cell."""
+    sub = key * _U(cells) >> _U(16)
+    return (sub >> _U(16)).astype(np.uint32).tobytes() + sub.astype(np.uint16).tobytes()
+
+
+def _unpacked_keys(packed: bytes) -> np.ndarray:
+    n = len(packed) // 6
+    return np.frombuffer(packed, np.uint32, n).astype(_U) << _U(16) | np.frombuffer(packed, np.uint16, n, 4 * n)
+
+
+def _packed_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """The least id and the distances from it, or nothing and the ids themselves if they are too far apart."""
+    least = ids.min()
+    if int(ids.max()) - int(least) < 1 << 32:
+        return least.tobytes(), (ids - least).astype(np.uint32).tobytes()
+    return b"", ids.tobytes()
+
+
+def _unpacked_ids(least: bytes, ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, np.uint32).astype(np.int64) + np.frombuffer(least, np.int64)[0] if least else np.frombuffer(ids, np.int64)
+
+
 class Names:
     """A lookup of sorted keys by their first BITS bits."""
 
@@ -192,7 +216,7 @@ def hot_terms(docs: DataFrame, target: DataFrame, parts: int, vocabulary: int, m
 
 
 #: Occurrences of a cell's keys; rows of the kind KNOWN hold what is known of documents without a cell.
-_SENT = "part int, cell int, kind int, target boolean, keys binary, at binary, times binary, ids binary"
+_SENT = "part int, cell int, kind int, target boolean, keys binary, least binary, times binary, ids binary"
 KNOWN = 2
 
 
@@ -218,9 +242,9 @@ def _send(hot, target: bool, cells: int, parts: int):
                 times = np.diff(np.append(fresh, len(key)))
                 key, at = key[fresh], at[fresh]
                 for cell, a, b in _by_cell(key, cells):
-                    own, where = np.unique(at[a:b], return_inverse=True)
                     many = times[a:b]
-                    rows.append((cell % parts, cell, kind, target, key[a:b].tobytes(), b"" if target else where.astype(_width(len(own))).tobytes(), b"" if many.max() == 1 else many.astype(np.uint8 if many.max() < 256 else np.uint32).tobytes(), b"" if target else ids[own].tobytes()))
+                    least, own = (b"", b"") if target else _packed_ids(ids[at[a:b]])
+                    rows.append((cell % parts, cell, kind, target, _packed_keys(key[a:b], cells), least, b"" if many.max() == 1 else many.astype(np.uint8 if many.max() < 256 else np.uint32).tobytes(), own))
             tokens = np.bincount(row, minlength=len(ids)).astype(np.int64)
             own = np.flatnonzero(tokens)
             if len(own) and not target:
@@ -231,10 +255,6 @@ def _send(hot, target: bool, cells: int, parts: int):
     return run
 
 
-def _width(n: int):
-    return np.uint16 if n <= 65536 else np.uint32
-
-
 #: Sums that a task holds before it hands them on, or adds up those of the same documents.
 MOST_SUMS = 1 << 20
 _SUMS = (np.int64, np.int64, np.float64, np.float64)
@@ -267,41 +287,35 @@ def _sum(vocabulary: int, mass: float, parts: int):
             if not held:
                 aims.clear()
                 return 0
-            key, many, doc, ids = [], [], [], []
-            begin = 0
-            for keys, at, times, docs in held:
-                key.append(np.frombuffer(keys, _U))
-                many.append(_many(times, len(key[-1])))
-                docs = np.frombuffer(docs, np.int64)
-                doc.append(np.frombuffer(at, _width(len(docs))).astype(np.uint32) + np.uint32(begin))
-                ids.append(docs)
-                begin += len(docs)
+            key = [_unpacked_keys(keys) for keys, *_ in held]
+            many = np.concatenate([_many(times, len(k)) for k, (_, _, times, _) in zip(key, held)])
+            ids = np.concatenate([_unpacked_ids(least, docs) for _, least, _, docs in held])
             held.clear()
-            key, many, doc, ids = map(np.concatenate, (key, many, doc, ids))
-            name, place = np.unique(key, return_inverse=True)
+            name, place = np.unique(np.concatenate(key), return_inverse=True)
             counts = [np.zeros(len(name) + 1, np.int64), np.bincount(place, many, len(name)).astype(np.int64)]
             for keys, times in aims:
-                keys = np.frombuffer(keys, _U)
+                keys = _unpacked_keys(keys)
                 place_of = np.minimum(np.searchsorted(name, keys), len(name) - 1)
                 np.add.at(counts[0], np.where(name[place_of] == keys, place_of, len(name)), _many(times, len(keys)))
             aims.clear()
             terms = [_losses(own[1], c[: len(name)], vocabulary, mass) for c in counts]
-            out.append((ids, np.zeros(len(ids), np.int64), *(np.bincount(doc, t[place] * many, len(ids)) for t in terms)))
-            return len(ids)
+            docs, at = np.unique(ids, return_inverse=True)
+            out.append((docs, np.zeros(len(docs), np.int64), *(np.bincount(at, t[place] * many, len(docs)) for t in terms)))
+            return len(docs)
 
         for batch in batches:
-            for _, cell, kind, target, keys, at, times, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, cell, kind, target, keys, least, times, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if own != (cell, kind):
                     sums += close()
                     own = (cell, kind)
                 if kind == KNOWN:
                     ids = np.frombuffer(ids, np.int64)
-                    out.append((ids, np.frombuffer(keys, np.int64), np.frombuffer(at, np.float64), np.frombuffer(times, np.float64)))
+                    out.append((ids, np.frombuffer(keys, np.int64), np.frombuffer(least, np.float64), np.frombuffer(times, np.float64)))
                     sums += len(ids)
                 elif target:
                     aims.append((keys, times))
                 else:
-                    held.append((keys, at, times, ids))
+                    held.append((keys, least, times, ids))
                 if sums > MOST_SUMS:
                     yield from flush()
                     sums = 0
