@@ -156,38 +156,46 @@ def distinct_shingles(column, k: int) -> Iterator[np.ndarray]:
             yield np.unique(value[begin[row] : begin[row + 1]])
 
 
-ID_BITS = 1 << 24
+#: The least and the largest size of a bitmap, as powers of 2, and its bits for each id in between.
+LEAST_BITS, MOST_BITS, BITS_PER_ID = 16, 28, 32
 
 
-def id_bits(ids: np.ndarray) -> np.ndarray:
-    """Places of ids in a bitmap of ID_BITS bits."""
-    return (mix64(ids.view(_U)) % _U(ID_BITS)).astype(np.int64)
+def id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Places of ids in a bitmap."""
+    return (mix64(ids.view(_U)) % _U(bits)).astype(np.int64)
 
 
-def _id_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bitmap = np.zeros(ID_BITS // 8, np.uint8)
-    for batch in batches:
-        at = id_bits(np.asarray(batch.column(0)))
-        np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    used = np.flatnonzero(bitmap)
-    yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.uint32).tobytes()], pa.binary()), pa.array([bitmap[used].tobytes()], pa.binary())], ["at", "bits"])
+def _id_places(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = id_bits(np.asarray(batch.column(0)), bits)
+            np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        used = np.flatnonzero(bitmap)
+        yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.uint32).tobytes()], pa.binary()), pa.array([bitmap[used].tobytes()], pa.binary())], ["at", "bits"])
+
+    return run
 
 
 def id_bitmap(ids, parts: int = 4) -> np.ndarray:
-    """A bitmap of a fixed size of the first column (longs, none null) of a DataFrame: it holds all ids, and some others by chance."""
-    bitmap = np.zeros(ID_BITS // 8, np.uint8)
-    for row in ids.coalesce(parts).mapInArrow(_id_places, "at binary, bits binary").collect():  # at most `parts` bitmaps
+    """A bitmap of the first column (longs, none null) of a materialised DataFrame: it holds all ids, and some others by chance.
+
+    Its size follows the number of ids, up to 2 ** MOST_BITS bits; with more ids, it holds more others.
+    """
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (ids.count() * BITS_PER_ID).bit_length()))
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for row in ids.coalesce(parts).mapInArrow(_id_places(bits), "at binary, bits binary").collect():  # at most `parts` bitmaps
         bitmap[np.frombuffer(row["at"], np.uint32)] |= np.frombuffer(row["bits"], np.uint8)
     return bitmap
 
 
-def rows_with_id(docs, bitmap, inside: bool = True):
-    """The rows of a DataFrame with a doc_id that the (broadcast) bitmap holds, or does not; a null doc_id is not held."""
+def rows_with_id(docs, bitmap, inside: bool = True, column: str = "doc_id"):
+    """The rows of a DataFrame whose `column` (long) the (broadcast) bitmap holds, or does not; null is not held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            at = id_bits(np.asarray(pc.fill_null(ids, 0)))
+            ids = batch.column(batch.schema.get_field_index(column)).cast(pa.int64())
+            at = id_bits(np.asarray(pc.fill_null(ids, 0)), len(bitmap.value) * 8)
             held = ((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) & np.asarray(pc.is_valid(ids))
             yield batch.filter(pa.array(held if inside else ~held))
 

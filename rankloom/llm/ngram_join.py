@@ -436,7 +436,7 @@ def jaccard_links(docs: DataFrame, led: DataFrame, k: int, bands: Bands, block_s
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = kernel.rows_with_id(docs, spark.sparkContext.broadcast(kernel.id_bitmap(led.select("member"))))  # other texts stay where they are
+    docs = kernel.rows_with_id(docs, spark.sparkContext.broadcast(kernel.id_bitmap(led.select("member").distinct())))  # other texts stay where they are
     weight = led.groupBy("leader").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     member = led.join(weight, "leader").withColumn(
         "block", F.when(F.col("leader") == F.col("member"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")))

@@ -1,12 +1,13 @@
 """WARC archives as a PySpark data source, for reading and writing.
 
-Reading: files are planned as partitions; a file with an offset index beside it (this module's own writer leaves one)
-is divided at record starts into parts of about `split_bytes`.  Filters on the record type, the target address and
+Reading: files are planned as partitions from a listing alone; a file with an offset index beside it (this module's own
+writer leaves one) is divided into parts of `split_bytes`, and a part's task finds the records that start in it.  Filters on the record type, the target address and
 every other header column are pushed down: headers are parsed first, and the block of a record that fails a filter is
 skipped, undecoded.  Plain and gzip files (one member a record) are read.
 
-Writing: every task writes one file of gzip members under a name of its own; only files of the tasks that Spark
-commits are renamed into place, so a lost executor or a repeated task leaves no record twice.
+Writing: every task writes one file of gzip members under a name of its own; the job commits by one list of the files
+that count, and readers leave out files of a job that no list names, so a lost executor or a repeated task leaves no
+record twice and nothing is renamed.
 
 Paths go through pyarrow's file systems (file:, hdfs:, s3: ...), so they must be ones that all executors share.
 """
@@ -15,17 +16,21 @@ from __future__ import annotations
 
 import gzip
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
-from rankloom.session import shared_dir, table
+from rankloom.llm import kernel
+from rankloom.llm.graph import join_hot
+from rankloom.session import saved, shared_dir, table
 
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, full_length long, content_length long, payload binary"
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "full_length": "WARC-Full-Payload-Length", "content_length": "Content-Length"}
@@ -36,6 +41,21 @@ SPLIT_BYTES = 32 << 20
 CHUNK = 1 << 16
 
 
+#: Files of this module's writer, by job.
+OWN_FILE = re.compile("/part-([0-9a-f]{32})-[0-9a-f]{32}\\.warc\\.gz$")
+
+
+def _committed(system, folder: str, job: str) -> set[str]:
+    """The files of a job that count: none before it has committed."""
+    from pyarrow import fs
+
+    name = f"{folder}/_files-{job}.json"
+    if system.get_file_info(name).type == fs.FileType.NotFound:
+        return set()
+    with system.open_input_file(name) as listed:
+        return set(json.loads(listed.read()))
+
+
 def _open(path: str):
     from pyarrow import fs
 
@@ -66,11 +86,11 @@ class Part(InputPartition):
     path: str
     start: int
     end: int | None
-    offsets: list[int] | None
+    size: int | None
 
-    def __init__(self, path: str, start: int, end: int | None, offsets: list[int] | None = None):
+    def __init__(self, path: str, start: int, end: int | None, size: int | None = None):
         super().__init__(None)
-        self.path, self.start, self.end, self.offsets = path, start, end, offsets
+        self.path, self.start, self.end, self.size = path, start, end, size  # a size: the file has an index
 
 
 class _Bytes:
@@ -239,20 +259,20 @@ class WarcReader(DataSourceReader):
         info = system.get_file_info(path)
         files = [info] if info.type == fs.FileType.File else sorted(system.get_file_info(fs.FileSelector(path, recursive=True)), key=lambda f: f.path)
         names = {f.path for f in files}
-        most, parts = int(self.options.get("split_bytes", SPLIT_BYTES)), []
+        most, parts, committed = int(self.options.get("split_bytes", SPLIT_BYTES)), [], {}
         for f in files:
             if not f.path.endswith((".warc", ".warc.gz")) or "/_" in f.path[len(path) :]:
                 continue
+            job = OWN_FILE.search(f.path)
+            if job:
+                if job[1] not in committed:
+                    committed[job[1]] = _committed(system, f.path.rpartition("/")[0], job[1])
+                if f.path.rpartition("/")[2] not in committed[job[1]]:
+                    continue
             if f.path + ".idx" not in names:
                 parts.append(Part(f.path, 0, None))
                 continue
-            with system.open_input_file(f.path + ".idx") as index:
-                offsets = json.loads(index.read())
-            begin = 0
-            for k in range(1, len(offsets) + 1):
-                if k == len(offsets) or offsets[k] - offsets[begin] >= most:
-                    parts.append(Part(f.path, offsets[begin], offsets[k] if k < len(offsets) else f.size, offsets[begin:k]))
-                    begin = k
+            parts += [Part(f.path, a, min(a + most, f.size), f.size) for a in range(0, f.size, most)]
         return parts or [Part("", 0, 0)]
 
     def read(self, part):
@@ -264,7 +284,13 @@ class WarcReader(DataSourceReader):
         types = [pa.int64() if c in NUMBERS else pa.binary() if c == "payload" else pa.string() for c in self.columns]
         size = 0
         with system.open_input_file(part.path) as raw:
-            found = read_members(raw, part.offsets, part.end, self.wanted, payload) if part.offsets else read_records(raw, part.start, part.end, self.wanted, payload)
+            if part.size is None:
+                found = read_records(raw, part.start, part.end, self.wanted, payload)
+            else:
+                with system.open_input_file(part.path + ".idx") as index:
+                    offsets = np.frombuffer(index.read(), "<u8")
+                a, b = np.searchsorted(offsets, [part.start, part.end])
+                found = read_members(raw, offsets[a:b].tolist(), int(offsets[b]) if b < len(offsets) else part.size, self.wanted, payload)
             for fields, block in found:
                 for name, column in zip(self.columns, columns):
                     column.append(block if name == "payload" else _value(fields, name))
@@ -288,12 +314,12 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, path = _open(self.path)
-        system.create_dir(f"{path}/_pending-{self.job}", recursive=True)
-        name, offsets, at, out = f"{uuid.uuid4().hex}.warc.gz", [], 0, None
+        system.create_dir(path, recursive=True)
+        name, offsets, at, out = f"part-{self.job}-{uuid.uuid4().hex}.warc.gz", [], 0, None
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    out = system.open_output_stream(f"{path}/_pending-{self.job}/{name}", compression=None)
+                    out = system.open_output_stream(f"{path}/{name}", compression=None)
                 payload = row.pop("payload") or b""
                 row.pop("content_length", None)
                 member = gzip.compress(record_bytes(row, payload), 1, mtime=0)
@@ -303,25 +329,30 @@ class WarcWriter(DataSourceArrowWriter):
         if out is None:
             return Written(None)
         out.close()
-        with system.open_output_stream(f"{path}/_pending-{self.job}/{name}.idx", compression=None) as index:
-            index.write(json.dumps(offsets).encode())
+        with system.open_output_stream(f"{path}/{name}.idx", compression=None) as index:
+            index.write(np.array(offsets, "<u8").tobytes())
         return Written(name)
 
     def commit(self, messages):
         system, path = _open(self.path)
         system.create_dir(path, recursive=True)
-        for message in messages:
-            if message is not None and message.name:
-                for name in (message.name, f"{message.name}.idx"):
-                    system.move(f"{path}/_pending-{self.job}/{name}", f"{path}/{name}")
-        self.abort(messages)
+        names = [m.name for m in messages if m is not None and m.name]
+        with system.open_output_stream(f"{path}/_files-{self.job}.json", compression=None) as out:
+            out.write(json.dumps(names).encode())
+        self._remove(set(names))
 
     def abort(self, messages):
+        self._remove(set())
+
+    def _remove(self, kept: set[str]) -> None:
+        """The job's files that don't count, of tasks that were repeated or lost."""
         from pyarrow import fs
 
         system, path = _open(self.path)
-        if system.get_file_info(f"{path}/_pending-{self.job}").type != fs.FileType.NotFound:
-            system.delete_dir(f"{path}/_pending-{self.job}")
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            for f in system.get_file_info(fs.FileSelector(path)):
+                if f.base_name.startswith(f"part-{self.job}-") and f.base_name.removesuffix(".idx") not in kept:
+                    system.delete_file(f.path)
 
 
 class WarcSource(DataSource):
@@ -351,18 +382,38 @@ def records_of(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     Of the rows with equal payloads of at least `least_bytes`, the one with the largest page_id is a response and the
     others revisit it; smaller payloads are all responses.  A null html is an empty payload.  Rows that share the largest
     page_id are all responses; a null page_id is below all others, and equal payloads under null ids only are all responses.
+    Other columns are ignored; an empty table gives no rows.
+
+    What is equal is found from digests, and a revisit is made of them alone, so payloads stay where they are: a row is a
+    response if a bitmap of revisits doesn't hold it; of the others only those move that a second bitmap, of the responses
+    that the first one holds by chance, holds too.
     """
+    spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     own = own.withColumn("full_length", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    last = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).select("page_id", F.octet_length("payload").cast("long").alias("full_length"), F.sha1("payload").alias("payload_digest"))
-    last = last.where(F.col("full_length") >= least_bytes).groupBy("payload_digest", "full_length").agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1 and last_id is not null").drop("n")
-    found = own.join(last, ["payload_digest", "full_length"], "left")
-    again = F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id"))
+    own = own.withColumn("key", F.when(F.col("full_length") >= least_bytes, F.xxhash64("page_id", "payload_digest")))
+    meta = saved(own.where("key is not null").drop("payload"))
+    same = ["payload_digest", "full_length"]
+    last = meta.groupBy(*same).agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1 and last_id is not null").drop("n")
+    revisits = saved(join_hot(meta, last, same, meta.count()).where(~F.col("page_id").eqNullSafe(F.col("last_id"))))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    return found.select(
-        name(F.col("page_id")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", F.concat(F.lit("sha1:"), "payload_digest").alias("payload_digest"),
-        F.when(again, name(F.col("last_id"))).alias("refers_to"), "full_length", F.lit(None).cast("long").alias("content_length"), F.when(~again, F.col("payload")).alias("payload"),
-    )
+
+    def records(rows: DataFrame, again: bool) -> DataFrame:
+        return rows.select(
+            name(F.col("page_id")).alias("record_id"), F.lit("revisit" if again else "response").alias("record_type"), "target_uri", F.concat(F.lit("sha1:"), "payload_digest").alias("payload_digest"),
+            (name(F.col("last_id")) if again else F.lit(None).cast("string")).alias("refers_to"), "full_length", F.lit(None).cast("long").alias("content_length"), (F.lit(None).cast("binary") if again else F.col("payload")).alias("payload"),
+        )
+
+    held = spark.sparkContext.broadcast(kernel.id_bitmap(revisits.select("key").distinct()))
+    exact = lambda a, b: a["page_id"].eqNullSafe(b["page_id"]) & (a["payload_digest"] == b["payload_digest"]) & (a["full_length"] == b["full_length"])
+    inside = kernel.rows_with_id(meta, held, column="key").select("page_id", *same, "key").distinct()
+    chance = saved(inside.join(revisits, exact(inside, revisits), "left_anti"))
+    out = records(kernel.rows_with_id(own, held, inside=False, column="key"), False).unionByName(records(revisits, True))
+    if chance.take(1):
+        both = spark.sparkContext.broadcast(kernel.id_bitmap(chance.select("key").distinct()))
+        doubtful = kernel.rows_with_id(kernel.rows_with_id(own, held, column="key"), both, column="key")
+        out = out.unionByName(records(doubtful.join(chance, exact(doubtful, chance), "left_semi"), False))
+    return out
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000) -> None:

@@ -1,8 +1,11 @@
 import gzip
 import hashlib
 import io
+import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.llm import warc
 
@@ -34,21 +37,52 @@ def test_round_trip(spark, tmp_path):
         assert r["full_length"] == len(body) and r["payload_digest"] == "sha1:" + hashlib.sha1(body).hexdigest()
         assert bytes(r["payload"]) == (b"" if again else body) and r["content_length"] == len(r["payload"])
     assert len(by[name(13)]) == 2
-    assert not list(tmp_path.glob("archive/_pending*"))
+    assert len(list(tmp_path.glob("archive/_files-*.json"))) == 1
+
+
+def test_files_of_tasks_that_were_not_committed_do_not_count(spark, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    write(spark, ROWS[:4], path)
+    (name,) = tmp_path.glob("archive/_files-*.json")
+    own = json.loads(name.read_text())
+    for job in (own[0][5:37], "0" * 32):  # a repeated task, and a job that never ended
+        other = tmp_path / "archive" / f"part-{job}-{'1' * 32}.warc.gz"
+        other.write_bytes((tmp_path / "archive" / own[0]).read_bytes())
+    assert warc.read_archives(spark, path).count() == 4
+    writer = warc.WarcWriter({"path": path})
+    writer.job = own[0][5:37]
+    writer.commit([warc.Written(n) for n in own] + [warc.Written(None), None])
+    assert [p.name[5:37] for p in tmp_path.glob(f"archive/*{'1' * 32}.warc.gz")] == ["0" * 32]
+    writer.abort([])
+    assert [p.name for p in tmp_path.glob("archive/*.warc.gz")] == [f"part-{'0' * 32}-{'1' * 32}.warc.gz"]
+
+
+def test_responses_that_a_full_bitmap_holds_are_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc.kernel, "LEAST_BITS", 3)
+    monkeypatch.setattr(warc.kernel, "MOST_BITS", 3)  # eight bits: nearly all is held by chance
+    r = random.Random(3)
+    rows = [(k, "u", f"{r.randrange(25)} " * r.choice([10, 500]), 0) for k in range(150)] + [(None, "u", "0 " * 500, 0), (149, "u", "other " * 500, 0)]
+    found = sorted(tuple(x) for x in warc.records_of(spark.createDataFrame(rows, "page_id long, url string, html string, payload int")).select("record_id", "record_type", "refers_to", F.octet_length("payload")).collect())
+    want = []
+    for i, _, html, _ in rows:
+        last = max(p for p, _, h, _ in rows if h == html and p is not None)
+        again = len(html) >= 1000 and i != last
+        want.append((f"<urn:page:{'null' if i is None else i}>", "revisit" if again else "response", f"<urn:page:{last}>" if again else None, None if again else len(html)))
+    assert found == sorted(want)
 
 
 def test_filters_are_pushed_down_and_parts_are_split(spark, tmp_path):
     path = f"file://{tmp_path}/archive"
     write(spark, ROWS, path)
-    df = warc.read_archives(spark, path, split_bytes=1).where("record_type = 'revisit' and record_id in ('<urn:page:1>', '<urn:page:12>', '<urn:page:9>')")
+    df = warc.read_archives(spark, path, split_bytes=100).where("record_type = 'revisit' and record_id in ('<urn:page:1>', '<urn:page:12>', '<urn:page:9>')")
     assert sorted(r["record_id"] for r in df.select("record_id").collect()) == ["<urn:page:12>", "<urn:page:1>"]
-    reader = warc.WarcReader({"path": path, "split_bytes": 1}, ["record_id"])
+    reader = warc.WarcReader({"path": path, "split_bytes": 100}, ["record_id"])
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     rest = list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("full_length",), 5)]))
     assert [type(f).__name__ for f in rest] == ["GreaterThan"]
     parts = reader.partitions()
-    assert len(parts) == len(ROWS)
+    assert len(parts) > len(ROWS)  # also parts in which no record starts
     assert sum(b.num_rows for p in parts for b in reader.read(p)) == 4
     assert warc.read_archives(spark, path).where("target_uri is null").count() == 1
 
