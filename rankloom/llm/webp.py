@@ -2,17 +2,20 @@
 
 decode() reads any lossless WebP image: prefix codes, prefix code groups, back-references, colour cache, and the
 predictor, cross-colour, subtract-green and palette transforms.  decode_many() decodes the literal runs of many images
-that have one prefix code in lockstep, a symbol of each at a step; whatever else is in an image goes through the same
-code as in decode().
-
-encode_samples() stores bytes as grey pixels, a byte each, in images of at most ROWS rows: subtract-green leaves one
-channel, whose symbols have a fixed complete prefix code for text, and a run of equal bytes at an image's end is a
-back-reference.
+in which one channel varies in lockstep, a symbol of each at a step, whatever their prefix codes; whatever else is in an
+image goes through the same code as in decode().
+
+encode_samples() stores bytes as grey pixels, a byte each, in images of at most ROWS rows.  An image of few different
+bytes has a palette with several pixels in a sample; in others subtract-green leaves one channel, which is predicted from
+the left or from above where that makes its symbols cheaper.  The prefix code is that of the image's own histogram, and a
+run of equal symbols at the end is a back-reference.  Cross-colour and a colour cache never pay where all channels are
+equal and a single one is coded, so only the decoder knows them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -77,7 +80,7 @@ class PrefixCode:
         if size.sum() != 1 << self.bits:
             raise ValueError("a prefix code that isn't complete")
         symbol, length = np.repeat(order, size), np.repeat(lengths[order].astype(np.int64), size)
-        flipped = _reversed(np.arange(1 << self.bits), self.bits)
+        flipped = _flipped(self.bits)
         self.symbol, self.length = symbol[flipped], length[flipped]
 
     def read(self, bits: BitReader) -> int:
@@ -98,6 +101,16 @@ def _reversed(x: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+_flips: dict[int, np.ndarray] = {}
+
+
+def _flipped(bits: int) -> np.ndarray:
+    """All numbers of `bits` bits, the bits in reverse order."""
+    if bits not in _flips:
+        _flips[bits] = _reversed(np.arange(1 << bits), bits)
+    return _flips[bits]
+
+
 def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
     lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
@@ -359,56 +372,41 @@ def decode(data: bytes) -> np.ndarray:
     return _finish(head, _pixels(BitReader(chunk, head.at), head.stream, []))
 
 
-_heads: dict[bytes, tuple[Head, int]] = {}
-_head_sizes: set[int] = set()
-
-
-def _known_head(chunk: bytes) -> Head:
-    """read_head(), remembered for heads that are equal bit by bit."""
-    for size in _head_sizes:
-        if (found := _heads.get(chunk[:size])) and chunk[size] & ((1 << (found[0].at & 7)) - 1) == found[1]:
-            return found[0]
-    head = read_head(chunk)
-    if len(_heads) < 256 and head.at >> 3 < len(chunk):
-        _head_sizes.add(head.at >> 3)
-        _heads[chunk[: head.at >> 3]] = (head, chunk[head.at >> 3] & ((1 << (head.at & 7)) - 1))
-    return head
+#: The longest prefix code whose table goes in lockstep with others.
+LOCKSTEP_BITS = 11
 
 
 def decode_many(images: list[bytes]) -> list[np.ndarray]:
-    """decode() of each image; those with literals of one varying channel and equal codes go in lockstep."""
+    """decode() of each image; those in which one channel varies, without colour cache and groups of codes, go in lockstep."""
     out: list[np.ndarray | None] = [None] * len(images)
-    alike: dict[int, list[int]] = {}
-    chunks, heads = [_chunk(x) for x in images], []
+    chunks, heads, together = [_chunk(x) for x in images], [], []
     for k, chunk in enumerate(chunks):
-        head = _known_head(chunk)
+        head = read_head(chunk)
         heads.append(head)
         codes = head.stream.codes
-        if len(codes) == 1 and not head.stream.cache_bits and codes[0][0].bits and all(c.only is not None for c in codes[0][1:4]) and {t[0] for t in head.transforms} <= {SUBTRACT_GREEN}:
-            alike.setdefault(id(codes), []).append(k)
+        if len(codes) == 1 and not head.stream.cache_bits and codes[0][0].bits <= LOCKSTEP_BITS and all(c.only is not None for c in codes[0][1:4]):
+            together.append(k)
         else:
             out[k] = _finish(head, _pixels(BitReader(chunk, head.at), head.stream, []))
-    same: dict[tuple, list[int]] = {}
-    for rows in alike.values():
-        code = heads[rows[0]].stream.codes[0]
-        same.setdefault((code[0].symbol.tobytes(), code[0].length.tobytes(), *(c.only for c in code[1:4])), []).extend(rows)
-    for rows in same.values():
-        _lockstep(rows, chunks, heads, out)
+    if together:
+        _lockstep(together, chunks, heads, out)
     return out
 
 
 def _lockstep(rows: list[int], chunks: list[bytes], heads: list[Head], out: list) -> None:
-    rows = sorted(rows, key=lambda k: -heads[k].width * heads[k].height)
-    totals = np.array([heads[k].width * heads[k].height for k in rows])
-    code = heads[rows[0]].stream.codes[0]
+    size = {k: heads[k].stream.width * heads[k].stream.height for k in rows}
+    rows = sorted(rows, key=lambda k: -size[k])
+    totals = np.array([size[k] for k in rows])
     begin = np.cumsum([0] + [len(chunks[k]) for k in rows])
     data = np.frombuffer(b"".join(chunks[k] for k in rows) + bytes(8 + 2 * int(totals[0])), np.uint8)
     word = data[:-3].astype(np.uint32)
     for k in (1, 2, 3):
         word |= data[k : len(word) + k].astype(np.uint32) << np.uint32(8 * k)
     at = begin[:-1] * 8 + np.array([heads[k].at for k in rows])
-    table = (code[0].symbol << 5 | code[0].length).astype(np.uint16 if code[0].symbol.max() < 2048 else np.uint32)
-    mask = np.uint32((1 << code[0].bits) - 1)
+    first = [heads[k].stream.codes[0][0] for k in rows]
+    table = np.concatenate([(c.symbol << 5 | c.length).astype(np.uint16) for c in first])
+    base = np.cumsum([0] + [1 << c.bits for c in first])[:-1]
+    mask = np.array([(1 << c.bits) - 1 for c in first], np.uint32)
     green = np.zeros((int(totals[0]), len(rows)), np.uint8)
     stopped = np.full(len(rows), -1)
     where = np.zeros(len(rows), np.int64)
@@ -417,7 +415,7 @@ def _lockstep(rows: list[int], chunks: list[bytes], heads: list[Head], out: list
     for step in range(int(totals[0])):
         n = active[step]
         here = at[:n]
-        entry = table[(word[here >> 3] >> (here & 7).astype(np.uint32)) & mask]
+        entry = table[base[:n] + ((word[here >> 3] >> (here & 7).astype(np.uint32)) & mask[:n])]
         symbol = entry >> 5
         if symbol.max() > 255:
             for k in np.flatnonzero(symbol > 255):
@@ -426,9 +424,9 @@ def _lockstep(rows: list[int], chunks: list[bytes], heads: list[Head], out: list
         green[step, :n] = symbol
         here += entry & 31
         np.minimum(here, most, out=here)
-    rest = sum(c.only << s for c, s in zip(code[1:4], (16, 0, 24)))
     for k, row in enumerate(rows):
         head = heads[row]
+        rest = sum(c.only << s for c, s in zip(head.stream.codes[0][1:4], (16, 0, 24)))
         argb = green[: totals[k], k].astype(np.uint32) << np.uint32(8) | np.uint32(rest)
         if stopped[k] >= 0:
             bits = BitReader(chunks[row], int(where[k] - begin[k] * 8))
@@ -436,71 +434,96 @@ def _lockstep(rows: list[int], chunks: list[bytes], heads: list[Head], out: list
         out[row] = _finish(head, argb)
 
 
-# The fixed code of encode_samples(): lengths by byte, then by length symbol.
-_FIVE, _SEVEN, _TEN = b" abcdefghijklmnopqrstuvwxyz", b".,\n\xc3", b"TSAED-1"
-_LENGTHS = np.full(280, 11, np.int64)
-for _bytes, _n in ((_FIVE, 5), (_SEVEN, 7), (_TEN, 10)):
-    _LENGTHS[list(_bytes)] = _n
+def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths, of at most `most`, of a prefix code for symbols that occur so often; a single symbol has length 1."""
+    lengths = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) == 1:
+        lengths[used] = 1
+        return lengths
+    weights, floor = counts[used].tolist(), 1
+    while True:
+        heap = sorted((max(w, floor), k) for k, w in enumerate(weights))
+        up = [0] * (2 * len(used) - 1)
+        for k in range(len(used), 2 * len(used) - 1):
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            up[x] = up[y] = k
+            heapq.heappush(heap, (a + b, k))
+        depth = [0] * len(up)
+        for k in range(len(up) - 2, -1, -1):
+            depth[k] = depth[up[k]] + 1
+        if max(depth[: len(used)]) <= most:
+            lengths[used] = depth[: len(used)]
+            return lengths
+        floor *= 2
 
 
 def _canonical(lengths: np.ndarray) -> np.ndarray:
     """The bits of each symbol's code, first bit lowest."""
     out, value, last = np.zeros(len(lengths), np.int64), 0, 0
-    for symbol in np.lexsort((np.arange(len(lengths)), lengths)).tolist():
+    used = np.flatnonzero(lengths)
+    for symbol in used[np.lexsort((used, lengths[used]))].tolist():
         n = int(lengths[symbol])
-        if n:
-            value <<= n - last
-            last = n
-            out[symbol] = int(_reversed(np.array([value]), n)[0])
-            value += 1
+        value <<= n - last
+        last = n
+        out[symbol] = _flipped(n)[value]
+        value += 1
     return out
 
 
-_CODES = _canonical(_LENGTHS)
-
-
-def _head_bits(width: int, height: int) -> tuple[int, int]:
-    """The head of an image by encode_samples(), as a number, and how many bits it has."""
-    value, at = 0, 0
+class BitWriter:
+    """Bits, least significant first."""
 
-    def put(x: int, n: int) -> None:
-        nonlocal value, at
-        value |= x << at
-        at += n
-
-    put(0x2F, 8)
-    put(width - 1, 14)
-    put(height - 1, 14)
-    put(0, 4)
-    put(1, 1)
-    put(SUBTRACT_GREEN, 2)
-    put(0, 3)  # no more transforms, no colour cache, one group of codes
-    put(0, 1)
-    used = {5: 2, 7: 2, 10: 2, 11: 2}  # four lengths occur, with codes of two bits each
-    order = [n for n in CODE_LENGTH_ORDER]
-    last = max(order.index(n) for n in used)
-    put(last + 1 - 4, 4)
-    for n in order[: last + 1]:
-        put(used.get(n, 0), 3)
-    put(0, 1)
-    own = _canonical(np.array([used.get(n, 0) for n in range(19)]))
-    for n in _LENGTHS.tolist():
-        put(int(own[n]), 2)
-    for symbol in (0, 0):  # red and blue
-        put(1 | symbol << 3, 4)
-    put(1 | 1 << 2 | 255 << 3, 11)
-    put(1 | 1 << 3, 4)  # every distance is one pixel to the left
-    return value, at
-
-
-_prefix: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+    def __init__(self):
+        self.value, self.at = 0, 0
 
+    def put(self, x: int, n: int) -> None:
+        self.value |= x << self.at
+        self.at += n
 
-def _head_of(height: int) -> tuple[np.ndarray, int]:
-    if (WIDTH, height) not in _prefix:
-        value, n = _head_bits(WIDTH, height)
-        _prefix[WIDTH, height] = (np.frombuffer(value.to_bytes(-(-n // 8), "little"), np.uint8), n)
-    return _prefix[WIDTH, height]
+    def only(self, symbol: int) -> None:
+        """A code of one symbol."""
+        self.put(1 | (symbol > 1) << 2 | symbol << 3, 4 if symbol < 2 else 11)
+
+    def code(self, counts: np.ndarray, most: int = LOCKSTEP_BITS) -> tuple[np.ndarray, np.ndarray]:
+        """The code of symbols that occur so often: their bits and their numbers of bits."""
+        used = np.flatnonzero(counts)
+        if len(used) == 1 and used[0] < 256:
+            self.only(int(used[0]))
+            return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+        lengths = code_lengths(counts, most)
+        runs = []  # (symbol, extra, its bits)
+        at, own = 0, lengths[: used[-1] + 1].tolist()
+        while at < len(own):
+            end = at + 1
+            while end < len(own) and own[end] == own[at]:
+                end += 1
+            n = end - at
+            if own[at]:
+                runs += [(own[at], 0, 0)] * n
+            else:
+                while n >= 3:
+                    k = min(n, 138)
+                    runs.append((18, k - 11, 7) if k > 10 else (17, k - 3, 3))
+                    n -= k
+                runs += [(0, 0, 0)] * n
+            at = end
+        first = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
+        bits = _canonical(first)
+        last = max(CODE_LENGTH_ORDER.index(k) for k in np.flatnonzero(first).tolist())
+        self.put(0, 1)
+        self.put(max(0, last - 3), 4)
+        for k in CODE_LENGTH_ORDER[: max(4, last + 1)]:
+            self.put(int(first[k]), 3)
+        n = len(runs) - 2
+        wide = max(1, -(-max(1, n.bit_length()) // 2))
+        self.put(1 | (wide - 1) << 1 | n << 4, 4 + 2 * wide)
+        single = np.count_nonzero(first) == 1
+        for symbol, extra, more in runs:
+            if not single:
+                self.put(int(bits[symbol]), int(first[symbol]))
+            self.put(extra, more)
+        return _canonical(lengths), lengths if np.count_nonzero(lengths) > 1 else np.zeros(len(lengths), np.int64)
 
 
 def _length_symbol(length: int) -> tuple[int, int, int]:
@@ -513,35 +536,100 @@ def _length_symbol(length: int) -> tuple[int, int, int]:
     return 2 * high + second, x & ((1 << (high - 1)) - 1), high - 1
 
 
+#: Most different bytes of an image with a palette, and its pixels in a sample, as powers of 2.
+PALETTES = ((2, 3), (4, 2), (16, 1))
+#: Bytes by which predicted symbols must be cheaper.
+LEAST_GAIN = 16
+
+
+def _cost(counts: np.ndarray) -> float:
+    """Bytes that symbols of these counts take, about."""
+    counts = counts[counts > 0]
+    return float((counts * (np.log2(counts.sum()) - np.log2(counts))).sum() / 8)
+
+
+def _predicted(part: np.ndarray) -> tuple[int, np.ndarray]:
+    """The predictor's mode, 0 for none, and the symbols that are left: 1 from the left, 2 from above."""
+    from_left = np.diff(part, prepend=np.uint8(0))
+    choices = {0: part}
+    if len(part) > WIDTH:
+        grid = part.reshape(-1, WIDTH)
+        left = from_left.reshape(-1, WIDTH).copy()
+        left[1:, 0] = grid[1:, 0] - grid[:-1, 0]  # a row's first pixel is predicted from above, the first row from the left
+        above = left.copy()
+        above[1:] = grid[1:] - grid[:-1]
+        choices |= {1: left.ravel(), 2: above.ravel()}
+    else:
+        choices[1] = from_left
+    costs = {mode: _cost(np.bincount(x, minlength=256)) + LEAST_GAIN * (mode > 0) for mode, x in choices.items()}
+    mode = min(costs, key=lambda k: (costs[k], k))
+    return mode, choices[mode]
+
+
+def _encode(part: np.ndarray) -> bytes:
+    """A lossless WebP image of grey samples, in rows of WIDTH."""
+    bits = BitWriter()
+    for x, n in ((0x2F, 8), (WIDTH - 1, 14), (len(part) // WIDTH - 1, 14), (0, 4)):
+        bits.put(x, n)
+    seen = np.flatnonzero(np.bincount(part, minlength=256))
+    packed = next((k for most, k in PALETTES if len(seen) <= most), 0)
+    if packed:
+        bits.put(1 | PALETTE << 1 | len(seen) - 1 << 3, 11)
+        deltas = np.diff(seen, prepend=0)
+        bits.put(0, 1)
+        codes = [bits.code(np.bincount(deltas, minlength=280)), *(bits.code(np.bincount(deltas, minlength=256)) for _ in range(2)), bits.code(np.bincount([255] + [0] * (len(seen) - 1), minlength=256))]
+        bits.only(0)
+        for k, d in enumerate(deltas.tolist()):
+            for (code, length), x in zip(codes, (d, d, d, 0 if k else 255)):
+                bits.put(int(code[x]), int(length[x]))
+        depth, each = 8 >> packed, 1 << packed
+        index = np.searchsorted(seen, part).reshape(-1, each)
+        symbol, alpha = (index << depth * np.arange(each)).sum(1), 255
+    else:
+        mode, symbol = _predicted(part)
+        alpha = 0 if mode else 255
+        if mode:
+            bits.put(1 | PREDICTOR << 1 | 7 << 3, 6)  # tiles of 512 pixels
+            bits.put(0, 1)
+            for x in (mode, 0, 0, 0, 0):
+                bits.only(x)
+        bits.put(1 | SUBTRACT_GREEN << 1, 3)
+    bits.put(0, 3)  # no more transforms, no colour cache, one group of codes
+    other = np.flatnonzero(symbol != symbol[-1])
+    run = min(len(symbol) - (int(other[-1]) + 1 if len(other) else 0), 4097)
+    literal, counts = symbol.astype(np.int64), None
+    if run >= 8:
+        literal = literal[: len(literal) - run + 1]
+        prefix, extra, more = _length_symbol(run - 1)
+    counts = np.bincount(literal, minlength=280)
+    if run >= 8:
+        counts[256 + prefix] += 1
+    code, length = bits.code(counts)
+    for x in (0, 0, alpha, 1):  # red, blue, alpha, and every distance is one pixel to the left
+        bits.only(x)
+    codes, lengths = code[literal], length[literal]
+    if run >= 8:
+        codes, lengths = np.append(codes, [code[256 + prefix], extra]), np.append(lengths, [length[256 + prefix], more])
+    ends = np.cumsum(lengths) + bits.at
+    at = ends - lengths
+    size = -(-int(ends[-1]) // 8)
+    data = np.zeros(size + 3, np.uint8)
+    shifted = codes << (at & 7)
+    for k in range(3):
+        data += np.bincount((at >> 3) + k, (shifted >> (8 * k)) & 255, len(data) + 3).astype(np.uint8)[: len(data)]
+    head = np.frombuffer(bits.value.to_bytes(-(-bits.at // 8), "little"), np.uint8)
+    data[: len(head)] += head
+    chunk = data[:size].tobytes()
+    body = b"WEBPVP8L" + struct.pack("<I", len(chunk)) + chunk + b"\0" * (len(chunk) & 1)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
 def encode_samples(payload: bytes) -> list[bytes]:
     """Lossless WebP images whose grey samples are the payload, a positive multiple of WIDTH bytes."""
     x = np.frombuffer(payload, np.uint8)
     if not len(x) or len(x) % WIDTH:
         raise ValueError(f"a payload is a positive multiple of {WIDTH} bytes")
-    out = []
-    for a in range(0, len(x), WIDTH * ROWS):
-        part = x[a : a + WIDTH * ROWS]
-        other = np.flatnonzero(part != part[-1])
-        run = min(len(part) - (int(other[-1]) + 1 if len(other) else 0), 4097)
-        literal = part[: len(part) - run + 1] if run >= 8 else part
-        symbol = literal.astype(np.int64)
-        codes, lengths = _CODES[symbol], _LENGTHS[symbol]
-        if run >= 8:
-            prefix, extra, n = _length_symbol(run - 1)
-            codes = np.append(codes, [_CODES[256 + prefix], extra])
-            lengths = np.append(lengths, [_LENGTHS[256 + prefix], n])
-        head, bits = _head_of(len(part) // WIDTH)
-        ends = np.cumsum(lengths) + bits
-        at = ends - lengths
-        data = np.zeros(-(-int(ends[-1]) // 8) + 3, np.uint8)
-        shifted = codes << (at & 7)
-        for k in range(3):
-            data[: len(data)] += np.bincount((at >> 3) + k, (shifted >> (8 * k)) & 255, len(data)).astype(np.uint8)[: len(data)]
-        data[: len(head)] += head
-        chunk = data[: -(-int(ends[-1]) // 8)].tobytes()
-        body = b"WEBPVP8L" + struct.pack("<I", len(chunk)) + chunk + b"\0" * (len(chunk) & 1)
-        out.append(b"RIFF" + struct.pack("<I", len(body)) + body)
-    return out
+    return [_encode(x[a : a + WIDTH * ROWS]) for a in range(0, len(x), WIDTH * ROWS)]
 
 
 def split_images(media: bytes) -> list[bytes]:
@@ -566,7 +654,11 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each whole text (null: empty), as UTF-8 and filled with bytes 255 to a positive multiple of WIDTH, as lossless WebP."""
+    """doc_id, n_bytes and media: each whole text (null: empty), as UTF-8 and filled with bytes 255 to a positive multiple of WIDTH, as lossless WebP.
+
+    A row a row: repeated rows and null ids are rows of their own, equal texts have equal media, a text of any length is
+    as many images as it takes, an empty table gives no rows, and other columns are ignored.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
@@ -606,7 +698,10 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def examine_media(stored: DataFrame) -> DataFrame:
-    """What the stored bytes hold, read back: sizes, digests and features of each row of doc_id, n_bytes, media."""
+    """What the stored bytes hold, read back: sizes, digests and features of each row of doc_id, n_bytes, media.
+
+    A row a row, as in store_texts(); damaged media fail, as they are this module's own.
+    """
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(_examine, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 

@@ -88,6 +88,43 @@ def test_samples_round_trip():
             webp.encode_samples(bad)
 
 
+def test_the_encoder_takes_what_pays():
+    grid = np.tile(R.integers(0, 256, 576, dtype=np.uint8), (16, 1)) + np.arange(16, dtype=np.uint8)[:, None]
+    slope = np.cumsum(R.integers(0, 3, 576 * 4, dtype=np.uint8), dtype=np.uint8)
+    cases = {
+        "palette of 16": (R.integers(0, 16, 576 * 5, dtype=np.uint8) * 9, [webp.PALETTE], 0.55),
+        "palette of 3": (R.integers(97, 100, 576 * 5, dtype=np.uint8), [webp.PALETTE], 0.3),
+        "palette of 2": (R.integers(0, 2, 576 * 5, dtype=np.uint8), [webp.PALETTE], 0.16),
+        "one byte": (np.full(576 * 5, 7, np.uint8), [webp.PALETTE], 0.03),
+        "rows": (grid.ravel(), [webp.PREDICTOR, webp.SUBTRACT_GREEN], 0.2),
+        "slope": (slope, [webp.PREDICTOR, webp.SUBTRACT_GREEN], 0.35),
+        "noise": (R.integers(0, 256, 576 * 5, dtype=np.uint8), [webp.SUBTRACT_GREEN], 1.12),
+    }
+    texts = {"Japanese": "これは日本語の文章です。短い文を何度か繰り返しません。漢字とかなが交じる普通の文です。", "Russian": "Это обычный русский текст, в котором нет ничего особенного, кроме букв и запятых.", "base64": "VGhpcyBpcyBub3QgYSBzZWNyZXQsIGJ1dCBpdCBsb29rcyBsaWtlIG9uZSBmb3IgYWxsIHdlIGtub3c="}
+    for name, text in texts.items():
+        raw = np.frombuffer((text * 60).encode(), np.uint8)[: 576 * 4]
+        cases[name] = (raw, [webp.SUBTRACT_GREEN], 0.95)
+    for name, (samples, kinds, most) in cases.items():
+        (image,) = webp.encode_samples(samples.tobytes())
+        head = webp.read_head(webp._chunk(image))
+        assert [t[0] for t in head.transforms] == kinds, name
+        assert len(image) < most * len(samples), (name, len(image) / len(samples))
+        for x in (webp.decode(image), *webp.decode_many([image, image])):
+            assert np.array_equal(x[..., 1].ravel(), samples) and (x[..., 3] == 255).all() and (x[..., 0] == x[..., 2]).all(), name
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_any_samples_round_trip(seed):
+    r = np.random.default_rng(seed)
+    n, most = 576 * int(r.integers(1, 34)), int(r.choice([1, 2, 3, 5, 16, 17, 100, 256]))
+    p = r.dirichlet(np.full(most, 0.05 if seed % 2 else 5.0))
+    x = r.choice(r.permutation(256)[:most].astype(np.uint8), n, p=p)
+    x[n - int(r.integers(0, 500)) :] = 255
+    images = webp.encode_samples(x.tobytes())
+    assert b"".join(d[..., 1].tobytes() for d in webp.decode_many(images)) == x.tobytes()
+    assert b"".join(webp.decode(d)[..., 1].tobytes() for d in images) == x.tobytes()
+
+
 def test_texts_to_media_and_back(spark):
     texts = [(1, "plain text. " * 80), (2, None), (3, ""), (4, "é" * 288), (5, "x" * 576), (6, "y" * 577), (None, "z"), (7, "long " * 30_000), (1, "plain text. " * 80), (8, "\x00𝄞")]
     df = spark.createDataFrame([(i, t, "m") for i, t in texts], "doc_id long, text string, media string")
