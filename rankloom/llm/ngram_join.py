@@ -3,21 +3,25 @@
 Tokens (here word shingles) are hashed into groups; a document is the point of its group counts.  Two sets overlap by
 at most the sum of the smaller coordinates, so a pair can be dropped without its sets where that sum is too small.
 
-The tree is laid out over a cluster in levels:
-
-1. Size bands.  A band of set sizes has its own number of blocks of groups, one more than the largest number of tokens
-   in which two linked sets can differ, so at least one block of a linked pair has equal coordinates throughout.  A node
-   of the tree is one such block with one value.  Spare blocks let a set leave out those without a rare token, where
-   texts meet that have no more in common than a passage that many share; a set with more such blocks leaves out none.
-   Which tokens are common is a fixed bitmap; it decides how fast the join is, never what it finds.
-2. Leaders.  Within a node the smallest id leads; (leader, member) pairs replace the pairs of a node.
-3. Points.  Under a leader, the points of its members lie in packed leaves of LEAF with their largest coordinates: sum of
-   minima against a leaf, then against its points.  What passes keeps a forest of edges, whose components are groups.
+No single tree can lie in one place, so a partitioning brings the points together that may be near, and each part has an
+R-tree of its own:
+
+1. Size bands.  A band of set sizes has its own number of blocks of tokens (by their hash), one more than the largest
+   number of tokens in which two linked sets can differ, so at least one block of a linked pair is equal throughout.  This
+   is a pigeonhole argument and no R-tree; it takes the place of the tree's top levels.  Spare blocks let a set leave out
+   those without a rare token, where texts meet that have no more in common than a passage that many share; a set with
+   more such blocks leaves out none.  Which tokens are common is a fixed bitmap; it decides how fast the join is, never
+   what it finds.
+2. Leaders.  Of the sets with an equal block the smallest id leads; (leader, member) pairs replace the pairs.
+3. Points.  Under a leader, the points of its members lie in an R-tree: packed leaves of LEAF points, boxes of LEAF leaves
+   or boxes, each with its largest coordinates.  A search descends where the sum of minima against a box can reach the
+   overlap that is needed.  What passes keeps a forest of edges, whose components are groups.
 4. Sets.  Within a group the sets themselves decide, first against one of the group, then, for those apart from it,
-   through the leaves again.  Pairs already joined through others are not verified.
+   through the tree again.  Pairs already joined through others are not verified.
 
-Every linked pair meets in some node and passes every bound, so no link between different texts is lost.  Equal sets are
-joined by value.  Groups of any size are divided into blocks that meet two at a time.
+Every linked pair meets in some block and passes every bound, so no link between different texts is lost.  Equal sets are
+joined by value.  Groups of any size are divided into blocks that meet two at a time, and keys with a large share of the
+rows are joined by a broadcast of them.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import kernel
-from rankloom.llm.graph import components
+from rankloom.llm.graph import components, join_hot
 from rankloom.session import saved, shared_dir
 
 LEAF = 32
@@ -48,6 +52,8 @@ COMMON, COMMON_IN_BATCH, COMMON_TOKENS, COMMON_BITS = 6, 3, 1 << 20, 1 << 24
 BLOCK_POINTS = 8192
 #: Distinct shingles under a leader that one task takes at once.
 BLOCK_SHINGLES = 2_000_000
+#: Bytes of text to each cell of nodes: what one task holds at a time.
+CELL_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -120,7 +126,7 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
-_PACKED = "part int, band int, keys binary, at binary, ids binary, digests binary"
+_PACKED = "part int, cell int, band int, keys binary, at binary, ids binary, digests binary"
 
 
 def _repeated(k: int):
@@ -166,8 +172,8 @@ def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
     return bitmap
 
 
-def _pack(k: int, bands: Bands, parts: int, common):
-    """The nodes of every set, by the partition that a key's hash names; 32 bits of a key are kept, so that a few nodes merge.
+def _pack(k: int, bands: Bands, cells: int, parts: int, common):
+    """The nodes of every set, by the cell that a key's hash names; 32 bits of a key are kept, so that a few nodes merge.
 
     Of equal sets of a batch one is enough, as equal sets are joined by value: a text with any number of copies sends as
     many rows as there are batches with it.
@@ -188,16 +194,15 @@ def _pack(k: int, bands: Bands, parts: int, common):
             rows = []
             for band, pairs in found.items():
                 keys, at = map(np.concatenate, zip(*pairs))
-                part = (keys % _U(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in range(parts):
-                    chosen = order[ends[p] : ends[p + 1]]
-                    if len(chosen):
-                        rows_of, own = np.unique(at[chosen], return_inverse=True)
-                        rows.append((p, band, (keys[chosen] >> _U(32)).astype(np.uint32).tobytes(), own.astype(_width(len(rows_of))).tobytes(), ids[rows_of].tobytes(), digests[rows_of].tobytes()))
+                cell = (keys % _U(cells)).astype(np.int64)
+                order = np.argsort(cell, kind="stable")
+                cut = np.flatnonzero(np.diff(cell[order])) + 1
+                for chosen in np.split(order, cut):
+                    rows_of, own = np.unique(at[chosen], return_inverse=True)
+                    c = int(cell[chosen[0]])
+                    rows.append((c % parts, c, band, (keys[chosen] >> _U(32)).astype(np.uint32).tobytes(), own.astype(_width(len(rows_of))).tobytes(), ids[rows_of].tobytes(), digests[rows_of].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], ["part", "band", "keys", "at", "ids", "digests"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int32()] * 3, *[pa.binary()] * 4))], ["part", "cell", "band", "keys", "at", "ids", "digests"])
         kernel.release()
 
     return run
@@ -230,17 +235,27 @@ def _led(keys: np.ndarray, ids: np.ndarray, digests: np.ndarray) -> tuple[np.nda
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[int, list] = {}
+    """Partitions sorted by cell and band to (leader, band, member); one cell and band is held at a time."""
+    key, held = None, []
+
+    def closed():
+        lead, ids = _led(*map(np.concatenate, zip(*held)))
+        held.clear()
+        for a in range(0, len(ids), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(lead[part]), pa.array(np.full(len(lead[part]), key[1], np.int32)), pa.array(ids[part])], ["leader", "band", "member"])
+
     for batch in batches:
-        for _, band, key, at, own, digest in zip(*(c.to_pylist() for c in batch.columns)):
+        for _, cell, band, keys, at, own, digest in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != (cell, band):
+                if held:
+                    yield from closed()
+                key = (cell, band)
             own = np.frombuffer(own, np.int64)
             at = np.frombuffer(at, _width(len(own)))
-            found.setdefault(band, []).append((np.frombuffer(key, np.uint32), own[at], np.frombuffer(digest, np.int64)[at]))
-    for band in sorted(found):
-        lead, ids = _led(*map(np.concatenate, zip(*found.pop(band))))
-        for a in range(0, len(ids), 1 << 16):
-            part = slice(a, a + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(lead[part]), pa.array(np.full(len(lead[part]), band, np.int32)), pa.array(ids[part])], ["leader", "band", "member"])
+            held.append((np.frombuffer(keys, np.uint32), own[at], np.frombuffer(digest, np.int64)[at]))
+    if held:
+        yield from closed()
     kernel.release()
 
 
@@ -257,25 +272,33 @@ class Joined:
         return x
 
 
-class Leaves:
-    """Points in packed leaves, by size and their first coordinates."""
+class Tree:
+    """An R-tree of points: packed leaves of LEAF points, by size and their first coordinates, under boxes of LEAF nodes each."""
 
     def __init__(self, size: np.ndarray, point: np.ndarray, bands: Bands):
         self.size, self.point, self.bands = size, point, bands
         self.order = np.lexsort((*(point[:, g] for g in range(3)), size))
-        self.begin = np.arange(0, len(size), LEAF)
-        self.top = np.maximum.reduceat(point[self.order], self.begin)
-        self.smallest, self.largest = np.minimum.reduceat(size[self.order], self.begin), np.maximum.reduceat(size[self.order], self.begin)
-
-    def near(self, x: int) -> Iterator[int]:
+        self.levels = []  # largest coordinates, smallest and largest size of each node, leaves first
+        top, smallest, largest = point[self.order], size[self.order], size[self.order]
+        while not self.levels or len(top) > LEAF:
+            begin = np.arange(0, len(top), LEAF)
+            top, smallest, largest = np.maximum.reduceat(top, begin), np.minimum.reduceat(smallest, begin), np.maximum.reduceat(largest, begin)
+            self.levels.append((top, smallest, largest))
+
+    def near(self, x: int) -> np.ndarray:
         """The rows whose sets may link with that of x, x included."""
         b, size, own = self.bands, self.size[x], self.point[x]
-        least = b.needed(size, np.maximum(self.smallest, -(-size * b.num // b.den)))
-        good = (self.largest * b.den >= size * b.num) & (self.smallest * b.num <= size * b.den)
-        good[good] = np.minimum(own, self.top[good]).sum(1) >= least[good]
-        for leaf in np.flatnonzero(good):
-            rows = self.order[self.begin[leaf] : self.begin[leaf] + LEAF]
-            yield from rows[np.minimum(own, self.point[rows]).sum(1) >= b.needed(size, self.size[rows])].tolist()
+        nodes = np.arange(len(self.levels[-1][0]))
+        for level in range(len(self.levels) - 1, -1, -1):
+            top, smallest, largest = (part[nodes] for part in self.levels[level])
+            good = (largest * b.den >= size * b.num) & (smallest * b.num <= size * b.den)
+            nodes, least = nodes[good], b.needed(size, np.maximum(smallest[good], -(-size * b.num // b.den)))
+            nodes = nodes[np.minimum(own, top[good]).sum(1) >= least]
+            below = len(self.levels[level - 1][0]) if level else len(self.order)
+            nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
+            nodes = nodes[nodes < below]
+        rows = self.order[nodes]
+        return rows[np.minimum(own, self.point[rows]).sum(1) >= b.needed(size, self.size[rows])]
 
 
 def bound_forest(size: np.ndarray, point: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
@@ -291,9 +314,9 @@ def bound_forest(size: np.ndarray, point: np.ndarray, bands: Bands) -> list[tupl
     for x in np.flatnonzero(passes)[1:].tolist():
         joined.up[x] = 0
         edges.append((0, x))
-    leaves = Leaves(size, point, bands) if len(apart) else None
+    tree = Tree(size, point, bands) if len(apart) else None
     for x in apart.tolist():
-        for y in leaves.near(x):
+        for y in tree.near(x).tolist():
             if joined.top(x) != joined.top(y):
                 joined.up[joined.top(x)] = joined.top(y)
                 edges.append((x, y))
@@ -304,7 +327,7 @@ def tree_join(sets: list[np.ndarray], bands: Bands, hub: int, asking: list[int]
     """Links that span the components among `sets`, and the rows not linked with the row `hub`.
 
     First every row is compared with the hub, then the rows in `asking` (default: those not linked with it) with all
-    others, through the leaves.
+    others, through the tree.
     """
     n, joined, links, apart = len(sets), Joined(len(sets)), [], []
     for x in range(n):
@@ -319,9 +342,9 @@ def tree_join(sets: list[np.ndarray], bands: Bands, hub: int, asking: list[int]
         return links, apart
     size = np.array([len(s) for s in sets])
     groups = group_count(int(size.min()))
-    leaves = Leaves(size, np.stack([np.bincount((s & _U(groups - 1)).astype(np.int64), minlength=groups) for s in sets]), bands)
+    tree = Tree(size, np.stack([np.bincount((s & _U(groups - 1)).astype(np.int64), minlength=groups) for s in sets]), bands)
     for x in asking:
-        for y in leaves.near(x):
+        for y in tree.near(x).tolist():
             if joined.top(x) != joined.top(y) and bands.linked(sets[x], sets[y]):
                 joined.up[joined.top(x)] = joined.top(y)
                 links.append((x, y))
@@ -417,11 +440,13 @@ def candidate_groups(docs: DataFrame, own: DataFrame, k: int, bands: Bands, bloc
     """(leader, member, n): groups such that different sets that link are in one group; `own` is what _sets() gives for `docs`."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, k))
-    packed = docs.mapInArrow(_pack(k, bands, parts, common), _PACKED)
-    led = packed.repartitionById(parts, F.col("part")).mapInArrow(_leaders, "leader long, band int, member long").distinct().checkpoint()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = parts * max(1, -(-size // (parts * CELL_BYTES)))
+    packed = docs.mapInArrow(_pack(k, bands, cells, parts, common), _PACKED)
+    led = packed.repartitionById(parts, F.col("part")).sortWithinPartitions("cell", "band").mapInArrow(_leaders, "leader long, band int, member long").distinct().checkpoint()
     blocks = led.groupBy("leader", "band").agg(F.ceil(F.count("*") / block_points).cast("int").alias("blocks"))
     points = own.where("doc_id is not null").select(F.col("doc_id").alias("member"), F.col("n_shingles").alias("n"), F.inline("points"))
-    rows = led.join(blocks, ["leader", "band"]).join(points, ["member", "band"]).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = join_hot(led, blocks, ["leader", "band"], led.count()).join(points, ["member", "band"]).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ("leader", "band", "low", "high")
     rows = rows.select("leader", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "member", "n", "point")
     edges = rows.repartition(parts, *key).sortWithinPartitions(*key, "member").mapInArrow(_bounded(bands), "a long, b long")
@@ -438,7 +463,7 @@ def jaccard_links(docs: DataFrame, led: DataFrame, k: int, bands: Bands, block_s
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = kernel.rows_with_id(docs, spark.sparkContext.broadcast(kernel.id_bitmap(led.select("member").distinct())))  # other texts stay where they are
     weight = led.groupBy("leader").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    member = led.join(weight, "leader").withColumn(
+    member = join_hot(led, weight, ["leader"], led.count()).withColumn(
         "block", F.when(F.col("leader") == F.col("member"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")))
     )  # the leader goes to every block
     rows = member.select("leader", F.explode("block").alias("block"), F.lit(0).alias("second"), F.col("member").alias("doc_id"), F.lit(0).alias("role"))
@@ -470,9 +495,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     bands = Bands(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = docs.mapInArrow(_sets(k, bands), _OWN).checkpoint()
-    linking = own.where("n_shingles > 0 and doc_id is not null")
-    same = linking.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"))
-    equal = linking.select("doc_id", "h1", "h2", "n_shingles").join(same, ["h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")).where("a != b")
+    linking = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "h1", "h2", "n_shingles")
+    same = linking.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    equal = join_hot(linking, same, ["h1", "h2", "n_shingles"], linking.count()).select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")).where("a != b")
     named = docs.where("doc_id is not null")
     groups = candidate_groups(named, own, k, bands, block_points)
     label = components(jaccard_links(named, groups, k, bands, block_shingles).unionAll(equal))

@@ -6,7 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rankloom.llm import kernel
+from rankloom.llm import graph, kernel, ngram_join
 from rankloom.llm.graph import components
 from rankloom.llm.ngram_join import COMMON_BITS, Bands, ngram_jaccard_join, tree_join
 
@@ -72,7 +72,10 @@ def test_join_matches_all_pairs(spark):
     assert run(spark, rows, k=5, num=80, den=100) == brute(rows, 5, 80, 100)
 
 
-def test_divided_groups_lose_nothing(spark):
+def test_divided_groups_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST_HOT", 3)
+    monkeypatch.setattr(graph, "SHARES", 40)
+    monkeypatch.setattr(ngram_join, "CELL_BYTES", 1000)
     rows = made_rows(2)
     assert run(spark, rows, k=4, num=85, den=100, block_shingles=300, block_points=3) == brute(rows, 4, 85, 100)
 
@@ -97,6 +100,19 @@ def test_linked_sets_share_a_node(n, seed, threshold):
             assert np.minimum(bands.point(a, k), bands.point(b, k)).sum() >= bands.needed(len(a), len(b))
 
 
+def test_the_tree_has_levels_and_loses_no_near_point():
+    r = np.random.default_rng(9)
+    bands = Bands(85, 100)
+    bases = r.integers(0, 4, (20, 64))
+    point = (bases[r.integers(0, 20, 3000)] + (r.random((3000, 64)) < 0.02)).astype(np.int16)
+    size = point.sum(1)
+    tree = ngram_join.Tree(size, point, bands)
+    assert len(tree.levels) == 2 and [len(t) for t, _, _ in tree.levels] == [94, 3]
+    for x in range(0, 3000, 97):
+        near = (np.minimum(point, point[x]).sum(1) >= bands.needed(size, size[x])) & (np.minimum(size, size[x]) * 100 >= np.maximum(size, size[x]) * 85)
+        assert set(np.flatnonzero(near)) <= set(tree.near(x).tolist()) and x in tree.near(x)
+
+
 def test_tree_finds_every_component():
     r = np.random.default_rng(3)
     sets = []
