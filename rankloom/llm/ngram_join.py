@@ -53,7 +53,7 @@ BLOCK_POINTS = 8192
 #: Distinct shingles under a leader that one task takes at once.
 BLOCK_SHINGLES = 2_000_000
 #: Bytes of text to each cell of nodes: what one task holds at a time.
-CELL_BYTES = 4 << 20
+CELL_BYTES = 16 << 20
 _U = np.uint64
 
 
