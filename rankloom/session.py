@@ -28,14 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch, where the session sets no bound: rows alone are none, as a text can have any length.
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset (tests), a local one is set."""
+    """The folder all executors share: spark.checkpoint.dir; on a local master that sets none (tests), a local one.
+
+    Fails on a cluster that sets none, where a local folder would lose data.  Batches that go to Python workers get a bound
+    in bytes, unless the session has one.
+    """
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file:///tmp/rankloom-{os.getuid()}-{os.getpid()}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(where)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return where
 
 
