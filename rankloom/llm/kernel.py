@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -202,6 +202,18 @@ def rows_with_id(docs, bitmap, inside: bool = True, column: str = "doc_id"):
     return docs.mapInArrow(run, docs.schema)
 
 
+def _steady() -> None:
+    """Large arrays go back to the system as soon as they are freed, in this and in Arrow's memory."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 8 << 20)  # the size from which memory is mapped by itself, which else grows
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_steady()
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the system."""
     pa.default_memory_pool().release_unused()
