@@ -45,7 +45,7 @@ GROUPS = 64
 TOKENS_PER_GROUP = 6
 #: Spare blocks of a band, as a share of the differences.
 SPARE = Fraction(1, 5)
-#: A token is common from so many different sets on, counting batches in which it has COMMON_IN_BATCH; at most
+#: A token is common from so many different sets on, counting windows in which it has COMMON_IN_BATCH; at most
 #: COMMON_TOKENS, the most common, are marked among COMMON_BITS bits.
 COMMON, COMMON_IN_BATCH, COMMON_TOKENS, COMMON_BITS = 6, 3, 1 << 20, 1 << 24
 #: Points under a leader that one task takes at once.
@@ -54,6 +54,8 @@ BLOCK_POINTS = 8192
 BLOCK_SHINGLES = 2_000_000
 #: Bytes of text to each cell of nodes: what one task holds at a time.
 CELL_BYTES = 16 << 20
+#: Bytes of text in which common tokens are told by their repetition.
+WINDOW_BYTES = 24 << 20
 _U = np.uint64
 
 
@@ -130,16 +132,33 @@ _PACKED = "part int, cell int, band int, keys binary, at binary, ids binary, dig
 
 
 def _repeated(k: int):
-    """Tokens of at least COMMON_IN_BATCH different sets of a batch, and how many have them."""
+    """Tokens of at least COMMON_IN_BATCH different sets of about WINDOW_BYTES of text, and how many have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seen, size = [], set(), 0
+
+        def closed():
+            tokens, at = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in found]), len(tokens)).astype(np.int64)
+            found.clear()
+            kept = n >= COMMON_IN_BATCH
+            return pa.RecordBatch.from_arrays([pa.array(tokens[kept].view(np.int64)), pa.array(n[kept])], ["token", "n"])
+
         for batch in batches:
-            different = {_digest(s): s for s in kernel.distinct_shingles(batch.column(0), k)}
+            different = []
+            for tokens in kernel.distinct_shingles(batch.column(0), k):
+                digest = _digest(tokens)
+                if digest not in seen:
+                    seen.add(digest)
+                    different.append(tokens)
             if different:
-                tokens, n = np.unique(np.concatenate(list(different.values())), return_counts=True)
-                kept = n >= COMMON_IN_BATCH
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[kept].view(np.int64)), pa.array(n[kept].astype(np.int64))], ["token", "n"])
-                del different, tokens, n
+                found.append(np.unique(np.concatenate(different), return_counts=True))
+            size += batch.nbytes
+            if size >= WINDOW_BYTES and found:
+                yield closed()
+                seen, size = set(), 0
+        if found:
+            yield closed()
         kernel.release()
 
     return run
