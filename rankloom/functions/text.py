@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File suffixes that are no text, suffixes of source code, and directories that hold no product code.
-BINARY_SUFFIXES = ("png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "tar", "jar", "class", "so", "dll", "exe", "woff", "woff2", "ttf", "mp3", "mp4", "bin", "lock")
-CODE_SUFFIXES = ("c", "cc", "cpp", "cs", "go", "h", "hpp", "java", "js", "jsx", "kt", "php", "py", "rb", "rs", "scala", "swift", "ts", "tsx")
-NOISE_DIRECTORIES = ("test", "tests", "docs", "examples", "vendor", "third_party", "node_modules", "dist", "build", "fixtures")
+# Suffixes of files that are no text, suffixes of source code, parts of paths that hold no product code,
+# the first words of subjects of little value, and the names of trailer lines.
+BINARY_SUFFIXES = (
+    "png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "tar", "whl", "jar", "class", "so", "dylib", "dll", "exe", "bin", "woff", "woff2", "ttf", "eot", "mp3", "mp4", "webm", "ogg", "pyc", "wasm", "onnx", "pt", "pack",
+    "idx", "parquet", "npy", "npz", "h5", "proto3", "lock",
+)
+CODE_SUFFIXES = ("c", "cc", "cpp", "cs", "go", "h", "hpp", "java", "js", "jsx", "kt", "kts", "php", "py", "pyi", "rb", "rs", "scala", "sh", "swift", "ts", "tsx")
+NOISE_PARTS = (".github", "benchmark", "benchmarks", "dist", "docs", "examples", "fixtures", "generated", "node_modules", "snapshot", "snapshots", "vendor")
+LOW_VALUE = r"(?i)^(build|bump|chore|ci|docs?|format|lint|release|style|tests?)(\([^)]*\))?[!: ]"
+TRAILER = r"(?i)^(change-id|co-authored-by|reviewed-by|signed-off-by):"
 
 
 def tokens(text: Column) -> Column:
@@ -66,9 +72,9 @@ def is_text_candidate(path: Column) -> Column:
 
 
 def is_source_path(path: Column) -> Column:
-    """Whether a path has a suffix of source code and no noise directory above it."""
-    parts = F.split(F.lower(path), "/")
-    return suffix(path).isin(*CODE_SUFFIXES) & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, NOISE_DIRECTORIES)))
+    """Whether a path has a suffix of source code and no part that holds no product code."""
+    normal = F.translate(strip(path), "\\", "/")
+    return suffix(normal).isin(*CODE_SUFFIXES) & ~F.arrays_overlap(F.split(F.lower(normal), "/"), F.array(*map(F.lit, NOISE_PARTS)))
 
 
 def base_name(path: Column) -> Column:
@@ -87,12 +93,12 @@ def parent_directory(path: Column) -> Column:
 
 def clean_message(message: Column, most: int = 4000) -> Column:
     """A commit message without trailer lines, stripped and cut."""
-    lines = F.filter(F.split(message, "\n"), lambda x: ~x.rlike(r"(?i)^(signed-off-by|co-authored-by|reviewed-by|change-id|cc):"))
+    lines = F.filter(F.split(message, "\n"), lambda x: ~x.rlike(TRAILER))
     return F.substring(strip(F.array_join(lines, "\n")), 1, most)
 
 
 def is_low_value(subject: Column) -> Column:
-    return subject.rlike(r"(?i)^(merge|revert|bump|release|version|chore|wip|typo|update (readme|changelog))\b")
+    return subject.rlike(LOW_VALUE)
 
 
 def leaks(query: Column, paths: Column) -> Column:
@@ -108,7 +114,8 @@ def patch_files(patch: Column) -> Column:
 
 def patch_hunks(patch: Column) -> Column:
     """(path, first line, last line) of each hunk, on the old side; a length of 0 counts as one line."""
-    parts = F.slice(F.split(patch, r"(?m)^diff --git "), 2, 1_000_000)
+    pieces = F.split(patch, r"(?m)^diff --git ")
+    parts = F.slice(pieces, 2, F.size(pieces))
     found = F.transform(
         parts,
         lambda part: F.transform(

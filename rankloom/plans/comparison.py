@@ -175,6 +175,26 @@ def repeat_deltas(spark, d):
     return base.join(other, ["case_id", "repeat"]).groupBy("case_id").agg(F.round(F.avg("c") - F.avg("b"), 6).alias("delta"), F.count_if(F.col("c") > F.col("b")).alias("wins"), F.count_if(F.col("c") < F.col("b")).alias("losses"))
 
 
+REPEATS_SQL = "SELECT case_id, avg(c - b) AS delta FROM (SELECT case_id, x.v AS b, y.v AS c FROM (SELECT case_id, arm AS r, value AS v FROM metrics WHERE arm IN ('bm25', 'rrf30') AND metric = 'MRR') x JOIN (SELECT case_id, CASE arm WHEN 'lexical' THEN 'bm25' ELSE 'rrf30' END AS r, value AS v FROM metrics WHERE arm IN ('lexical', 'rrf70') AND metric = 'MRR') y USING (case_id, r)) GROUP BY case_id"
+
+
+@query("repeat_delta_interval", sql("""SELECT n, round(mean, 6) AS mean_delta, round(v[24 + 1], 6) AS ci_low, round(v[974 + 1], 6) AS ci_high FROM (SELECT count(*) AS n, avg(delta) AS mean FROM cd), (SELECT list(value ORDER BY value) AS v FROM cr)""", "metrics").replace("\nSELECT n, round", f""",
+cd AS MATERIALIZED ({REPEATS_SQL}),
+ck AS MATERIALIZED (SELECT case_id, delta AS s, row_number() OVER (ORDER BY case_id) - 1 AS pick, count(*) OVER () AS g FROM cd),
+cr AS MATERIALIZED (SELECT rep, sum(s) / any_value(g) AS value FROM (SELECT rep, slot, g, ('0x' || substr(md5('1042|' || rep || '|' || slot), 1, 8))::BIGINT % g AS pick FROM (SELECT g, rep, unnest(range(g)) AS slot FROM (SELECT DISTINCT g FROM ck), range(1000) r(rep))) d JOIN ck USING (g, pick) GROUP BY rep)
+SELECT n, round""", 1))
+def repeat_delta_interval(spark, d):
+    """Two repeats of each arm, paired: the mean over cases of the deltas of their repeat means, with a bootstrap of cases."""
+    found = frames.case_metrics(spark, d).where("metric = 'MRR'")
+    pairing.check_paired(found.select("arm", "case_id"))  # repeats that lack a case are refused
+    repeat = F.when(F.col("arm").isin("bm25", "lexical"), 1).otherwise(2)
+    side = F.when(F.col("arm").isin("bm25", "rrf30"), -1).otherwise(1)
+    deltas = found.groupBy("metric", "case_id", repeat.alias("repeat")).agg(F.sum(side * F.col("value")).alias("delta")).groupBy("metric", "case_id").agg(F.avg("delta").alias("delta"))
+    deltas = saved(deltas)
+    ends = resampling.endpoint_rules(resampling.replicates(deltas, cluster="case_id")).where("rule = 'truncated'")
+    return deltas.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("delta"), 6).alias("mean_delta")).join(ends, "metric").select("n", "mean_delta", "ci_low", "ci_high")
+
+
 OBSERVATIONS = "SELECT doc_id // 6 AS case_id, (doc_id % 3)::INT AS repeat, CASE WHEN doc_id % 6 < 3 THEN 'full' ELSE 'compact' END AS transform, n_chars::DOUBLE AS value FROM documents"
 
 

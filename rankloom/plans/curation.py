@@ -48,7 +48,7 @@ def group_counts_split(spark, d):
 
 
 #: A whole message without its trailer lines, as clean_message() has it.
-CLEAN_SQL = r"regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)^(signed-off-by|co-authored-by|reviewed-by|change-id|cc):')), chr(10)), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')"
+CLEAN_SQL = r"regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)^(change-id|co-authored-by|reviewed-by|signed-off-by):')), chr(10)), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')"
 
 
 @query("distinct_keep_min", f"WITH m AS (SELECT doc_id, {CLEAN_SQL} AS message FROM documents), k AS (SELECT min(doc_id) AS doc_id FROM m GROUP BY lower(message)), p AS (SELECT row_number() OVER (ORDER BY sha256('m|' || doc_id)) AS place, doc_id FROM k QUALIFY place <= 25) SELECT place, message, doc_id FROM p JOIN m USING (doc_id)")
@@ -324,12 +324,12 @@ def leakage_filter(spark, d):
     return table(spark, d, "documents").select("doc_id", text.leaks(F.col("text"), paths).alias("leaks"))
 
 
-@query("commit_eligibility", rf"SELECT doc_id FROM (SELECT *, string_split(message, chr(10))[1] AS subject FROM (SELECT *, {CLEAN_SQL} AS message FROM documents)) WHERE length(subject) >= 24 AND NOT regexp_matches(subject, '(?i)^(merge|revert|bump|release|version|chore|wip|typo|update (readme|changelog))\b') AND doc_id % 3 > 0 AND doc_id % 4 > 0 AND NOT contains(lower(message), lower(source || '_x.py')) AND NOT contains(lower(message), lower(lang || '_y.go'))")
+@query("commit_eligibility", rf"SELECT doc_id FROM (SELECT *, string_split(message, chr(10))[1] AS subject FROM (SELECT *, {CLEAN_SQL} AS message FROM documents)) WHERE length(subject) >= 24 AND NOT regexp_matches(subject, '(?i)^(build|bump|chore|ci|docs?|format|lint|release|style|tests?)(\([^)]*\))?[!: ]') AND doc_id % 3 > 0 AND doc_id % 4 > 0 AND NOT contains(lower(message), lower(source || '_x.py')) AND NOT contains(lower(message), lower(lang || '_y.go'))")
 def commit_eligibility(spark, d):
     """Messages with a long enough first line whose one to five changes are modifications of source files that the whole message doesn't name."""
     docs = table(spark, d, "documents")
     change = lambda status, path: F.struct(status.alias("status"), path.alias("path"))
-    changes = F.array(change(F.when(F.col("doc_id") % 3 == 0, "A").otherwise("M"), F.concat(F.lit("lib/"), "source", F.lit("_x.py"))), change(F.lit("M"), F.concat(F.when(F.col("doc_id") % 4 == 0, "tests/").otherwise("pkg/"), "lang", F.lit("_y.go"))))
+    changes = F.array(change(F.when(F.col("doc_id") % 3 == 0, "A").otherwise("M"), F.concat(F.lit("lib/"), "source", F.lit("_x.py"))), change(F.lit("M"), F.concat(F.when(F.col("doc_id") % 4 == 0, "Vendor/").otherwise("pkg/"), "lang", F.lit("_y.go"))))
     message = text.clean_message(F.col("text"), WHOLE)
     rows = docs.select("doc_id", message.alias("message"), F.get(F.split(message, "\n"), F.lit(0)).alias("subject"), changes.alias("changes"))
     paths = F.transform("changes", lambda c: c["path"])
@@ -358,3 +358,58 @@ def accessible(spark, d):
     """Orders that are urgent, or whose customer is in the caller's segment."""
     owners = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     return audit.accessible(table(spark, d, "orders"), owners, "o_custkey", F.col("o_orderpriority") == "1-URGENT", F.col("c_mktsegment") == "BUILDING").select("o_orderkey")
+
+
+# Filters and parsers of paths, messages and replies, and files of the package's own formats.
+
+SUFFIXES = ("py", "PNG", "tar.gz", "md", "parquet", "KTS", "lock", "")
+MADE_PATH_SQL = "CASE doc_id % 3 WHEN 0 THEN 'lib/' WHEN 1 THEN 'Docs/' ELSE 'src\\vendored/' END || source || CASE WHEN doc_id % 8 = 7 THEN '' ELSE '.' || ['py', 'PNG', 'tar.gz', 'md', 'parquet', 'KTS', 'lock'][(doc_id % 8)::INT + 1] END"
+
+
+def _made_path():
+    ends = F.get(F.array(*map(F.lit, SUFFIXES)), (F.col("doc_id") % 8).cast("int"))
+    start = F.when(F.col("doc_id") % 3 == 0, "lib/").when(F.col("doc_id") % 3 == 1, "Docs/").otherwise("src\\vendored/")
+    return F.concat(start, "source", F.when(ends == "", "").otherwise(F.concat(F.lit("."), ends)))
+
+
+@query("path_filters", f"SELECT doc_id, path, doc_id % 8 NOT IN (1, 2, 4, 6) AS text_candidate, doc_id % 8 IN (0, 5) AND doc_id % 3 <> 1 AS source_path FROM (SELECT doc_id, {MADE_PATH_SQL} AS path FROM documents)")
+def path_filters(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", _made_path().alias("path"))
+    return rows.select("doc_id", "path", text.is_text_candidate(F.col("path")).alias("text_candidate"), text.is_source_path(F.col("path")).alias("source_path"))
+
+
+@query("message_clean", r"SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN lang || ': one' ELSE lang || ' two' END AS subject, CASE WHEN doc_id % 5 < 2 THEN 'chore(' || lang || '): one' ELSE lang || ' two' END || chr(10) || 'body' AS message, doc_id % 5 < 2 AS low_value FROM documents".replace("CASE WHEN doc_id % 5 < 2 THEN lang || ': one' ELSE lang || ' two' END AS subject, ", ""))
+def message_clean(spark, d):
+    """Messages made of a subject, a body and trailers: what is left of them, and whether their subjects are of little value."""
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 < 2, F.concat(F.lit("chore("), "lang", F.lit("): one"))).otherwise(F.concat("lang", F.lit(" two"))).alias("subject"))
+    message = text.clean_message(F.concat(F.lit("\n"), "subject", F.lit("\nSigned-off-by: a\nbody\nChange-Id: b\n")))
+    return rows.select("doc_id", message.alias("message"), text.is_low_value(F.col("subject")).alias("low_value"))
+
+
+@query("reply_code", "SELECT doc_id, 'x = ' || doc_id AS code FROM documents")
+def reply_code(spark, d):
+    """The code of replies that are fenced, or bare."""
+    code = F.concat(F.lit("x = "), F.col("doc_id").cast("string"))
+    reply = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```python\n"), code, F.lit("\n```\nand ```more```"))).otherwise(F.concat(F.lit("\n"), code, F.lit(" \n")))
+    return table(spark, d, "documents").select("doc_id", text.generated_code(reply).alias("code"))
+
+
+@query("reply_sections", "SELECT doc_id, source || '/a (b).py' AS path, doc_id::INT AS first, (doc_id + 9)::INT AS last FROM documents UNION ALL SELECT doc_id, lang || '.md', 1, 2 FROM documents")
+def reply_sections(spark, d):
+    head = lambda path, a, b: F.concat(F.lit("### "), path, F.lit(" (lines "), a, F.lit("-"), b, F.lit(")\n"))
+    reply = F.concat(F.lit("intro\n"), head(F.concat("source", F.lit("/a (b).py")), F.col("doc_id").cast("string"), (F.col("doc_id") + 9).cast("string")), F.lit("body ### no (lines 1-2)\n"), head(F.concat("lang", F.lit(".md")), F.lit("1"), F.lit("2")))
+    return table(spark, d, "documents").select("doc_id", F.inline(text.sections(reply)))
+
+
+@query("jsonl_round_trip", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
+def jsonl_round_trip(spark, d):
+    """Conversations written as JSON lines in the shared folder, and read again by the package's reader."""
+    import uuid
+
+    from rankloom.session import shared_dir
+    from rankloom.sources import files
+
+    rows = table(spark, d, "conversations")
+    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    rows.write.json(path)
+    return files.read_jsonl(spark, path, rows.schema).select("conv_id", "turn", "role", F.md5("text").alias("digest"))

@@ -35,7 +35,7 @@ def test_patches(spark):
     assert [tuple(r) for r in value(spark, text.sections(F.lit("### a/b.py (lines 1-40)\ntext\n### c (lines 5-6)")))] == [("a/b.py", 1, 40), ("c", 5, 6)]
 
 
-@pytest.mark.parametrize("path,kind,source", [("tests/a.py", "test", False), ("src/test_x.py", "test", True), ("docs/a.py", "docs", False), ("README.md", "docs", False), ("src/a.go", "code", True), ("a.json", "other", False), ("vendor/a.c", "code", False)])
+@pytest.mark.parametrize("path,kind,source", [("tests/a.py", "test", True), ("src/test_x.py", "test", True), ("docs/a.py", "docs", False), ("a/Benchmarks/b.PYI", "code", False), ("README.md", "docs", False), ("src/a.go", "code", True), ("a.json", "other", False), ("vendor/a.c", "code", False)])
 def test_kinds(spark, path, kind, source):
     assert value(spark, text.path_kind(F.lit(path))) == kind
     assert value(spark, text.is_source_path(F.lit(path))) is source
@@ -43,7 +43,7 @@ def test_kinds(spark, path, kind, source):
 
 def test_messages_and_leaks(spark):
     assert value(spark, text.clean_message(F.lit("\n fix it\nSigned-off-by: a\nCo-authored-by: b\n"))) == "fix it"
-    assert value(spark, text.is_low_value(F.lit("Merge branch x"))) and not value(spark, text.is_low_value(F.lit("Emerge")))
+    assert value(spark, text.is_low_value(F.lit("Docs(api): x"))) and not value(spark, text.is_low_value(F.lit("Documents: x")))
     paths = F.array(F.lit("src/Client.py"))
     assert value(spark, text.leaks(F.lit("break in client.PY"), paths)) and not value(spark, text.leaks(F.lit("break in clients"), paths))
     assert not value(spark, text.is_text_candidate(F.lit("a/b.PNG"))) and value(spark, text.is_text_candidate(F.lit("Makefile")))

@@ -78,7 +78,7 @@ def test_messages_are_whole_texts(spark, tmp_path):
 
 def test_commits_are_judged_by_the_whole_message(spark, tmp_path):
     good = "A subject that is certainly long enough"
-    texts = [good, good + "\n" + "words " * 900 + "see lib/src1_x.py", good + " and " * 9 + "en_y.go", "Short\n" + good, "Merge " + good, good + "\nMerge"]
+    texts = [good, good + "\n" + "words " * 900 + "see lib/src1_x.py", good + " and " * 9 + "en_y.go", "Short\n" + good, "Chore: " + good, good + "\nMerge"]
     found = {r["doc_id"] for r in catalog.QUERIES["commit_eligibility"](spark, documents(spark, tmp_path, texts)).collect()}
     assert found == {1, 61}
 
