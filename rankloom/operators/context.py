@@ -54,19 +54,29 @@ def seeded(paths: Column, budget: int, opening: int = 0) -> Column:
     return F.aggregate(paths, start, step)
 
 
-def batches(items: Column, most_items: int, most_size: int) -> Column:
-    """The batch number of each (id, size) of an ordered array: a batch closes before the item that would pass a bound."""
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<id:bigint,batch:int>>").alias("out"))
+def batched(items: DataFrame, most_items: int, most_size: int, group: str) -> DataFrame:
+    """group, id and batch of `items` (group, id, size) in the order of their ids: a batch closes before the item that would pass a bound.
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["n"] >= most_items) | (acc["size"] + x["size"] > most_size))
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, x["size"]).otherwise(acc["size"] + x["size"]).cast("long").alias("size"),
-            F.concat(acc["out"], F.array(F.struct(x["id"].cast("long").alias("id"), batch.alias("batch")))).alias("out"),
-        )
-
-    return F.aggregate(items, start, step)["out"]
+    Where a batch closes depends on all before it, so a group's ids and sizes pass through one task, in order and one at a
+    time: nothing is gathered.
+    """
+    import pyarrow as pa
+
+    def run(found):
+        key, batch, n, size = None, 0, 0, 0
+        for part in found:
+            out = []
+            for own, i, s in zip(*(c.to_pylist() for c in part.columns)):
+                if key != (own,):
+                    key, batch, n, size = (own,), 0, 0, 0
+                if n and (n >= most_items or size + s > most_size):
+                    batch, n, size = batch + 1, 0, 0
+                n, size = n + 1, size + s
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], [group, "id", "batch"])
+
+    rows = items.select(group, F.col("id").cast("long").alias("id"), F.col("size").cast("long").alias("size")).repartition(group).sortWithinPartitions(group, "id")
+    return rows.mapInArrow(run, f"`{group}` {rows.schema[group].dataType.simpleString()}, id long, batch int")
 
 
 def segments(text: str, budget: int) -> list[str]:

@@ -100,11 +100,18 @@ def schedule_positions(spark, d):
     return balanced_schedule(spark, d).groupBy("transform", "order", "position").agg(F.count("*").alias("n"))
 
 
-@query("batch_bounded", None)
+BATCH_SQL = """WITH RECURSIVE o AS (SELECT source, doc_id, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+f AS (SELECT source, doc_id, r, 0 AS batch, 1 AS n, size FROM o WHERE r = 1
+  UNION ALL SELECT o.source, o.doc_id, o.r, CASE WHEN f.n >= 8 OR f.size + o.size > 20000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.n >= 8 OR f.size + o.size > 20000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 8 OR f.size + o.size > 20000 THEN o.size ELSE f.size + o.size END
+  FROM f JOIN o ON o.source = f.source AND o.r = f.r + 1)
+SELECT source, doc_id, batch FROM f"""
+
+
+@query("batch_bounded", BATCH_SQL)
 def batch_bounded(spark, d):
     """Documents of each source, by id, in batches of at most 8 documents and 20,000 characters."""
-    rows = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.col("n_chars").cast("long").alias("size")))).alias("items"))
-    return rows.select("source", F.explode(context.batches(F.col("items"), 8, 20_000)).alias("b")).select("source", F.col("b.id").alias("doc_id"), "b.batch")
+    rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("size"))
+    return context.batched(rows, 8, 20_000, "source").select("source", F.col("id").alias("doc_id"), "batch")
 
 
 @query("eligibility", sql("SELECT b.item_id AS case_id, CASE WHEN n IS NULL THEN 'no_gold' WHEN m > 0 THEN 'missing_gold' WHEN contains(lower(b.text), 'thon') THEN 'leakage' ELSE 'kept' END AS reason FROM benchmark b LEFT JOIN (SELECT case_id, count(*) AS n, count(*) FILTER (doc_id % 10 = 0) AS m FROM gold GROUP BY case_id) g ON g.case_id = b.item_id", "gold"))

@@ -127,8 +127,10 @@ def test_packing_a_context(spark):
     items = spark.createDataFrame([([(1, 6, 1), (2, 6, 1), (3, 3, 1), (4, 9, 4), (5, 1, 1)],)], "a array<struct<id:bigint,cost:bigint,header_cost:bigint>>")
     kept = items.select(context.seeded(F.col("a"), 11)["kept"].alias("k")).first()["k"]
     assert [(r["id"], r["whole"], r["cost"]) for r in kept] == [(1, True, 6), (2, False, 1), (3, True, 3)]
-    sizes = spark.createDataFrame([([(1, 4), (2, 4), (3, 4), (4, 9), (5, 1)],)], "a array<struct<id:bigint,size:bigint>>")
-    assert [r["batch"] for r in sizes.select(context.batches(F.col("a"), 2, 10).alias("b")).first()["b"]] == [0, 0, 1, 2, 2]
+    rows = [(g, i, n) for g in ("x", None) for i, n in ((5, 1), (1, 4), (2, 4), (3, 4), (4, 9))]
+    found = context.batched(spark.createDataFrame(rows, "batch_of string, id long, size long"), 2, 10, "batch_of").collect()
+    assert sorted((str(r["batch_of"]), r["id"], r["batch"]) for r in found) == [(g, i + 1, b) for g in ("None", "x") for i, b in enumerate([0, 0, 1, 2, 2])]
+    assert context.batched(spark.createDataFrame([], "g string, id long, size long"), 2, 10, "g").collect() == []
     assert context.segments("a b c\n\nd e f g h", 6) == ["a b c", "d e f g h"] and context.segments("", 5) == [] and context.segments("x" * 50, 1) == ["x" * 50]
 
 
