@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share 85 % of their four-word shingles: their sets' sizes and components."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
@@ -41,6 +43,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.doc_i
 """
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes."""
     return mixing.mix(mixing.sized(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -65,6 +68,7 @@ FROM c
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages archived, read back and described."""
     return warc.archived_pages(spark, sf_dir)
 
 
@@ -78,21 +82,36 @@ FROM m
 """
 
 
+def warc_header_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of pages under https:// and what they refer to: both filters are pushed down, so no block is inflated."""
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path, payload="false").where("record_type = 'revisit' and startswith(target_uri, 'https://')")
+    page = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
+    return found.select(page("record_id").alias("page_id"), "target_uri", page("refers_to").alias("refers_to"), "full_length")
+
+
+WARC_HEADERS_SQL = f"SELECT page_id, url AS target_uri, refers_to, payload_bytes AS full_length FROM ({OP4_SQL}) JOIN pages USING (page_id) WHERE record_type = 'revisit' AND starts_with(url, 'https://')"
+
+
 def _remainder(by: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by centroids of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(_remainder(4) != 2).select("doc_id", "text", "lang"))
     return langid.identify(docs, model).select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality by the discriminant of the labelled documents that are not held out."""
     shared_dir(spark)
     documents = quality.features(table(spark, sf_dir, "documents")).checkpoint()
     model = quality.train(documents.where(_remainder(5) != 0), table(spark, sf_dir, "labels"))
@@ -100,14 +119,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as lossless WebP, read back and described."""
     return webp.examine_media(webp.store_texts(table(spark, sf_dir, "documents")))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digests and spans of personal data."""
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with a cosine of at least 0.93."""
     return near_dedup.near_dedup(table(spark, sf_dir, "embeddings"))
 
 
@@ -127,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
+    "warc_header_search": warc_header_search,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality": op7_quality,
@@ -139,5 +162,6 @@ SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op4_warc": OP4_SQL,
+    "warc_header_search": WARC_HEADERS_SQL,
     "op10_embedding_near_dedup": OP10_SQL,
 }
