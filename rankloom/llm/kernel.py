@@ -199,7 +199,17 @@ def rows_with_id(docs, bitmap, inside: bool = True, column: str = "doc_id"):
             held = ((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) & np.asarray(pc.is_valid(ids))
             yield batch.filter(pa.array(held if inside else ~held))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
+
+
+def releasing(run):
+    """A function over batches that gives its worker's memory back at the end."""
+
+    def own(batches):
+        yield from run(batches)
+        release()
+
+    return own
 
 
 def _steady() -> None:

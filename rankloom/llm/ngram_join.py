@@ -54,6 +54,8 @@ BLOCK_POINTS = 8192
 BLOCK_SHINGLES = 2_000_000
 #: Bytes of text to each cell of nodes: what one task holds at a time.
 CELL_BYTES = 16 << 20
+#: Rows that a task of leaders remembers.
+MOST_SENT = 1 << 20
 #: Bytes of text in which common tokens are told by their repetition.
 WINDOW_BYTES = 24 << 20
 _U = np.uint64
@@ -185,7 +187,7 @@ def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
         least = COMMON
     bitmap = np.zeros(COMMON_BITS // 8, np.uint8)
     if steps and (left >= 0 or least > COMMON):
-        for row in counts.where(F.col("n") >= least).select("token").mapInArrow(_places, "places binary").collect():  # four bytes for each of at most COMMON_TOKENS
+        for row in counts.where(F.col("n") >= least).select("token").mapInArrow(kernel.releasing(_places), "places binary").collect():  # four bytes for each of at most COMMON_TOKENS
             places = np.frombuffer(row["places"], np.uint32)
             np.bitwise_or.at(bitmap, places >> 3, (1 << (places & 7)).astype(np.uint8))
     return bitmap
@@ -254,12 +256,23 @@ def _led(keys: np.ndarray, ids: np.ndarray, digests: np.ndarray) -> tuple[np.nda
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partitions sorted by cell and band to (leader, band, member); one cell and band is held at a time."""
-    key, held = None, []
+    """Partitions sorted by cell and band to (leader, band, member); one cell and band is held at a time.
+
+    What the partition has sent is not sent again, as far as MOST_SENT rows are remembered.
+    """
+    key, held, sent = None, [], np.zeros((3, 0), np.int64)
 
     def closed():
+        nonlocal sent
         lead, ids = _led(*map(np.concatenate, zip(*held)))
         held.clear()
+        both = np.concatenate([sent, np.stack([np.full(len(ids), key[1], np.int64), lead, ids])], 1)
+        order = np.lexsort(both)
+        again = np.append(False, (both[:, order[1:]] == both[:, order[:-1]]).all(0)) if len(order) else np.zeros(0, bool)
+        fresh = order[~again]  # a stable order: of equal rows the one sent before is first
+        new = np.sort(fresh[fresh >= sent.shape[1]])
+        lead, ids = both[1, new], both[2, new]
+        sent = both[:, fresh] if len(fresh) <= MOST_SENT else np.zeros((3, 0), np.int64)
         for a in range(0, len(ids), 1 << 16):
             part = slice(a, a + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(lead[part]), pa.array(np.full(len(lead[part]), key[1], np.int32)), pa.array(ids[part])], ["leader", "band", "member"])
@@ -468,7 +481,7 @@ def candidate_groups(docs: DataFrame, own: DataFrame, k: int, bands: Bands, bloc
     rows = join_hot(led, blocks, ["leader", "band"], led.count()).join(points, ["member", "band"]).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ("leader", "band", "low", "high")
     rows = rows.select("leader", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "member", "n", "point")
-    edges = rows.repartition(parts, *key).sortWithinPartitions(*key, "member").mapInArrow(_bounded(bands), "a long, b long")
+    edges = rows.repartition(parts, *key).sortWithinPartitions(*key, "member").mapInArrow(kernel.releasing(_bounded(bands)), "a long, b long")
     sizes = own.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
     return components(edges).select(F.col("component").alias("leader"), F.col("node").alias("doc_id")).join(sizes, "doc_id").select("leader", F.col("doc_id").alias("member"), "n").checkpoint()
 
@@ -489,7 +502,7 @@ def jaccard_links(docs: DataFrame, led: DataFrame, k: int, bands: Bands, block_s
     order = ("leader", "block", "second")
 
     def verified(rows: DataFrame, within: bool) -> DataFrame:
-        return docs.join(rows, "doc_id").select(*order, "doc_id", "role", "text").repartition(parts, *order).sortWithinPartitions(*order, "doc_id").mapInArrow(_verify(k, bands, within), "leader long, a long, b long")
+        return docs.join(rows, "doc_id").select(*order, "doc_id", "role", "text").repartition(parts, *order).sortWithinPartitions(*order, "doc_id").mapInArrow(kernel.releasing(_verify(k, bands, within)), "leader long, a long, b long")
 
     first = verified(rows, True).checkpoint()
     links = first.where("b is not null").select("a", "b")
@@ -513,7 +526,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     shared_dir(docs.sparkSession)
     bands = Bands(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = docs.mapInArrow(_sets(k, bands), _OWN).checkpoint()
+    own = docs.mapInArrow(kernel.releasing(_sets(k, bands)), _OWN).checkpoint()
     linking = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "h1", "h2", "n_shingles")
     same = linking.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
     equal = join_hot(linking, same, ["h1", "h2", "n_shingles"], linking.count()).select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")).where("a != b")
