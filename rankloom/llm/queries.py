@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import langid, lm_score, mixing, near_dedup, packing, pii, quality, warc, webp
+from rankloom.llm import langid, lm_score, mixing, near_dedup, packing, pii, quality, sentencepieces, warc, webp
 from rankloom.llm.ngram_join import ngram_jaccard_join
 from rankloom.session import shared_dir, table
 
@@ -144,6 +144,13 @@ SELECT v.vec_id, coalesce(n.k, 0)::BIGINT AS n_links, coalesce(comp.c, v.vec_id)
 FROM v LEFT JOIN n ON n.vec_id = v.vec_id LEFT JOIN comp ON comp.vec_id = v.vec_id
 """
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, decoded texts and spans of the pieces of every document, as digests."""
+    import public_tokenizers
+
+    return sentencepieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -156,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_pii": op9_pii,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 SQL: dict[str, str] = {
