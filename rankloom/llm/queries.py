@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import langid, lm_score, mixing, near_dedup, packing, pii, quality, sentencepieces, warc, webp
+from rankloom.llm import langid, lm_score, mixing, near_dedup, packing, pii, prefix_trie, quality, sentencepieces, warc, webp
 from rankloom.llm.ngram_join import ngram_jaccard_join
 from rankloom.session import shared_dir, table
 
@@ -151,6 +151,32 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the rebuilt conversations by their first turns."""
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+             lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM o)),
+lent AS (SELECT c.conv_id, o.pos AS depth, role, text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.pos <= h),
+m AS (SELECT c.conv_id, h, count(depth) AS m FROM c LEFT JOIN lent USING (conv_id) GROUP BY ALL),
+t AS (SELECT conv_id, 0 AS depth, '' AS own, 0 AS words FROM c
+      UNION ALL SELECT conv_id, depth, length(role) || ':' || role || length(text) || ':' || text, len(regexp_extract_all(text, '[^ \t\n\v\f\r]+')) FROM
+        (SELECT * FROM lent UNION ALL SELECT conv_id, m + pos - h, role, text FROM o JOIN m USING (conv_id) WHERE pos > h)),
+p AS (SELECT *, string_agg(own, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key, max(depth) OVER (PARTITION BY conv_id) AS deepest FROM t),
+u AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM p),
+n AS (SELECT depth, key, above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = deepest), '')) AS ends_sha256 FROM u GROUP BY depth, key, above),
+k AS (SELECT depth - 1 AS depth, above AS key, count(*) AS n_children FROM n GROUP BY ALL),
+s AS (SELECT p.depth, p.key, sum((n.n_convs - 1) * n.words) AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+      FROM n LEFT JOIN k USING (depth, key) JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY ALL)
+SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (depth, key) LEFT JOIN k USING (depth, key) LEFT JOIN n a ON a.depth = n.depth - 1 AND a.key = n.above
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -164,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -172,4 +199,5 @@ SQL: dict[str, str] = {
     "op4_warc": OP4_SQL,
     "warc_header_search": WARC_HEADERS_SQL,
     "op10_embedding_near_dedup": OP10_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
