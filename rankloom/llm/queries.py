@@ -185,17 +185,18 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM d),
-f AS MATERIALIZED (SELECT lang, p, len(p) AS j, count(*) AS f FROM (
+g AS (SELECT lang, array_to_string(p, ' ') AS p, len(p) AS j, count(*) AS f FROM (
         SELECT lang, unnest(list_transform(ws, lambda x: [x])) AS p FROM w
         UNION ALL SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: ws[i:i+1])) FROM w
         UNION ALL SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i+2])) FROM w) GROUP BY ALL),
-n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE j = 1 GROUP BY lang),
-c AS MATERIALIZED (SELECT * FROM f WHERE j > 1 AND f >= 10),
-cuts AS (SELECT c.lang, c.p, c.f, c.j, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
-         FROM c CROSS JOIN (VALUES (1), (2)) v(k) JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k+1:] WHERE k < c.j),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE j = 1 GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, p, j, f, string_split(p, ' ') AS ws FROM g WHERE f >= 10),
+cut AS MATERIALIZED (SELECT lang, p, f, 1 AS k, ws[1] AS x, array_to_string(ws[2:], ' ') AS y FROM f WHERE j > 1 UNION ALL SELECT lang, p, f, 2, ws[1] || ' ' || ws[2], ws[3] FROM f WHERE j = 3),
+cuts AS (SELECT cut.lang, cut.p, cut.f, k, x.f AS l, y.f AS r, (1000000::HUGEINT * cut.f * cut.f) // (x.f::HUGEINT * y.f) AS score
+         FROM cut JOIN f x ON x.lang = cut.lang AND x.p = cut.x JOIN f y ON y.lang = cut.lang AND y.p = cut.y),
 s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
-o AS (SELECT lang, p, max(f) AS f FROM (SELECT lang, p[1:2] AS p, f FROM c WHERE j = 3 UNION ALL SELECT lang, p[2:3], f FROM c WHERE j = 3) GROUP BY ALL),
-r AS (SELECT s.lang, array_to_string(s.p, ' ') AS phrase, s.f AS a, l, r, score FROM s LEFT JOIN o ON o.lang = s.lang AND o.p = s.p WHERE o.f IS NULL OR 100 * o.f < 50 * s.f)
+o AS (SELECT lang, p, max(f) AS f FROM (SELECT lang, ws[1] || ' ' || ws[2] AS p, f FROM f WHERE j = 3 UNION ALL SELECT lang, ws[2] || ' ' || ws[3], f FROM f WHERE j = 3) GROUP BY ALL),
+r AS (SELECT s.lang, s.p AS phrase, s.f AS a, l, r, score FROM s LEFT JOIN o ON o.lang = s.lang AND o.p = s.p WHERE o.f IS NULL OR 100 * o.f < 50 * s.f)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM r JOIN n USING (lang) QUALIFY rank <= 2000
 """
 
