@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.ranking import DIGITS, rerank_blend, top_k
+from rankloom.operators.ranking import DIGITS, permuted, rerank_blend, top_k
 
 
 def union_branches(branches: dict[str, DataFrame]) -> DataFrame:
@@ -71,19 +71,24 @@ def traces(branches: DataFrame) -> DataFrame:
     return branches.groupBy("case_id", "doc_id").agg(F.min("rank").alias("best_rank"), F.array_join(F.array_sort(F.collect_set("branch")), ",").alias("found_by"))
 
 
-def ladder(dense: DataFrame, expanded: DataFrame, bm25: DataFrame, logits: DataFrame, limit: int = 20, head: int = 50) -> DataFrame:
+def ladder(dense: DataFrame, expanded: DataFrame, bm25: DataFrame, logits: DataFrame, places: DataFrame | None = None, limit: int = 20, head: int = 50, listed: int = 20) -> DataFrame:
     """mode, case_id, doc_id and rank of the modes dense, hybrid, hybrid_expand, hybrid_rerank and hybrid_rerank_expand.
 
-    `dense` and `expanded` are rankings of the queries as they are and with their expansions, `bm25` that of the words, each
-    of at least `head` rows a case; hybrids are fused with equal weights.  `logits` (case_id, doc_id, logit) come from any
-    scorer; without one a document has logit 0.
+    `dense` and `expanded` are whole rankings of the queries as they are and with their expansions, `bm25` that of the words;
+    hybrids are fused with equal weights and then cut at `head`.  `logits` (case_id, doc_id, logit) come from any scorer;
+    without one a document has logit 0.  Reranking is the blend, and then the order of the first `listed` that `places`
+    (case_id, doc_id, place) gives for all of them; where it doesn't, they stay.
     """
     weights = dense.sparkSession.createDataFrame([(c, b, 1.0) for c, own in (("hybrid", "dense"), ("hybrid_expand", "expanded")) for b in (own, "bm25")], "config string, branch string, weight double")
     fused = rrf(union_branches({"dense": dense, "expanded": expanded, "bm25": bm25}), weights, limit=head)
 
     def reranked(config: str, mode: str) -> DataFrame:
         rows = fused.where(F.col("config") == config).join(logits, ["case_id", "doc_id"], "left").withColumn("logit", F.coalesce("logit", F.lit(0.0)))
-        return rerank_blend(rows, head).select(F.lit(mode).alias("mode"), "case_id", "doc_id", "rank")
+        rows = rerank_blend(rows, head).select("case_id", "doc_id", "rank")
+        if places is not None:
+            first = rows.where(F.col("rank") <= listed).select("case_id", "doc_id")
+            rows = permuted(rows, places.join(first, ["case_id", "doc_id"], "left_semi"), listed)
+        return rows.select(F.lit(mode).alias("mode"), "case_id", "doc_id", "rank")
 
     modes = [dense.select(F.lit("dense").alias("mode"), "case_id", "doc_id", "rank"), fused.select(F.col("config").alias("mode"), "case_id", "doc_id", "rank")]
     modes += [reranked("hybrid", "hybrid_rerank"), reranked("hybrid_expand", "hybrid_rerank_expand")]

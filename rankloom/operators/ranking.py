@@ -17,10 +17,11 @@ from rankloom.session import saved
 DIGITS = 6
 
 
-def top_k(scored: DataFrame, k: int, keys: Sequence[str] = ("case_id",), order: Sequence[Column] | None = None) -> DataFrame:
-    """The first k rows of each key, with their rank."""
+def top_k(scored: DataFrame, k: int | None, keys: Sequence[str] = ("case_id",), order: Sequence[Column] | None = None) -> DataFrame:
+    """The first k rows of each key, with their rank; all rows for None."""
     window = Window.partitionBy(*keys).orderBy(*(order or (F.desc("score"), F.asc("doc_id"))))
-    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(window))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.join(terms.select("term").distinct(), "term", "left_semi").repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, found: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 20, k1: float = 1.2, b: float = 0.75, found: DataFrame | None = None) -> DataFrame:
     """Okapi BM25 of whole documents, with idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over the distinct terms of a query.
 
     `found` are the postings of all terms, where they are there already.
@@ -53,7 +54,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: f
     return top_k(scored, k)
 
 
-def term_overlap(docs: DataFrame, queries: DataFrame, k: int = 20, found: DataFrame | None = None) -> DataFrame:
+def term_overlap(docs: DataFrame, queries: DataFrame, k: int | None = 20, found: DataFrame | None = None) -> DataFrame:
     """The share of a query's distinct terms that a document holds; `found` as in bm25()."""
     terms = query_terms(queries)
     sizes = terms.groupBy("case_id").agg(F.count("*").alias("n_terms"))
@@ -136,7 +137,7 @@ def idf_containment(docs: DataFrame, terms: DataFrame, k: int = 20) -> DataFrame
     return first.join(lists, ["case_id", "doc_id"]).select("case_id", "doc_id", "score", "matched_terms", "terms", "rank")
 
 
-def dense_scan(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def dense_scan(vectors: DataFrame, queries: DataFrame, k: int | None = 20) -> DataFrame:
     """Exact cosine of each query (case_id, query_vector) with all vectors (doc_id, vector), other than its own id.
 
     The query side is the small one: it is broadcast if a count shows that it is, else the join is left to Spark.

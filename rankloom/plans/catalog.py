@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.plans import comparison, curation, retrieval
+from rankloom.plans import comparison, curation, retrieval, structures
 
-QUERIES = {**retrieval.QUERIES, **comparison.QUERIES, **curation.QUERIES}
-SQL = {**retrieval.SQL, **comparison.SQL, **curation.SQL}
+QUERIES = {**retrieval.QUERIES, **comparison.QUERIES, **curation.QUERIES, **structures.QUERIES}
+SQL = {**retrieval.SQL, **comparison.SQL, **curation.SQL, **structures.SQL}

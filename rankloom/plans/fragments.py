@@ -12,10 +12,12 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "postings": (("terms",), f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM documents) WHERE term IN (SELECT term FROM terms) GROUP BY doc_id, term"),
     "weights": (("postings", "lengths"), "SELECT term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf, mean_dl FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), (SELECT count(*) AS n, avg(dl) AS mean_dl FROM lengths)"),
     "bm25_all": (("weights",), "SELECT case_id, doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / mean_dl))), 6) AS score FROM postings JOIN weights USING (term) JOIN terms USING (term) JOIN lengths USING (doc_id) GROUP BY case_id, doc_id"),
+    "bm25_whole": (("bm25_all",), "SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, doc_id) AS rank FROM bm25_all"),
     "bm25": (("bm25_all",), "SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, doc_id) AS rank FROM bm25_all QUALIFY rank <= 20"),
     "bm25_50": (("bm25_all",), "SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, doc_id) AS rank FROM bm25_all QUALIFY rank <= 50"),
-    "lexical": (("postings",), "SELECT case_id, doc_id, score, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT case_id, doc_id, round(count(*) / any_value(n_terms)::DOUBLE, 6) AS score FROM postings JOIN terms USING (term) JOIN (SELECT case_id, count(*) AS n_terms FROM terms GROUP BY case_id) USING (case_id) GROUP BY case_id, doc_id) QUALIFY rank <= 20"),
-    "branches": (("bm25", "lexical"), "SELECT 'bm25' AS branch, case_id, doc_id, rank FROM bm25 UNION ALL SELECT 'lexical', case_id, doc_id, rank FROM lexical"),
+    "lexical_whole": (("postings",), "SELECT case_id, doc_id, score, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT case_id, doc_id, round(count(*) / any_value(n_terms)::DOUBLE, 6) AS score FROM postings JOIN terms USING (term) JOIN (SELECT case_id, count(*) AS n_terms FROM terms GROUP BY case_id) USING (case_id) GROUP BY case_id, doc_id)"),
+    "lexical": (("lexical_whole",), "SELECT * FROM lexical_whole WHERE rank <= 20"),
+    "branches": (("bm25_whole", "lexical_whole"), "SELECT 'bm25' AS branch, case_id, doc_id, rank FROM bm25_whole UNION ALL SELECT 'lexical', case_id, doc_id, rank FROM lexical_whole"),
     "fusion_weights": ((), "SELECT * FROM (VALUES ('bm25', 'bm25', 1.0::DOUBLE), ('bm25', 'lexical', 0.0::DOUBLE), ('rrf30', 'bm25', 1 - 0.3::DOUBLE), ('rrf30', 'lexical', 0.3::DOUBLE), ('rrf70', 'bm25', 1 - 0.7::DOUBLE), ('rrf70', 'lexical', 0.7::DOUBLE), ('lexical', 'bm25', 0.0::DOUBLE), ('lexical', 'lexical', 1.0::DOUBLE)) t(arm, branch, weight)"),
     "ranked": (("branches", "fusion_weights"), "SELECT *, row_number() OVER (PARTITION BY arm, case_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT arm, case_id, doc_id, round(sum(weight / (60 + rank)), 10) AS score FROM branches JOIN fusion_weights USING (branch) WHERE weight > 0 GROUP BY arm, case_id, doc_id) QUALIFY rank <= 20"),
     "hits": (("ranked", "gold"), "SELECT r.*, g.doc_id IS NOT NULL AS hit FROM ranked r LEFT JOIN gold g USING (case_id, doc_id)"),

@@ -35,10 +35,10 @@ def cases(spark: SparkSession, sf_dir: str, gold_rows: DataFrame) -> DataFrame:
 
 
 def base_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """branch, case_id, doc_id and rank of the two base rankers, saved: at most 20 rows a case."""
+    """branch, case_id, doc_id and rank of the two base rankers, saved: every document with a score, as fusion takes whole rankings."""
     docs, asked = documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir)
     found = saved(ranking.postings(docs, ranking.query_terms(asked)))  # both rank from these
-    return saved(fusion.union_branches({"bm25": ranking.bm25(docs, asked, found=found), "lexical": ranking.term_overlap(docs, asked, found=found)}))
+    return saved(fusion.union_branches({"bm25": ranking.bm25(docs, asked, None, found=found), "lexical": ranking.term_overlap(docs, asked, None, found=found)}))
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:

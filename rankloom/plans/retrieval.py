@@ -261,7 +261,7 @@ def selected_segments(spark, d):
     return frames.documents(spark, d).select("doc_id", F.array_join(text.selected_ids(reply, valid, 2), ",").alias("ids"))
 
 
-@query("multi_query_rrf", sql("SELECT case_id, item, score, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, first_seen) AS rank FROM (SELECT case_id, doc_id AS item, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score, min(CASE branch WHEN 'bm25' THEN 0 ELSE 100 END + rank) AS first_seen FROM branches GROUP BY case_id, doc_id) QUALIFY rank <= 20", "branches"))
+@query("multi_query_rrf", sql("SELECT case_id, item, score, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, first_seen) AS rank FROM (SELECT case_id, doc_id AS item, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score, min(CASE branch WHEN 'bm25' THEN 0 ELSE 1000000000000 END + rank) AS first_seen FROM branches GROUP BY case_id, doc_id) QUALIFY rank <= 20", "branches"))
 def multi_query_rrf(spark, d):
     """The two base rankings as the answers to two queries."""
     found = frames.base_branches(spark, d).select("case_id", F.when(F.col("branch") == "bm25", 0).otherwise(1).alias("query_no"), F.col("doc_id").alias("item"), "rank")
@@ -325,15 +325,16 @@ def hard_negative_hits(spark, d):
     return metrics.hard_negative_hits(saved(frames.ranked(spark, d)), saved(negatives)).select("arm", "case_id", "metric", "value")
 
 
-LADDER_SQL = sql(r"""SELECT mode, case_id, doc_id, rank FROM (SELECT 'dense' AS mode, case_id, doc_id, rank FROM near WHERE branch = 'dense' UNION ALL SELECT config, case_id, doc_id, rank FROM fused UNION ALL SELECT replace(config, 'hybrid', 'hybrid_rerank'), case_id, doc_id, row_number() OVER (PARTITION BY config, case_id ORDER BY rank <= 30 DESC, CASE WHEN rank <= 30 THEN -blend ELSE rank END, doc_id) FROM blended) WHERE rank <= 20""", "bm25_50").replace("\nSELECT mode", r""",
+LADDER_SQL = sql(r"""SELECT mode, case_id, doc_id, rank FROM (SELECT 'dense' AS mode, case_id, doc_id, rank FROM near WHERE branch = 'dense' UNION ALL SELECT config, case_id, doc_id, rank FROM fused UNION ALL SELECT replace(config, 'hybrid', 'hybrid_rerank'), case_id, doc_id, row_number() OVER (PARTITION BY config, case_id ORDER BY rank > 20, CASE WHEN case_id % 2 = 0 AND rank <= 20 THEN doc_id ELSE rank END, rank) FROM listed) WHERE rank <= 20""", "bm25_whole").replace("\nSELECT mode", r""",
 asked AS MATERIALIZED (SELECT item_id AS case_id, item_id * 20 AS vec_id, len(regexp_extract_all(text, '\p{L}{2,}')) >= 6 AND (length(text) - length(translate(text, '{}[]()=<>;_', ''))) * 8 <= length(text) AS prose FROM benchmark),
 q AS MATERIALIZED (SELECT case_id, vec_id, 'dense' AS branch, embedding::DOUBLE[] AS e FROM asked JOIN embeddings USING (vec_id)
   UNION ALL SELECT case_id, a.vec_id, 'expanded', CASE WHEN prose AND n.vec_id IS NOT NULL THEN list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE + n.embedding[i]::DOUBLE) ELSE e.embedding::DOUBLE[] END FROM asked a JOIN embeddings e ON e.vec_id = a.vec_id LEFT JOIN embeddings n ON n.vec_id = a.vec_id + 1),
 qn AS MATERIALIZED (SELECT case_id, vec_id, branch, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM q),
 dn AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings),
-near AS MATERIALIZED (SELECT branch, case_id, d.vec_id AS doc_id, row_number() OVER (PARTITION BY branch, case_id ORDER BY round(list_inner_product(qn.v, d.v), 6) DESC, d.vec_id) AS rank FROM qn JOIN dn d ON d.vec_id <> qn.vec_id QUALIFY rank <= 50),
-fused AS MATERIALIZED (SELECT config, case_id, doc_id, score, row_number() OVER (PARTITION BY config, case_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT config, case_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM (SELECT CASE branch WHEN 'dense' THEN 'hybrid' ELSE 'hybrid_expand' END AS config, case_id, doc_id, rank FROM near UNION ALL SELECT c, case_id, doc_id, rank FROM bm25_50, (VALUES ('hybrid'), ('hybrid_expand')) t(c)) GROUP BY ALL) QUALIFY rank <= 50),
-blended AS MATERIALIZED (SELECT *, round(CASE WHEN rank <= 30 THEN 0.4::DOUBLE / (1 + exp(-((doc_id % 7) - 3)::DOUBLE)) + 0.6::DOUBLE * (score / top) ELSE score / top END, 6) AS blend FROM (SELECT *, max(score) FILTER (rank = 1) OVER (PARTITION BY config, case_id) AS top FROM fused))
+near AS MATERIALIZED (SELECT branch, case_id, d.vec_id AS doc_id, row_number() OVER (PARTITION BY branch, case_id ORDER BY round(list_inner_product(qn.v, d.v), 6) DESC, d.vec_id) AS rank FROM qn JOIN dn d ON d.vec_id <> qn.vec_id),
+fused AS MATERIALIZED (SELECT config, case_id, doc_id, score, row_number() OVER (PARTITION BY config, case_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT config, case_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM (SELECT CASE branch WHEN 'dense' THEN 'hybrid' ELSE 'hybrid_expand' END AS config, case_id, doc_id, rank FROM near UNION ALL SELECT c, case_id, doc_id, rank FROM bm25_whole, (VALUES ('hybrid'), ('hybrid_expand')) t(c)) GROUP BY ALL) QUALIFY rank <= 50),
+blended AS MATERIALIZED (SELECT *, round(CASE WHEN rank <= 30 THEN 0.4::DOUBLE / (1 + exp(-((doc_id % 7) - 3)::DOUBLE)) + 0.6::DOUBLE * (score / top) ELSE score / top END, 6) AS blend FROM (SELECT *, max(score) FILTER (rank = 1) OVER (PARTITION BY config, case_id) AS top FROM fused)),
+listed AS MATERIALIZED (SELECT config, case_id, doc_id, row_number() OVER (PARTITION BY config, case_id ORDER BY rank <= 30 DESC, CASE WHEN rank <= 30 THEN -blend ELSE rank END, doc_id) AS rank FROM blended)
 SELECT mode""", 1)
 
 
@@ -341,7 +342,8 @@ SELECT mode""", 1)
 def ladder_modes(spark, d):
     """The five modes for the benchmark items, with every twentieth vector as an item's own and the next one as its expansion.
 
-    Logits are a stand-in, a column like any scorer's; an expansion moves the vectors of prose queries only.
+    Logits are a stand-in, a column like any scorer's, and so are the places of even cases' documents, in the order of their
+    ids; an expansion moves the vectors of prose queries only.
     """
     docs, asked = _base(spark, d)
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
@@ -350,10 +352,11 @@ def ladder_modes(spark, d):
     wider = F.when(F.col("prose") & F.col("next").isNotNull(), F.zip_with("own", "next", lambda x, y: x.cast("double") + y.cast("double"))).otherwise(F.col("own").cast("array<double>"))
 
     def ranked(query_vector):
-        found = ranking.dense_scan(vectors, own.select(F.col("vec_id").alias("case_id"), query_vector.alias("query_vector")), 50)
+        found = ranking.dense_scan(vectors, own.select(F.col("vec_id").alias("case_id"), query_vector.alias("query_vector")), None)
         return saved(found.select(F.floor(F.col("case_id") / 20).alias("case_id"), "doc_id", "rank"))
 
-    bm25 = saved(ranking.bm25(docs, asked, k=50).select("case_id", "doc_id", "rank"))
+    bm25 = saved(ranking.bm25(docs, asked, None).select("case_id", "doc_id", "rank"))
     dense, expanded = ranked(F.col("own")), ranked(wider)
     found = bm25.unionByName(dense).unionByName(expanded).select("case_id", "doc_id").distinct()
-    return fusion.ladder(dense, expanded, bm25, found.withColumn("logit", ((F.col("doc_id") % 7) - 3).cast("double")))
+    places = found.where("case_id % 2 = 0").withColumn("place", F.col("doc_id"))
+    return fusion.ladder(dense, expanded, bm25, found.withColumn("logit", ((F.col("doc_id") % 7) - 3).cast("double")), places)
