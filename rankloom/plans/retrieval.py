@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.functions import text
-from rankloom.operators import context, fusion, metrics, ranking
+from rankloom.operators import branches, context, fusion, metrics, ranking
 from rankloom.plans import frames
 from rankloom.plans.fragments import sql
 from rankloom.session import saved, table
@@ -88,22 +88,52 @@ def rrf_weighted(spark, d):
 
 #: The weights of the six candidate branches of the fusion profile.
 PROFILE = {"vector": 0.50, "bm25": 0.25, "symbol": 0.20, "path": 0.15, "path_affinity": 0.15, "trigram": 0.05}
-BRANCHES_SQL = "six AS (SELECT ['vector', 'bm25', 'symbol', 'path', 'path_affinity', 'trigram'][(vec_id % 6)::INT + 1] AS branch, label AS case_id, vec_id AS doc_id, row_number() OVER (PARTITION BY vec_id % 6, label ORDER BY embedding[(vec_id % 6)::INT + 1] DESC, vec_id) AS rank FROM embeddings)"
-ABLATION_SQL = f"""WITH w AS (SELECT * FROM (VALUES {", ".join(f"('{b}', {w}::DOUBLE)" for b, w in PROFILE.items())}) t(branch, weight)), {BRANCHES_SQL},
+BRANCHES_SQL = r"""asked AS MATERIALIZED (SELECT item_id AS case_id, text AS query FROM benchmark),
+names AS MATERIALIZED (SELECT doc_id, array_to_string(ws[1:3], '/') AS path, list_distinct(ws[1:3]) AS parts FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents) WHERE len(ws) > 0),
+qv AS MATERIALIZED (SELECT case_id, vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM asked JOIN embeddings ON vec_id = case_id * 20),
+dv AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings),
+asked_symbols AS MATERIALIZED (SELECT DISTINCT case_id, unnest(regexp_extract_all(query, '(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{Ll}{3,})(?:[^\p{L}\p{N}_]|$)', 1)) AS symbol FROM (SELECT case_id, regexp_replace(query, '([^\p{L}\p{N}_])', '\1\1', 'g') AS query FROM asked)),
+held_symbols AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{Ll}{3,})(?:[^\p{L}\p{N}_]|$)', 1)) AS symbol FROM (SELECT doc_id, regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g') AS text FROM documents)),
+worth AS (SELECT symbol, round(ln(1 + (SELECT count(*) FROM documents)::DOUBLE / count(*)), 6) AS worth FROM held_symbols GROUP BY symbol),
+shared_parts AS MATERIALIZED (SELECT case_id, doc_id, n, count(*) AS shared FROM (SELECT doc_id, len(parts) AS n, unnest(parts) AS term FROM names) JOIN terms USING (term) GROUP BY ALL),
+grams AS MATERIALIZED (SELECT 'q' AS side, case_id AS id, list_distinct(flatten(list_transform(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i::INT, 3))))) AS g FROM asked
+  UNION ALL SELECT 'd', doc_id, list_distinct(flatten(list_transform(string_split(path, '/'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i::INT, 3))))) FROM names),
+posted AS MATERIALIZED (SELECT side, id, len(g) AS n, unnest(g) AS gram FROM grams),
+all_scores AS (SELECT 'vector' AS branch, case_id, d.vec_id AS doc_id, round(list_inner_product(qv.v, d.v), 6) AS score FROM qv JOIN dv d ON d.vec_id <> qv.vec_id
+  UNION ALL SELECT 'bm25', case_id, doc_id, score FROM bm25_all
+  UNION ALL SELECT 'symbol', case_id, doc_id, round(sum(worth), 6) FROM asked_symbols JOIN held_symbols USING (symbol) JOIN worth USING (symbol) GROUP BY ALL
+  UNION ALL SELECT 'path', case_id, doc_id, 1.0 FROM shared_parts WHERE shared = n
+  UNION ALL SELECT 'path_affinity', case_id, doc_id, round(shared / n::DOUBLE, 6) FROM shared_parts
+  UNION ALL SELECT 'trigram', case_id, doc_id, round(c / (nq + n - c)::DOUBLE, 6) FROM (SELECT q.id AS case_id, d.id AS doc_id, q.n AS nq, d.n AS n, count(*) AS c FROM posted q JOIN posted d ON q.side = 'q' AND d.side = 'd' AND q.gram = d.gram GROUP BY ALL)),
+six AS MATERIALIZED (SELECT branch, case_id, doc_id, row_number() OVER (PARTITION BY branch, case_id ORDER BY score DESC, doc_id) AS rank FROM all_scores QUALIFY rank <= 50),"""
+ABLATION_SQL = sql(f"""SELECT config, case_id, doc_id, score, row_number() OVER (PARTITION BY config, case_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 50""", "bm25_all").replace("\nSELECT config", f""",
+{BRANCHES_SQL}
+w AS (SELECT * FROM (VALUES {", ".join(f"('{b}', {w}::DOUBLE)" for b, w in PROFILE.items())}) t(branch, weight)),
 c AS (SELECT 'baseline' AS config, branch, weight FROM w UNION ALL SELECT 'without_' || o.branch, w.branch, w.weight FROM w o, w WHERE w.branch <> o.branch UNION ALL SELECT * FROM (VALUES {", ".join(f"('{c}', '{b}', {w}::DOUBLE)" for c, own in fusion.OVERRIDES.items() for b, w in own.items())}) v(config, branch, weight)),
 x AS (SELECT config, case_id, doc_id, round(sum(weight / (60 + rank)), 10) AS score FROM six JOIN c USING (branch) GROUP BY ALL)
-SELECT config, case_id, doc_id, score, row_number() OVER (PARTITION BY config, case_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 20"""
+SELECT config""", 1)
+
+
+def six_branches(spark, d):
+    """branch, case_id, doc_id and rank of the first 50 of the six branches for the benchmark items, saved."""
+    docs, asked = _base(spark, d)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    own = asked.select((F.col("case_id") * 20).alias("doc_id")).join(vectors, "doc_id").select(F.col("doc_id").alias("case_id"), F.col("vector").alias("query_vector"))
+    vector = ranking.dense_scan(vectors, own, 50).withColumn("case_id", F.floor(F.col("case_id") / 20))
+    paths = saved(branches.names(docs))
+    found = {"vector": vector, "bm25": ranking.bm25(docs, asked, 50), "symbol": branches.by_symbol(docs, asked), "path": branches.by_path(paths, asked, True),
+             "path_affinity": branches.by_path(paths, asked, False), "trigram": branches.by_trigram(branches.trigram_index(paths), asked)}
+    return saved(fusion.union_branches(found))
 
 
 @query("rrf_ablation", ABLATION_SQL)
 def rrf_ablation(spark, d):
-    """Six-branch fusion of each label's vectors, without each branch in turn, and with the two leading branches only."""
-    rows = table(spark, d, "embeddings")
-    names = F.array(*map(F.lit, PROFILE))
-    slot = (F.col("vec_id") % 6).cast("int")
-    branches = rows.select(F.get(names, slot).alias("branch"), F.col("label").alias("case_id"), F.col("vec_id").alias("doc_id"), F.get("embedding", slot).alias("score"))
-    branches = ranking.top_k(branches, 1 << 30, keys=("branch", "case_id"))
-    return fusion.rrf(branches, spark.createDataFrame(fusion.ablations(PROFILE) + fusion.overrides(PROFILE), "config string, branch string, weight double")).select("config", "case_id", "doc_id", "score", "rank")
+    """Six-branch fusion, without each branch in turn, and with the two leading branches only: 50 fused candidates of 50 each.
+
+    An item's vector is every twentieth one; a document's path is its first three words; symbols are capitalised words.
+    """
+    weights = spark.createDataFrame(fusion.ablations(PROFILE) + fusion.overrides(PROFILE), "config string, branch string, weight double")
+    return fusion.rrf(six_branches(spark, d), weights, limit=50).select("config", "case_id", "doc_id", "score", "rank")
 
 
 RERANK_SQL = sql("""SELECT case_id, doc_id, rank AS before, blend, row_number() OVER (PARTITION BY case_id ORDER BY rank <= 30 DESC, CASE WHEN rank <= 30 THEN -blend ELSE rank END, doc_id) AS rank FROM (

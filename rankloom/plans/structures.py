@@ -52,10 +52,11 @@ def path_hints(spark, d):
 SEGMENTS_SQL = r"""WITH RECURSIVE x AS (SELECT 'doc' || doc_id AS id, text FROM documents UNION ALL SELECT 'conv' || conv_id, string_agg('### ' || role || ' ' || turn || chr(10) || text, chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id),
 sec AS (SELECT id, generate_subscripts(parts, 1) AS sec, unnest(parts) AS section FROM (SELECT id, list_filter(regexp_split_to_array(regexp_replace(text, '(^|\n)### ', '\1' || chr(1) || '### ', 'g'), chr(1)), lambda p: p <> '') AS parts FROM x)),
 c AS (SELECT id, sec, CASE WHEN starts_with(section, '### ') THEN string_split(section, chr(10))[1] ELSE '' END AS heading, section, length(section) AS n, string_split(section, '') AS ch FROM sec),
-w AS (SELECT *, list_filter(range(0, n), lambda i: NOT contains(E' \t\n\x0b\f\r', ch[i + 1]) AND (i = 0 OR contains(E' \t\n\x0b\f\r', ch[i]))) AS starts, list_filter(range(0, n), lambda i: ch[i + 1] = ' ' OR ch[i + 1] = chr(10)) AS gaps FROM c),
-f AS (SELECT id, sec, 0 AS k, 0::BIGINT AS a, 0::BIGINT AS b, list_filter(starts, lambda i: i >= 0)[41] AS stop FROM w
-  UNION ALL SELECT g.id, g.sec, g.k + 1, g.b, g.e, NULL FROM (SELECT f.id, f.sec, f.k, f.b, w.n, list_filter(w.starts, lambda i: i >= f.b)[41] AS s,
-     CASE WHEN s IS NULL THEN w.n ELSE coalesce(nullif(list_max(list_filter(w.gaps, lambda i: i >= f.b + greatest(1, (s - f.b) // 2) AND i < s)), f.b) + 1, s) END AS e FROM f JOIN w USING (id, sec) WHERE f.b < w.n) g)
+w AS MATERIALIZED (SELECT id, sec, heading, section, n, list_filter(range(0, n), lambda i: NOT contains(E' \t\n\x0b\f\r', ch[i + 1]) AND (i = 0 OR contains(E' \t\n\x0b\f\r', ch[i]))) AS starts FROM c),
+f AS (SELECT id, sec, 0 AS k, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS first FROM w
+  UNION ALL SELECT h.id, h.sec, h.k + 1, h.b, h.e, h.first + len(list_filter(h.near, lambda i: i < h.e)) FROM (
+    SELECT g.*, CASE WHEN stop IS NULL THEN n WHEN regexp_matches(part, '[ \n]') AND length(regexp_extract(part, '(?s)^(.*)[ \n]', 1)) >= greatest(1, (stop - b) // 2) THEN b + length(regexp_extract(part, '(?s)^(.*)[ \n]', 1)) + 1 ELSE stop END AS e FROM (
+      SELECT f.id, f.sec, f.k, f.b, f.first, w.n, w.starts[f.first + 1:f.first + 40] AS near, w.starts[f.first + 41] AS stop, substring(w.section, (f.b + 1)::INT, (w.starts[f.first + 41] - f.b)::INT) AS part FROM f JOIN w USING (id, sec) WHERE f.b < w.n) g) h)
 SELECT f.id, 'E' || lpad(no::VARCHAR, greatest(3, length(no::VARCHAR))::INT, '0') AS segment_id, heading, len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')) AS words, md5(text) AS digest
 FROM (SELECT f.id, w.heading, substring(w.section, (a + 1)::INT, (b - a)::INT) AS text, row_number() OVER (PARTITION BY f.id ORDER BY f.sec, f.k) AS no FROM f JOIN w USING (id, sec) WHERE f.k > 0) f"""
 
