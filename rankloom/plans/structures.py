@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rankloom.functions import variants
-from rankloom.operators import context
+from rankloom.operators import context, vector_index
+from rankloom.plans import frames
 from rankloom.plans.fragments import sql
-from rankloom.session import table
+from rankloom.session import saved, shared_dir, table
 
 QUERIES, SQL = {}, {}
+#: Per cent of an index's cells that the approximate search looks into.
+PROBED = 70
 
 
 def query(name: str, twin: str | None):
@@ -71,3 +76,26 @@ def segment_table(spark, d):
     rows = docs.unionByName(table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(turns, "\n").alias("text")).select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("id"), "text"))
     found = spark.sql("SELECT x.id, s.segment_id, s.heading, s.words, md5(s.text) AS digest FROM {rows} x, LATERAL segment_text(x.text, 40) s", rows=rows)
     return found
+
+
+def _index(spark, d):
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    vectors, asked = frames.vectors(spark, d)
+    vector_index.build(vectors, path)
+    return path, asked
+
+
+@query("index_exact", sql("SELECT case_id, doc_id, score, rank FROM dense", "dense"))
+def index_exact(spark, d):
+    """The nearest vectors of every twentieth one, by the index's bounds."""
+    path, asked = _index(spark, d)
+    return vector_index.search(spark, path, asked).select("case_id", "doc_id", "score", "rank")
+
+
+@query("index_recall", None)
+def index_recall(spark, d):
+    """How much of each exact ranking a search of a part of the cells finds."""
+    path, asked = _index(spark, d)
+    cells = spark.read.parquet(f"{path}/cells").count()
+    found = vector_index.search(spark, path, asked, probes=max(1, -(-cells * PROBED // 100)))
+    return vector_index.recall(found, saved(vector_index.search(spark, path, asked)))
