@@ -29,26 +29,64 @@ def word_count(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """The text without white space at its ends."""
-    return F.regexp_replace(text, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def normal_path(path: Column, repo: Column | None = None) -> Column:
-    """A path inside its repository: no quotes, back slashes, fragment, query, leading `./` or `/`, nor the repository's own name."""
-    out = F.regexp_replace(strip(path), "^[\"'`]+|[\"'`]+$", "")
-    out = F.regexp_replace(F.translate(out, "\\", "/"), "[#?].*$", "")
-    out = F.regexp_replace(out, r"^(\./)+", "")
-    out = F.ltrim(out, F.lit("/"))
-    if repo is not None:
-        out = F.when(F.startswith(out, F.concat(repo, F.lit("/"))), F.substring(out, F.length(repo) + 2, F.length(out))).otherwise(out)
-    return out
+def _filled(text: Column) -> Column:
+    """The text, or null if it is empty."""
+    return F.nullif(text, F.lit(""))
+
+
+def _behind(text: Column, mark: Column) -> Column:
+    """What is behind the first mark in a text, or the text if there is none."""
+    at = F.position(mark, text)
+    return F.when(at > 0, F.substring(text, at + F.length(mark), F.length(text))).otherwise(text)
+
+
+def _inner(path: Column) -> Column:
+    """A path with slashes, cut at a fragment or query, without one leading `./` and leading slashes."""
+    out = F.regexp_replace(F.translate(path, "\\", "/"), "(?s)[#?].*$", "")
+    return F.ltrim(F.regexp_replace(out, r"^\./", ""), F.lit("/"))
 
 
-def path_of_url(url: Column) -> Column:
-    """The repository path in a URL (after `/blob/<revision>/` if there), percent-decoded; other values as paths."""
-    bare = F.regexp_replace(strip(url), "[#?].*$", "")
-    inside = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/(.*)$", 1)
-    blob = F.regexp_extract(inside, r"(?:^|/)blob/[^/]+/(.+)$", 1)
-    return F.try_url_decode(F.when(blob != "", blob).when(inside != "", inside).otherwise(normal_path(url)))
+def _without(path: Column, prefix: Column) -> Column:
+    return F.when(F.startswith(path, prefix), F.substring(path, F.length(prefix) + 1, F.length(path))).otherwise(path)
+
+
+def _unquoted(path: Column) -> Column:
+    return F.regexp_replace(strip(path), "^[\"'`]+|[\"'`]+$", "")
+
+
+def normal_path(path: Column, repo: Column | None = None) -> Column:
+    """A path inside its repository; null for null and for what leaves nothing.
+
+    Quotes, back slashes, fragment, query, one leading `./`, leading slashes and the repository's name go, and all up to the
+    folder below `/arb/<repository>/`.
+    """
+    out = _inner(_unquoted(path))
+    if repo is not None:
+        out = _without(out, F.concat(repo, F.lit("/")))
+        mark = F.concat(F.lit("/arb/"), repo, F.lit("/"))
+        out = F.when(F.contains(out, mark), F.regexp_replace(_behind(out, mark), "(?s)^[^/]*/", "")).otherwise(out)
+    return _filled(out)
+
+
+def path_of_url(url: Column, repo: Column | None = None, revision: Column | None = None) -> Column:
+    """The repository path in a URL, percent-decoded before it is cut; other values as paths; null where nothing is left.
+
+    Of a URL the part behind `/<repository>/blob/<revision>/` is taken, else that behind the revision after `/blob/`, else all
+    behind the host.  A value with a broken percent sign is not decoded.
+    """
+    out = _unquoted(url)
+    out = F.translate(F.coalesce(F.try_url_decode(F.replace(out, F.lit("+"), F.lit("%2B"))), out), "\\", "/")
+    host = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"
+    inside = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, host, ""), "(?s)[#?].*$", ""), "(?s);[^/]*$", "")
+    blob = F.when(F.contains(inside, F.lit("/blob/")), F.regexp_replace(_behind(inside, F.lit("/blob/")), "(?s)^[^/]*/", "")).otherwise(inside)
+    if repo is not None and revision is not None:
+        own = F.concat(F.lit("/"), repo, F.lit("/blob/"), revision, F.lit("/"))
+        blob = F.when(F.startswith(inside, own), _without(inside, own)).otherwise(blob)
+    out = _inner(F.when(out.rlike(host), blob).otherwise(out))
+    return _filled(out if repo is None else _without(out, F.concat(repo, F.lit("/"))))
 
 
 def normal_url(url: Column) -> Column:
@@ -57,14 +95,14 @@ def normal_url(url: Column) -> Column:
 
 
 def urls(text: Column) -> Column:
-    """The distinct normalised URLs of a text, in order."""
-    found = F.regexp_extract_all(text, F.lit(r"""(https?://[^\s<>"'()]+)"""), F.lit(1))
+    """The distinct normalised URLs of a text, in order; white space, closing brackets, quotes and `>` end one."""
+    found = F.regexp_extract_all(text, F.lit(r"""(https?://[^\s)\]"'>]+)"""), F.lit(1))
     return F.array_distinct(F.transform(found, normal_url))
 
 
 def suffix(path: Column) -> Column:
-    """The lower-case suffix of a path's last part, or an empty string."""
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """The lower-case suffix of a path's last part, or an empty string; a name that only starts with a dot has none."""
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
 
 def is_text_candidate(path: Column) -> Column:
@@ -82,9 +120,9 @@ def base_name(path: Column) -> Column:
 
 
 def path_kind(path: Column) -> Column:
-    """test, docs, code or other, by directories and suffix."""
-    lower = F.lower(path)
-    return F.when(lower.rlike(r"(^|/)tests?(/|$)|(^|/)test_[^/]*$|_test\.[^/]*$"), "test").when(lower.rlike(r"(^|/)docs?(/|$)") | suffix(path).isin("md", "rst", "txt"), "docs").when(suffix(path).isin(*CODE_SUFFIXES), "code").otherwise("other")
+    """test, docs, python_source or other: by `test` anywhere, then by the end of the path."""
+    low = F.lower(path)
+    return F.when(F.contains(low, F.lit("test")), "test").when(low.rlike(r"\.(rst|md|txt)$"), "docs").when(F.endswith(low, F.lit(".py")), "python_source").otherwise("other")
 
 
 def parent_directory(path: Column) -> Column:
@@ -92,9 +130,10 @@ def parent_directory(path: Column) -> Column:
 
 
 def clean_message(message: Column, most: int = 4000) -> Column:
-    """A commit message without trailer lines, stripped and cut."""
-    lines = F.filter(F.split(message, "\n"), lambda x: ~x.rlike(TRAILER))
-    return F.substring(strip(F.array_join(lines, "\n")), 1, most)
+    """A commit message without trailer lines, its lines without white space behind them, stripped, cut and stripped again."""
+    lines = F.filter(F.split(message, "\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda x: ~strip(x).rlike(TRAILER))
+    kept = strip(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n"))
+    return strip(F.substring(kept, 1, most))
 
 
 def is_low_value(subject: Column) -> Column:
@@ -108,32 +147,43 @@ def leaks(query: Column, paths: Column) -> Column:
 
 
 def patch_files(patch: Column) -> Column:
-    """The distinct new-side files of a git patch, in order."""
-    return F.array_distinct(F.regexp_extract_all(patch, F.lit(r"(?m)^diff --git a/.+ b/(.+)$"), F.lit(1)))
+    """The distinct new-side files of a git patch, in order; paths without white space."""
+    return F.array_distinct(F.regexp_extract_all(patch, F.lit(r"(?md)^diff --git a/\S+ b/(\S+)$"), F.lit(1)))
 
 
 def patch_hunks(patch: Column) -> Column:
-    """(path, first line, last line) of each hunk, on the old side; a length of 0 counts as one line."""
-    pieces = F.split(patch, r"(?m)^diff --git ")
-    parts = F.slice(pieces, 2, F.size(pieces))
-    found = F.transform(
-        parts,
-        lambda part: F.transform(
-            F.regexp_extract_all(part, F.lit(r"(?m)^(@@ -\d+(?:,\d+)? \+)"), F.lit(1)),
-            lambda head: F.struct(
-                F.regexp_extract(part, r"^a/.+ b/([^\n]+)", 1).alias("path"),
-                F.regexp_extract(head, r"-(\d+)", 1).cast("int").alias("first"),
-                (F.regexp_extract(head, r"-(\d+)", 1).cast("int") + F.greatest(F.coalesce(F.try_to_number(F.regexp_extract(head, r",(\d+)", 1), F.lit("999999999")).cast("int"), F.lit(1)), F.lit(1)) - 1).alias("last"),
-            ),
-        ),
-    )
-    return F.flatten(found)
+    """(path, first line, last line) of each hunk, on the old side: the old file, or the new one where there is no old one.
+
+    A length of 0 counts as one line.  A hunk belongs to the last file line before it; a line `+++` counts only behind
+    `--- /dev/null`, and hunks before any file line are left out.
+    """
+    number = lambda text, pattern: F.try_to_number(_filled(F.regexp_extract(text, pattern, 1)), F.lit("9" * 18)).cast("int")
+    own = r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@"
+    none = F.lit(None).cast("string")
+
+    def step(at: Column, line: Column) -> Column:
+        target = strip(F.substring(line, 5, 1 << 30))
+        old = F.when(target == "/dev/null", none).otherwise(_without(target, F.lit("a/")))
+        path = F.when(F.startswith(line, F.lit("--- ")), old).when(F.startswith(line, F.lit("+++ ")) & at["path"].isNull(), _without(target, F.lit("b/"))).otherwise(at["path"])
+        first = number(line, own)
+        size = F.greatest(F.coalesce(number(line, own.replace(r"-(\d+)(?:,(\d+))?", r"-\d+(?:,(\d+))?")), F.lit(1)), F.lit(1))
+        hunk = F.array(F.struct(path.alias("path"), first.alias("first"), (first + size - 1).alias("last")))
+        return F.struct(path.alias("path"), F.when(line.rlike(own) & path.isNotNull(), F.concat(at["hunks"], hunk)).otherwise(at["hunks"]).alias("hunks"))
+
+    lines = F.filter(F.split(patch, "\r\n|\n|\r"), lambda x: x.rlike("^(---|\\+\\+\\+|@@)"))
+    start = F.struct(none.alias("path"), F.array().cast("array<struct<path:string,first:int,last:int>>").alias("hunks"))
+    return F.aggregate(lines, start, step)["hunks"]
 
 
 def sections(text: Column) -> Column:
-    """(path, first line, last line) of `### path (lines a-b)` headings."""
-    heads = F.regexp_extract_all(text, F.lit(r"(?m)^(### .+ \(lines \d+-\d+\))$"), F.lit(1))
-    return F.transform(heads, lambda h: F.struct(F.regexp_extract(h, r"^### (.+) \(lines", 1).alias("path"), F.regexp_extract(h, r"lines (\d+)-", 1).cast("int").alias("first"), F.regexp_extract(h, r"-(\d+)\)$", 1).cast("int").alias("last")))
+    """(path, first line, last line) of `### path (lines a-b)` and `### path` headings; no lines for the latter.
+
+    Only what is behind the first `<retrieved_context>` counts, if there is one; of a path's headings the last gives the lines.
+    """
+    heads = F.regexp_extract_all(_behind(text, F.lit("<retrieved_context>")), F.lit(r"(?md)^(### \S+(?: \(lines \d+-\d+\))?)$"), F.lit(1))
+    line = lambda head, pattern: _filled(F.regexp_extract(head, pattern, 1)).cast("int")
+    found = F.transform(heads, lambda h: F.struct(F.regexp_extract(h, r"^### (\S+)", 1).alias("path"), line(h, r"lines (\d+)-").alias("first"), line(h, r"-(\d+)\)$").alias("last")))
+    return F.transform(F.array_distinct(F.transform(found, lambda x: x["path"])), lambda path: F.element_at(F.filter(found, lambda x: x["path"] == path), -1))
 
 
 def compact_query(prompt: Column, most: int = 2000, least_words: int = 4) -> Column:
@@ -164,21 +214,41 @@ def identifier_hit(context: Column, identifiers: Column) -> Column:
     return F.exists(identifiers, lambda x: F.contains(low, F.lower(x)))
 
 
-def item_identity(path: Column, start: Column, end: Column, url: Column) -> Column:
-    """`path:start:end` of a citation, with the URL for a missing path and nothing for missing lines."""
-    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return F.concat_ws(":", F.coalesce(path, url, F.lit("")), part(start), part(end))
+#: Marks before and behind the code of a reply (fixed values).
+CODE_STARTS = ("BEGIN SOLUTION\n<code>", "# SOLUTION START", "\n<code>")
+CODE_ENDS = ("</code>", "# SOLUTION END")
+_SOURCE = "metadata struct<file_path string, sourceURL string, source_url string, start_line string, end_line string>"
+
+
+def item_identity(raw_id: Column, path: Column, rest: Column) -> Column:
+    """What an item is known by: its raw id, else its path, else its other fields (a map of strings) as JSON in the order of their names.
+
+    A raw id that is an object with metadata of a file or source is `path:start:end`.  Fields rank and score don't count.
+    """
+    raw = F.coalesce(_filled(raw_id), path, F.lit(""))
+    source = F.from_json(F.when(F.startswith(raw, F.lit("{")), raw), _SOURCE)["metadata"]
+    file = F.coalesce(*(_filled(source[c]) for c in ("file_path", "sourceURL", "source_url")))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    fields = F.array_sort(F.map_entries(F.map_filter(rest, lambda k, v: ~k.isin("rank", "score"))))
+    whole = F.concat(F.lit("{"), F.array_join(F.transform(fields, lambda e: F.concat(quoted(e["key"]), F.lit(": "), F.when(e["value"].isNull(), "null").otherwise(quoted(e["value"])))), ", "), F.lit("}"))
+    part = lambda c: F.coalesce(source[c], F.lit(""))
+    return F.when(file.isNotNull(), F.concat_ws(":", file, part("start_line"), part("end_line"))).when(raw != "", raw).otherwise(whole)
 
 
 def generated_code(reply: Column) -> Column:
-    """The first fenced block of a reply, or the reply, stripped."""
-    fenced = F.regexp_extract(reply, r"(?s)```[A-Za-z]*\n(.*?)```", 1)
-    return strip(F.when(fenced != "", fenced).otherwise(reply))
+    """The code of a reply: its first fenced block, or all of it, between the marks of a solution, stripped."""
+    fence = r"(?s)```(?:python)?\s*(.*?)```"
+    out = F.when(reply.rlike(fence), F.regexp_extract(reply, fence, 1)).otherwise(reply)
+    for mark in CODE_STARTS:
+        out = _behind(out, F.lit(mark))
+    for mark in CODE_ENDS:
+        out = F.substring_index(out, mark, 1)
+    return strip(out)
 
 
 def selected_ids(reply: Column, valid: Column, most: int) -> Column:
-    """The first distinct valid `E123` identifiers of a reply."""
-    found = F.array_distinct(F.regexp_extract_all(reply, F.lit(r"(E[0-9]{3,6})"), F.lit(1)))
+    """The first distinct valid `E123` identifiers of a reply, each a word of its own."""
+    found = F.array_distinct(F.regexp_extract_all(reply, F.lit(r"(?<![\p{L}\p{N}_])(E[0-9]{3,6})(?![\p{L}\p{N}_])"), F.lit(1)))
     return F.slice(F.array_intersect(found, valid), 1, most)
 
 

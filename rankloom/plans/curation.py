@@ -48,7 +48,7 @@ def group_counts_split(spark, d):
 
 
 #: A whole message without its trailer lines, as clean_message() has it.
-CLEAN_SQL = r"regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)^(change-id|co-authored-by|reviewed-by|signed-off-by):')), chr(10)), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')"
+CLEAN_SQL = r"regexp_replace(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\r\n|[\n\r\v\f]'), lambda x: NOT regexp_matches(x, '(?i)^\s*(change-id|co-authored-by|reviewed-by|signed-off-by):')), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '^\s+|\s+$', '', 'g')"
 
 
 @query("distinct_keep_min", f"WITH m AS (SELECT doc_id, {CLEAN_SQL} AS message FROM documents), k AS (SELECT min(doc_id) AS doc_id FROM m GROUP BY lower(message)), p AS (SELECT row_number() OVER (ORDER BY sha256('m|' || doc_id)) AS place, doc_id FROM k QUALIFY place <= 25) SELECT place, message, doc_id FROM p JOIN m USING (doc_id)")
@@ -276,13 +276,13 @@ def resolver(spark, d):
 HTTP_PATH = r"regexp_extract(regexp_replace(url, '[#?].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/(.*)$', 1)"
 
 
-@query("path_normalize", "SELECT doc_id, ltrim(regexp_replace(regexp_replace(replace(regexp_replace(p, '^[\"''`]+|[\"''`]+$', '', 'g'), chr(92), '/'), '[#?].*$', ''), '^(\\./)+', ''), '/') AS path FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '\"./src/' || source || '.py\"' WHEN 1 THEN chr(92) || 'docs' || chr(92) || lang || '.md#top' WHEN 2 THEN '/' || source || '/a.b?x=1' WHEN 3 THEN '././' || lang ELSE '`tests/test_' || source || '.py`' END AS p FROM documents)")
+@query("path_normalize", "SELECT doc_id, ltrim(regexp_replace(regexp_replace(replace(regexp_replace(p, '^[\"''`]+|[\"''`]+$', '', 'g'), chr(92), '/'), '[#?].*$', ''), '^\\./', ''), '/') AS path FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '\"./src/' || source || '.py\"' WHEN 1 THEN chr(92) || 'docs' || chr(92) || lang || '.md#top' WHEN 2 THEN '/' || source || '/a.b?x=1' WHEN 3 THEN '././' || lang ELSE '`tests/test_' || source || '.py`' END AS p FROM documents)")
 def path_normalize(spark, d):
     made = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('"./src/'), "source", F.lit('.py"'))).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("\\docs\\"), "lang", F.lit(".md#top"))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("/"), "source", F.lit("/a.b?x=1"))).when(F.col("doc_id") % 5 == 3, F.concat(F.lit("././"), "lang")).otherwise(F.concat(F.lit("`tests/test_"), "source", F.lit(".py`")))
     return table(spark, d, "documents").select("doc_id", text.normal_path(made).alias("path"))
 
 
-@query("url_path", f"SELECT page_id, CASE WHEN {HTTP_PATH} <> '' THEN {HTTP_PATH} ELSE ltrim(regexp_replace(url, '[#?].*$', ''), '/') END AS path FROM pages")
+@query("url_path", f"SELECT page_id, nullif(ltrim(CASE WHEN {HTTP_PATH} <> '' THEN {HTTP_PATH} WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN '' ELSE regexp_replace(url, '[#?].*$', '') END, '/'), '') AS path FROM pages")
 def url_path(spark, d):
     return table(spark, d, "pages").select("page_id", text.path_of_url(F.col("url")).alias("path"))
 
@@ -299,15 +299,18 @@ def url_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(text.urls(answer), " ").alias("urls"))
 
 
-@query("path_kinds", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN source IN ('src1', 'src2') THEN 'test' WHEN lang = 'fr' THEN 'docs' WHEN lang = 'de' THEN 'other' ELSE 'code' END AS kind FROM documents) GROUP BY kind")
+@query("path_kinds", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN source IN ('src1', 'src2') THEN 'test' WHEN lang = 'fr' THEN 'docs' WHEN lang = 'de' THEN 'other' ELSE 'python_source' END AS kind FROM documents) GROUP BY kind")
 def path_kinds(spark, d):
-    path = F.concat(F.when(F.col("source").isin("src1", "src2"), "tests/").otherwise("lib/"), "source", F.when(F.col("lang") == "fr", ".md").when(F.col("lang") == "de", ".json").otherwise(".py"))
+    path = F.concat(F.when(F.col("source").isin("src1", "src2"), "lib/Contest_").otherwise("docs/"), "source", F.when(F.col("lang") == "fr", ".md").when(F.col("lang") == "de", ".json").otherwise(".py"))
     return table(spark, d, "documents").groupBy(text.path_kind(path).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def _patch():
-    head = lambda name, first: F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/x\n+++ b/x\n@@ -"), first, F.lit(" +1,9 @@ def f\n-old\n+new\n"))
-    return F.concat(head(F.concat("source", F.lit("/a.py")), F.concat((F.col("doc_id") + 1).cast("string"), F.lit(",3"))), head(F.concat("lang", F.lit(".md")), (F.col("doc_id") + 5).cast("string")))
+    """A renamed file with a length, a new file, and hunks of a file without a git line."""
+    git = lambda name: F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n"))
+    first = F.concat(git(F.concat("source", F.lit("/a.py"))), F.lit("--- a/old_"), "source", F.lit("/a.py\n+++ b/"), "source", F.lit("/a.py\n@@ -"), (F.col("doc_id") + 1).cast("string"), F.lit(",3 +1,9 @@ def f\n-old\n+new\n"))
+    new = F.concat(git(F.concat("lang", F.lit(".md"))), F.lit("--- /dev/null\n+++ b/"), "lang", F.lit(".md\n@@ -"), (F.col("doc_id") + 5).cast("string"), F.lit(" +1,9 @@\n+new\n"))
+    return F.concat(first, new, F.lit("--- bare.c\r\n+++ bare.c\r\n@@ -7,0 +8 @@\r\n+x\r\n@@ broken @@\r\n"))
 
 
 @query("patch_files", "SELECT doc_id, source || '/a.py ' || lang || '.md' AS files FROM documents")
@@ -315,7 +318,7 @@ def patch_files(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(text.patch_files(_patch()), " ").alias("files"))
 
 
-@query("patch_hunks", "SELECT doc_id, source || '/a.py' AS path, (doc_id + 1)::INT AS first, (doc_id + 3)::INT AS last FROM documents UNION ALL SELECT doc_id, lang || '.md', (doc_id + 5)::INT, (doc_id + 5)::INT FROM documents")
+@query("patch_hunks", "SELECT doc_id, 'old_' || source || '/a.py' AS path, (doc_id + 1)::INT AS first, (doc_id + 3)::INT AS last FROM documents UNION ALL SELECT doc_id, lang || '.md', (doc_id + 5)::INT, (doc_id + 5)::INT FROM documents UNION ALL SELECT doc_id, 'bare.c', 7, 7 FROM documents")
 def patch_hunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.inline(text.patch_hunks(_patch())))
 
@@ -344,11 +347,13 @@ def commit_eligibility(spark, d):
     return rows.where(good).select("doc_id")
 
 
-@query("item_identity", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'p' || page_id || ':' || page_id || ':' || (page_id + 9) ELSE url || '::' END AS identity FROM pages")
+@query("item_identity", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'p' || page_id || ':' || page_id || ':' WHEN 1 THEN url WHEN 2 THEN 'p' || page_id ELSE '{"text": ' || to_json(html)::VARCHAR || ', "url": ' || to_json(url)::VARCHAR || '}' END AS identity FROM pages""")
 def item_identity(spark, d):
-    own = F.col("page_id") % 3 == 0
-    rows = table(spark, d, "pages").select("page_id", "url", F.when(own, F.concat(F.lit("p"), "page_id")).alias("path"), F.when(own, F.col("page_id")).alias("s"), F.when(own, F.col("page_id") + 9).alias("e"))
-    return rows.select("page_id", text.item_identity(F.col("path"), F.col("s"), F.col("e"), F.col("url")).alias("identity"))
+    """Pages known by an object in their raw id, by a raw id, by a path, and by their fields."""
+    kind, page = F.col("page_id") % 4, F.col("page_id").cast("string")
+    raw = F.when(kind == 0, F.concat(F.lit("{'title': 1, 'metadata': {'file_path': 'p"), page, F.lit("', 'start_line': "), page, F.lit("}}"))).when(kind == 1, F.col("url"))
+    rest = F.create_map(F.lit("url"), "url", F.lit("rank"), page, F.lit("text"), "html", F.lit("score"), page)
+    return table(spark, d, "pages").select("page_id", text.item_identity(raw, F.when(kind == 2, F.concat(F.lit("p"), page)), rest).alias("identity"))
 
 
 @query("ordered_subset", "SELECT case_id, max(case_id) OVER () - case_id + 1 AS ordinal, lang FROM (SELECT DISTINCT doc_id AS case_id FROM labels) JOIN (SELECT doc_id AS case_id, lang FROM documents) USING (case_id)")
@@ -389,22 +394,26 @@ def path_filters(spark, d):
 def message_clean(spark, d):
     """Messages made of a subject, a body and trailers: what is left of them, and whether their subjects are of little value."""
     rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 < 2, F.concat(F.lit("chore("), "lang", F.lit("): one"))).otherwise(F.concat("lang", F.lit(" two"))).alias("subject"))
-    message = text.clean_message(F.concat(F.lit("\n"), "subject", F.lit("\nSigned-off-by: a\nbody\nChange-Id: b\n")))
+    message = text.clean_message(F.concat(F.lit("\r\n "), "subject", F.lit(" \t\r\n  Signed-off-by: a\r\nbody  \nChange-Id: b\n")))
     return rows.select("doc_id", message.alias("message"), text.is_low_value(F.col("subject")).alias("low_value"))
 
 
 @query("reply_code", "SELECT doc_id, 'x = ' || doc_id AS code FROM documents")
 def reply_code(spark, d):
-    """The code of replies that are fenced, or bare."""
+    """The code of replies that are fenced, with and without a line end, or between the marks of a solution."""
     code = F.concat(F.lit("x = "), F.col("doc_id").cast("string"))
-    reply = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```python\n"), code, F.lit("\n```\nand ```more```"))).otherwise(F.concat(F.lit("\n"), code, F.lit(" \n")))
+    kind = F.col("doc_id") % 4
+    reply = F.when(kind == 0, F.concat(F.lit("Here:\n```python\n"), code, F.lit("\n```\nand ```more```"))).when(kind == 1, F.concat(F.lit("A:\nBEGIN SOLUTION\n<code>\n"), code, F.lit("\n</code> more")))
+    reply = reply.when(kind == 2, F.concat(F.lit("```"), code, F.lit("``` # SOLUTION START"))).otherwise(F.concat(F.lit("x # SOLUTION START\n"), code, F.lit(" \n# SOLUTION END\n")))
     return table(spark, d, "documents").select("doc_id", text.generated_code(reply).alias("code"))
 
 
-@query("reply_sections", "SELECT doc_id, source || '/a (b).py' AS path, doc_id::INT AS first, (doc_id + 9)::INT AS last FROM documents UNION ALL SELECT doc_id, lang || '.md', 1, 2 FROM documents")
+@query("reply_sections", "SELECT doc_id, source || '/a.py' AS path, doc_id::INT AS first, (doc_id + 9)::INT AS last FROM documents UNION ALL SELECT doc_id, lang || '.md', NULL, NULL FROM documents")
 def reply_sections(spark, d):
+    """Headings in the context of a statement: one that is repeated, one of a path only, some that are none."""
     head = lambda path, a, b: F.concat(F.lit("### "), path, F.lit(" (lines "), a, F.lit("-"), b, F.lit(")\n"))
-    reply = F.concat(F.lit("intro\n"), head(F.concat("source", F.lit("/a (b).py")), F.col("doc_id").cast("string"), (F.col("doc_id") + 9).cast("string")), F.lit("body ### no (lines 1-2)\n"), head(F.concat("lang", F.lit(".md")), F.lit("1"), F.lit("2")))
+    path = F.concat("source", F.lit("/a.py"))
+    reply = F.concat(F.lit("### before (lines 1-2)\n<retrieved_context>\n"), head(path, F.lit("1"), F.lit("2")), F.lit("body ### no (lines 1-2)\n### a b\n### "), "lang", F.lit(".md\n"), head(path, F.col("doc_id").cast("string"), (F.col("doc_id") + 9).cast("string")))
     return table(spark, d, "documents").select("doc_id", F.inline(text.sections(reply)))
 
 
