@@ -81,9 +81,30 @@ def searchability_gaps(gold: DataFrame, indexed: DataFrame, reasons: Column) ->
     return gold.join(indexed.select("doc_id"), "doc_id", "left_anti").withColumn("reason", reasons)
 
 
+#: Lines to a bin of ranges.
+BIN = 64
+
+
 def range_overlap(edits: DataFrame, shown: DataFrame, key: str = "path") -> DataFrame:
-    """Edits (key, s, e) with whether they touch a shown range (key, lo, hi): s <= hi and e >= lo."""
-    hits = edits.join(shown, key).where((F.col("s") <= F.col("hi")) & (F.col("e") >= F.col("lo"))).select(*edits.columns).distinct().withColumn("covered", F.lit(True))
+    """Edits (key, s, e) with whether they touch a shown range (key, lo, hi): s <= hi and e >= lo.
+
+    Ranges are cut into bins of BIN lines, and what is shown of a bin is merged into at most BIN / 2 ranges, before edits meet
+    it: a key with any number of ranges is as many groups as it has bins, and no edit meets a range twice.  Ranges with a null, or
+    that end before they start, touch nothing.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor(F.col(b) / BIN)))
+    cut = shown.where(F.col(key).isNotNull() & (F.col("lo") <= F.col("hi"))).select(key, "lo", "hi", bins("lo", "hi").alias("bin"))
+    cut = cut.select(key, "bin", F.greatest("lo", F.col("bin") * BIN).alias("lo"), F.least("hi", F.col("bin") * BIN + BIN - 1).alias("hi"))
+    cut = cut.groupBy(key, "bin", "lo").agg(F.max("hi").alias("hi"))  # at most BIN rows a bin
+    merged = lambda acc, x: F.when(
+        (F.size(acc) > 0) & (F.element_at(acc, -1)["hi"] >= x["lo"]),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["lo"].alias("lo"), F.greatest(F.element_at(acc, -1)["hi"], x["hi"]).alias("hi")))),
+    ).otherwise(F.concat(acc, F.array(x)))
+    ranges = F.array_sort(F.collect_list(F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))))
+    held = cut.groupBy(key, "bin").agg(ranges.alias("ranges")).select(key, "bin", F.aggregate("ranges", F.array().cast("array<struct<lo:bigint,hi:bigint>>"), merged).alias("ranges"))
+    asked = edits.where(F.col(key).isNotNull() & (F.col("s") <= F.col("e"))).distinct().withColumn("bin", bins("s", "e"))
+    hits = asked.join(held, [key, "bin"]).where(F.exists("ranges", lambda x: (F.col("s") <= x["hi"]) & (F.col("e") >= x["lo"])))
+    hits = hits.select(*edits.columns).distinct().withColumn("covered", F.lit(True))
     return edits.join(hits, list(edits.columns), "left").na.fill(False, ["covered"])
 
 
@@ -101,10 +122,10 @@ def trajectories(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("steps"), F.count("*").alias("n_messages"), F.sum(word_count(F.col("text"))).alias("words"), F.max("turn").alias("last_turn"))
 
 
-def config_mismatches(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Settings (name, value) that the actual config lacks or has otherwise."""
-    found = actual.select("name", F.col("value").alias("found"))
-    return expected.join(found, "name", "left").where(~F.col("value").eqNullSafe(F.col("found")))
+def config_mismatches(expected: DataFrame, actual: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Settings (keys, name, value) that the actual config of the same keys lacks or has otherwise."""
+    found = actual.select(*keys, "name", F.col("value").alias("found"))
+    return expected.join(found, [*keys, "name"], "left").where(~F.col("value").eqNullSafe(F.col("found")))
 
 
 def flat_config(df: DataFrame, column: str) -> DataFrame:

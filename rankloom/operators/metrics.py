@@ -37,12 +37,13 @@ def rank_metrics(ranked: DataFrame, gold: DataFrame, keys: Sequence[str] = ("arm
     return long(found.select("case_id", *keys, *(F.round(c.cast("double"), DIGITS).alias(n) for n, c in columns.items())), ["case_id", *keys], list(columns))
 
 
-def hard_negative_hits(ranked: DataFrame, negatives: DataFrame, keys: Sequence[str] = ("arm",)) -> DataFrame:
+def hard_negative_hits(ranked: DataFrame, negatives: DataFrame, keys: Sequence[str] = ("arm",), cases: DataFrame | None = None) -> DataFrame:
     """case_id, keys, metric and value: how many of a case's hard negatives (case_id, doc_id) are in the first k, for each cut.
 
-    Every case with hard negatives has a row for each of `keys`, 0 where it has no hit.
+    Every case with hard negatives has a row for each of `keys`, 0 where it has no hit: those of `negatives`, or of `cases`
+    where `negatives` has only the documents that a ranking holds.
     """
-    every = negatives.select("case_id").distinct().crossJoin(ranked.select(*keys).distinct())
+    every = (negatives if cases is None else cases).select("case_id").distinct().crossJoin(ranked.select(*keys).distinct())
     hits = ranked.join(negatives, ["case_id", "doc_id"], "left_semi").groupBy("case_id", *keys).agg(*(F.count_if(F.col("rank") <= k).alias(f"hard_negative_hits@{k}") for k in CUTS))
     names = [f"hard_negative_hits@{k}" for k in CUTS]
     return long(every.join(hits, ["case_id", *keys], "left").na.fill(0, names), ["case_id", *keys], names)

@@ -149,11 +149,11 @@ def coverage_gaps(spark, d):
     return audit.coverage_gaps(every, rows, ["run", "case_id"])
 
 
-@query("resume", sql("SELECT DISTINCT run FROM registry WHERE run NOT IN (SELECT run FROM registry WHERE status = 'error')", "registry"))
+@query("resume", sql("SELECT run, case_id FROM registry GROUP BY ALL HAVING NOT bool_or(status = 'ok')", "registry"))
 def resume(spark, d):
-    """Runs without an error that a resumed job still has to do."""
-    rows = frames.registry(spark, d)
-    return audit.still_to_do(rows, rows.where("status = 'error'"), ["run"])
+    """Cases of runs that a resumed job still has to do: those that never went well."""
+    rows = frames.registry(spark, d).select("run", "case_id", "status")
+    return audit.still_to_do(rows.select("run", "case_id").distinct(), rows.where("status = 'ok'"), ["run", "case_id"])
 
 
 COUNTS = "SELECT s.source, coalesce(f.n, 0) AS files, coalesce(c.n, 0) AS chunks, coalesce(e.n, 0) AS embeddings FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) f USING (source) LEFT JOIN (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source) c USING (source) LEFT JOIN (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 OR source > 'src3' GROUP BY source) e USING (source)"
@@ -253,11 +253,14 @@ def distinct_configs(spark, d):
     return table(spark, d, "events").select(F.concat(F.lit('{"k": '), parsed["k"], F.lit("}")).alias("props")).distinct()
 
 
-@query("config_mismatch", "SELECT name, value, found FROM (VALUES ('k', '42'), ('limit', '20'), ('model.name', 'a')) e(name, value) LEFT JOIN (VALUES ('k', '42'), ('limit', '10'), ('other', '1')) a(name, found) USING (name) WHERE value IS DISTINCT FROM found")
+@query("config_mismatch", """WITH f AS (SELECT user_id AS run, arg_min(props, event_id) AS a, arg_max(props, event_id) AS b, arg_min(event_type, event_id) AS ta, arg_max(event_type, event_id) AS tb FROM events GROUP BY user_id),
+s AS (SELECT run, 'k' AS name, a ->> 'k' AS value, b ->> 'k' AS found FROM f UNION ALL SELECT run, 'type', ta, tb FROM f)
+SELECT * FROM s WHERE value IS NOT NULL AND value IS DISTINCT FROM found""")
 def config_mismatch(spark, d):
-    expected = spark.sql("SELECT struct(42 AS k, 20 AS limit, struct('a' AS name) AS model) AS config")
-    actual = spark.sql("SELECT struct(42 AS k, 10 AS limit, 1 AS other) AS config")
-    return audit.config_mismatches(audit.flat_config(expected, "config"), audit.flat_config(actual, "config"))
+    """Settings of each run's first event that its last one lacks or has otherwise: its properties and its type."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("type"), "event_type")).alias("config"))
+    config = lambda pick: rows.groupBy("run").agg(pick("config", "event_id").alias("config")).select("run", F.explode("config").alias("name", "value"))
+    return audit.config_mismatches(config(F.min_by).where("value IS NOT NULL"), config(F.max_by), ["run"])
 
 
 @query("snapshots", "SELECT source, lang, row_number() OVER (ORDER BY min(doc_id), source, lang) AS place FROM documents GROUP BY source, lang")

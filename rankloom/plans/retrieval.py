@@ -348,11 +348,19 @@ FROM (SELECT case_id, arm, rank FROM (SELECT DISTINCT case_id FROM hard) CROSS J
 
 @query("hard_negative_hits", HARD_SQL)
 def hard_negative_hits(spark, d):
-    """Every third document of a case's repository that is none of its gold counts as a hard negative."""
+    """Every third document of a case's repository that is none of its gold counts as a hard negative.
+
+    Only ranked documents are told apart; which cases have any is known from counts by repository.
+    """
     gold = frames.gold(spark, d)
+    ranked = saved(frames.ranked(spark, d))
     near = frames.documents(spark, d).where("doc_id % 3 = 0").select("doc_id", F.col("source").alias("repo"))
-    negatives = frames.cases(spark, d, gold).select("case_id", "repo").join(near, "repo").select("case_id", "doc_id").join(gold, ["case_id", "doc_id"], "left_anti")
-    return metrics.hard_negative_hits(saved(frames.ranked(spark, d)), saved(negatives)).select("arm", "case_id", "metric", "value")
+    cases = saved(frames.cases(spark, d, gold).select("case_id", "repo"))
+    own = lambda pairs: pairs.join(near, "doc_id").join(cases, ["case_id", "repo"]).select("case_id", "doc_id")
+    negatives = saved(own(ranked.select("case_id", "doc_id").distinct()).join(gold, ["case_id", "doc_id"], "left_anti"))
+    taken = own(gold).groupBy("case_id").agg(F.count("*").alias("taken"))
+    left = cases.join(near.groupBy("repo").agg(F.count("*").alias("held")), "repo").join(taken, "case_id", "left").where(F.col("held") > F.coalesce("taken", F.lit(0)))
+    return metrics.hard_negative_hits(ranked, negatives, cases=left).select("arm", "case_id", "metric", "value")
 
 
 LADDER_SQL = sql(r"""SELECT mode, case_id, doc_id, rank FROM (SELECT 'dense' AS mode, case_id, doc_id, rank FROM near WHERE branch = 'dense' UNION ALL SELECT config, case_id, doc_id, rank FROM fused UNION ALL SELECT replace(config, 'hybrid', 'hybrid_rerank'), case_id, doc_id, row_number() OVER (PARTITION BY config, case_id ORDER BY rank > 20, CASE WHEN case_id % 2 = 0 AND rank <= 20 THEN doc_id ELSE rank END, rank) FROM listed) WHERE rank <= 20""", "bm25_whole").replace("\nSELECT mode", r""",
