@@ -19,9 +19,17 @@ def rrf(branches: DataFrame, weights: DataFrame, k: int = 60, limit: int = 20) -
     """Fused rankings, one for each config in `weights` (config, branch, weight) over `branches` (branch, case_id, doc_id, rank).
 
     A document's score is the sum of weight / (k + rank); a branch of weight 0 adds no candidates; ties go to the smaller doc_id.
+
+    Whole rankings are fused, but a document can be among the first `limit` only if it is early in one: with `limit` documents in any
+    branch, the last of them has at least the least weight / (k + limit), and one behind rank m everywhere has less than the sum of
+    weights / (k + m).  Rows of other documents are left out before the sums; the result is the same.
     """
     if k < 0:
         raise ValueError("k must not be negative")
+    bounds = weights.where("weight > 0").groupBy("config").agg((F.sum("weight") / F.min("weight")).alias("share"))
+    widest = bounds.agg(F.max("share")).first()[0] or 1.0
+    early = branches.where(F.col("rank") <= int(widest * (k + limit)) - k + 2).select("case_id", "doc_id").distinct()
+    branches = branches.join(early, ["case_id", "doc_id"], "left_semi")
     score = F.round(F.sum(F.col("weight") / (k + F.col("rank"))), DIGITS + 4)
     fused = branches.join(weights.where("weight > 0"), "branch").groupBy("config", "case_id", "doc_id").agg(score.alias("score"))
     return top_k(fused, limit, keys=("config", "case_id"))
